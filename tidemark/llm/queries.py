@@ -21,6 +21,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +35,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,9 +49,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+OP3_SQL = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+    from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+    select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+    from v q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v)
+    where q.vec_id % 50 = 0
+), r as (
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op5_packing, op7_language, op10_bpe)}
+    return {f.__name__: f for f in (op1_licenses, op3_topk, op5_packing, op7_language, op9_html, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_topk": OP3_SQL}
