@@ -21,6 +21,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import rules
+
+    return rules(table(spark, sf_dir, "documents"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.topk import top_k
 
@@ -65,9 +71,65 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 
+def op2_sql() -> str:
+    """The quality rules in SQL, from the same fixed values."""
+    from tidemark.llm import quality as q
+
+    word_list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    commons = " ".join(f"when '{k}' then {word_list(v)}" for k, v in q.COMMON.items() if k)
+    strips, left = [], "body"
+    for k, pattern in enumerate(q.CLASSES.values()):
+        strips.append(f"s{k} as (select *, regexp_replace({left}, '{pattern}', '', 'g') as left{k} from {'base' if k == 0 else f's{k - 1}'})")
+        left = f"left{k}"
+    n = len(q.CLASSES)
+    sizes = ", ".join(["length(body) - length(left0)", *(f"length(left{k - 1}) - length(left{k})" for k in range(1, n)), f"length(left{n - 1})"])
+    wide = len(q.COMMON["en"]) + 1
+    sums = lambda c, m: "[" + ", ".join(f"sum({c}[{i + 1}])" for i in range(m)) + "]"
+
+    def distance(a: str, b: str) -> str:
+        share = lambda x: f"list_transform({x}, lambda v: v / nullif(list_sum({x}), 0)::double)"
+        part = "case when z[{0}] > 0 then z[{0}] * log2(z[{0}] / ((z[1] + z[2]) / 2)) else 0.0 end"
+        return f"sqrt(greatest(0.0, list_sum(list_transform(list_zip({share(a)}, {share(b)}), lambda z: ({part.format(1)} + {part.format(2)}) / 2))))"
+
+    return f"""
+with base as (
+    select row_number() over () as row_id, doc_id, coalesce(text, '') as body,
+        case when lang in ({", ".join(f"'{k}'" for k in q.COMMON)}) then lang else '' end as grp,
+        list_filter(string_split_regex(coalesce(text, ''), '{q.BLANKS}'), lambda x: x <> '') as words,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines
+    from documents
+), {", ".join(strips)}, counted as (
+    select *, [{sizes}] as cls, len(words) as n_words,
+        case grp {commons} else {word_list(q.COMMON[""])} end as common
+    from s{n - 1}
+), more as (
+    select *, list_concat(list_transform(common, lambda w: len(list_filter(words, lambda x: x = w))), [len(list_filter(words, lambda x: not list_contains(common, x)))]) as com
+    from counted
+), refs as (
+    select grp, sum(n_words) as r_words, {sums("cls", n + 1)} as r_cls, {sums("com", wide)} as r_com from more where n_words >= {q.LEAST_WORDS} group by grp
+), grams as (
+    select row_id, p, words[p] || ' ' || words[p + 1] || ' ' || words[p + 2] as gram
+    from (select row_id, words, unnest(range(1, len(words) - 1)) as p from base)
+), twice as (
+    select row_id, p from (select row_id, p, count(*) over (partition by row_id, gram) as c from grams) where c > 1
+), covered as (
+    select row_id, count(*) as n from (select distinct row_id, p + d as w from twice, (values (0), (1), (2)) as t(d)) group by row_id
+), judged as (
+    select m.doc_id, m.n_words, length(m.body) - m.cls[2] as word_chars, length(m.body) - length(regexp_replace(m.body, '{q.SYMBOLS}', '', 'g')) as n_symbols,
+        len(m.lines) - len(list_distinct(m.lines)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words, r.r_words,
+        {distance("m.cls", "r.r_cls")} as far_cls, {distance("m.com", "r.r_com")} as far_com
+    from more m left join covered c using (row_id) left join refs r on r.grp = m.grp
+), failed as (select *, n_words < {q.LEAST_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed from judged)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+    cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
+    not base_failed and not coalesce(r_words >= {q.GUARD_REFERENCE} and (n_words >= {q.GUARD_CLASS} and far_cls > {q.MOST_CLASS} or n_words >= {q.GUARD_COMMON} and far_com > {q.MOST_COMMON}), false) as kept
+from failed
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op3_topk, op5_packing, op7_language, op9_html, op10_bpe)}
+    return {f.__name__: f for f in (op1_licenses, op2_quality, op3_topk, op5_packing, op7_language, op9_html, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL}
+    return {"op2_quality": op2_sql(), "op3_topk": OP3_SQL}
