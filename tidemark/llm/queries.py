@@ -41,6 +41,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.html import extract
 
@@ -128,7 +134,7 @@ from failed
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op2_quality, op3_topk, op5_packing, op7_language, op9_html, op10_bpe)}
+    return {f.__name__: f for f in (op1_licenses, op2_quality, op3_topk, op5_packing, op7_language, op8_neardup, op9_html, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
