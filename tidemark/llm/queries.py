@@ -33,6 +33,12 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.suffixes import removal
+
+    return removal(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -134,7 +140,7 @@ from failed
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op2_quality, op3_topk, op5_packing, op7_language, op8_neardup, op9_html, op10_bpe)}
+    return {f.__name__: f for f in (op1_licenses, op2_quality, op3_topk, op4_suffixes, op5_packing, op7_language, op8_neardup, op9_html, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
