@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tidemark.plans import conditions, documents, evaluation, integrity, longitudinal, pointintime, sampling, scoring  # noqa: F401
+from tidemark.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
