@@ -78,21 +78,22 @@ def _steps(a: Column, f) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda i: f(F.get(a, i), F.get(a, i - 1)))
 
 
-def history_context(df: DataFrame, by: Sequence[str], ts: str, least: int = 3) -> DataFrame:
-    """Intervals in days, whether they are even (each within a quarter of the mean, two or more), depth label."""
+def history_context(df: DataFrame, by: Sequence[str], ts: str, least: int = 4) -> DataFrame:
+    """Intervals in days, consistency (each within a quarter of the mean, from two on) and depth label."""
     a = ordered_values(df, by, ts, ts)
     gaps = F.when(F.size("times") > 1, _steps(F.col("times"), lambda x, y: F.datediff(x, y))).otherwise(F.array().cast("array<int>"))
     mean = F.aggregate("gaps", F.lit(0.0), lambda s, x: s + x) / F.size("gaps")
     worst = F.array_max(F.transform("gaps", lambda x: F.abs(x - F.col("mean")))) / F.col("mean")
     out = a.select(*by, F.size("times").alias("snapshots"), gaps.alias("gaps")).withColumn("mean", F.when(F.size("gaps") > 0, mean))
-    even = F.when((F.size("gaps") >= 2) & (F.col("mean") > 0), worst <= 0.25).otherwise(False)
-    return out.withColumn("consistent", even).withColumn("depth", F.when(F.col("snapshots") >= least, "SUFFICIENT").when(F.col("snapshots") > 1, "SHALLOW").otherwise("SINGLE"))
+    even = F.when(F.size("gaps") < 2, "NOT_ASSESSED").when((F.col("mean") > 0) & (worst <= 0.25), "CONSISTENT").otherwise("IRREGULAR")
+    depth = F.when(F.col("snapshots") == 1, "SINGLE").when(F.col("snapshots") >= least, "SUFFICIENT_FOR_POLICY").otherwise("SHALLOW")
+    return out.withColumn("consistent", even).withColumn("depth", depth)
 
 
 def persistence_status(df: DataFrame, by: Sequence[str], ts: str, value: str) -> DataFrame:
     """NOT_ASSESSED, STABLE, REVERSED, ACCELERATING, PERSISTENT or ONE_OFF from the changes between snapshots.
 
-    Fewer than three snapshots are not assessed; no change at all is stable; changes of both signs are
+    Fewer than two snapshots are not assessed; no change at all is stable; changes of both signs are
     reversed (and a contradiction); a single non-zero change is one-off; growing sizes are accelerating.
     """
     a = ordered_values(df, by, ts, value)
@@ -102,7 +103,7 @@ def persistence_status(df: DataFrame, by: Sequence[str], ts: str, value: str) ->
     both = F.exists("changes", lambda x: x > 0) & F.exists("changes", lambda x: x < 0)
     sizes = F.transform(moved, lambda x: F.abs(x))
     grows = F.forall(F.sequence(F.lit(1), F.size(sizes) - 1), lambda i: F.get(sizes, i) > F.get(sizes, i - 1))
-    status = F.when(F.col("snapshots") < 3, "NOT_ASSESSED").when(F.size(moved) == 0, "STABLE").when(both, "REVERSED").when(F.size(moved) == 1, "ONE_OFF").when(grows, "ACCELERATING").otherwise("PERSISTENT")
+    status = F.when(F.col("snapshots") < 2, "NOT_ASSESSED").when(F.size(moved) == 0, "STABLE").when(both, "REVERSED").when(F.size(moved) == 1, "ONE_OFF").when(grows, "ACCELERATING").otherwise("PERSISTENT")
     return out.withColumn("persistence", status).withColumn("contradiction", both)
 
 

@@ -57,7 +57,7 @@ def page_change(t):
 
 @query(f"""with {DAILY}, g as (select event_type, list(ts order by ts) as t from d group by 1), x as (select event_type, len(t) as snapshots, list_transform(range(1, len(t)), lambda i: date_diff('day', t[i], t[i + 1])) as gaps from g),
 y as (select *, list_avg(gaps) as mean from x)
-select event_type, snapshots::integer as snapshots, array_to_string(gaps, ',') as gaps, round(mean, 9) as mean, case when len(gaps) >= 2 and mean > 0 then list_max(list_transform(gaps, lambda v: abs(v - mean))) / mean <= 0.25 else false end as consistent, case when snapshots >= 3 then 'SUFFICIENT' when snapshots > 1 then 'SHALLOW' else 'SINGLE' end as depth from y""")
+select event_type, snapshots::integer as snapshots, array_to_string(gaps, ',') as gaps, round(mean, 9) as mean, case when len(gaps) < 2 then 'NOT_ASSESSED' when mean > 0 and list_max(list_transform(gaps, lambda v: abs(v - mean))) / mean <= 0.25 then 'CONSISTENT' else 'IRREGULAR' end as consistent, case when snapshots = 1 then 'SINGLE' when snapshots >= 4 then 'SUFFICIENT_FOR_POLICY' else 'SHALLOW' end as depth from y""")
 def history_context(t):
     out = lo.history_context(daily(t), ["event_type"], "ts")
     return out.withColumn("gaps", F.array_join(F.col("gaps").cast("array<string>"), ",")).withColumn("mean", F.round("mean", 9))
@@ -66,7 +66,7 @@ def history_context(t):
 @query("""with d as (select user_id, strftime(ts, '%G-%V') as w, count(*) as n from events group by all), g as (select user_id, list(n order by w) as v from d group by 1),
 x as (select user_id, len(v) as snapshots, list_transform(range(1, len(v)), lambda i: v[i + 1] - v[i]) as c from g), y as (select *, list_filter(c, lambda q: q <> 0) as m from x),
 z as (select *, len(list_filter(c, lambda q: q > 0)) > 0 and len(list_filter(c, lambda q: q < 0)) > 0 as both_ways from y)
-select user_id, snapshots::integer as snapshots, case when snapshots < 3 then 'NOT_ASSESSED' when len(m) = 0 then 'STABLE' when both_ways then 'REVERSED' when len(m) = 1 then 'ONE_OFF'
+select user_id, snapshots::integer as snapshots, case when snapshots < 2 then 'NOT_ASSESSED' when len(m) = 0 then 'STABLE' when both_ways then 'REVERSED' when len(m) = 1 then 'ONE_OFF'
   when len(list_filter(range(1, len(m)), lambda i: abs(m[i + 1]) <= abs(m[i]))) = 0 then 'ACCELERATING' else 'PERSISTENT' end as persistence, both_ways as contradiction from z""")
 def persistence_status(t):
     iso = F.concat_ws("-", F.extract(F.lit("YEAROFWEEK"), F.col("ts")).cast("string"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0"))
