@@ -105,10 +105,14 @@ def contextual_events(df: DataFrame, text: str, keys: Sequence[str], rules: dict
     return rows.groupBy(*keys, "event_type", key.alias("_k")).agg(F.min("position").alias("position"), F.min_by("sentence", "position").alias("sentence"), F.min(F.when(F.col("status") == "current_or_general", "a").when(F.col("status") == "historical_or_completed", "b").otherwise("c")).alias("_s"), F.bool_or("quantified").alias("quantified")).select(*keys, "event_type", "position", "sentence", F.when(F.col("_s") == "a", "current_or_general").when(F.col("_s") == "b", "historical_or_completed").otherwise("negated").alias("status"), "quantified")
 
 
+def _term(kind: str):
+    return lambda m: F.struct(F.lit(kind).alias("event_type"), m.alias("term"))
+
+
 def candidates(df: DataFrame, text: str, keys: Sequence[str], rules: dict[str, str], **limits) -> DataFrame:
     """keys, position, event_type, term, sentence, context: every match of every rule."""
     s = with_context(df, text, keys, **limits)
-    hits = F.flatten(F.array(*(F.transform(F.regexp_extract_all("sentence", F.lit(f"(?i)({p})"), F.lit(1)), lambda m, k=k: F.struct(F.lit(k).alias("event_type"), m.alias("term"))) for k, p in rules.items())))
+    hits = F.flatten(F.array(*(F.transform(F.regexp_extract_all("sentence", F.lit(f"(?i)({p})"), F.lit(1)), _term(k)) for k, p in rules.items())))
     return s.select(*keys, "position", "sentence", "context", F.explode(hits).alias("h")).select(*keys, "position", "h.*", "sentence", "context")
 
 
@@ -326,12 +330,16 @@ def canonical_value(metric: Column, value: Column) -> Column:
     return F.when(metric == "capex", F.abs(value)).otherwise(value)
 
 
+def _excerpt(term: str):
+    return lambda e, i: F.struct(F.lit(term).alias("term"), i.alias("n"), e.alias("excerpt"))
+
+
 def excerpts(df: DataFrame, text: str, keys: Sequence[str], terms: Sequence[str], before: int = 180, after: int = 260, most: int = 8) -> DataFrame:
     """keys, term, n, excerpt: windows around matches that do not overlap, the first `most` of a term."""
     found = []
     for t in terms:
         span = rf"(?is)(.{{0,{before}}}{re.escape(t)}.{{0,{after}}})"
-        found.append(F.transform(F.slice(F.regexp_extract_all(text, F.lit(span), F.lit(1)), 1, most), lambda e, i, t=t: F.struct(F.lit(t).alias("term"), i.alias("n"), e.alias("excerpt"))))
+        found.append(F.transform(F.slice(F.regexp_extract_all(text, F.lit(span), F.lit(1)), 1, most), _excerpt(t)))
     return df.select(*keys, F.explode(F.flatten(F.array(*found))).alias("x")).select(*keys, "x.*")
 
 

@@ -198,7 +198,11 @@ def snapshot_mix(df: DataFrame, by: Sequence[str], dimensions: dict[str, str]) -
     before the shuffle.
     """
     arrays = {c for c, t in df.dtypes if t.startswith("array")}
-    pairs = [F.transform(F.col(c), lambda v, n=name: F.struct(F.lit(n).alias("dimension"), F.coalesce(v.cast("string"), F.lit("unknown")).alias("value"))) if c in arrays else F.array(F.struct(F.lit(name).alias("dimension"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("value"))) for name, c in dimensions.items()]
+
+    def pair(name: str):
+        return lambda v: F.struct(F.lit(name).alias("dimension"), F.coalesce(v.cast("string"), F.lit("unknown")).alias("value"))
+
+    pairs = [F.transform(F.col(c), pair(name)) if c in arrays else F.array(pair(name)(F.col(c))) for name, c in dimensions.items()]
     return df.select(*by, F.explode(F.flatten(F.array(*pairs))).alias("p")).groupBy(*by, "p.dimension", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
