@@ -96,7 +96,9 @@ def learn(pages: DataFrame, most: int = LABELLED) -> dict[str, float]:
     article. Keys are of a fixed set of names, so few come to the driver. Without labelled pages the
     prior stands: words 1, tags -1, what stands beside an article -4.
     """
-    labelled = pages.where(F.lower("html").contains("<article")).select("html", F.xxhash64("html").alias("turn")).orderBy("turn").limit(most).select("html")
+    labelled = pages.where(F.lower("html").contains("<article")).select("html", F.xxhash64("html").alias("turn"))
+    last = labelled.select("turn").orderBy("turn").limit(most).agg(F.max("turn").alias("turn")).first().turn
+    labelled = labelled.where(F.col("turn") <= F.lit(last)).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list[int]] = {}
