@@ -106,7 +106,7 @@ def infer_seniority(title: Column) -> Column:
 
 def geography(location: Column) -> Column:
     """country, region, city of a location (H20): the first country named, the last part but one of three, the first part unless remote."""
-    parts = F.filter(F.transform(F.split(location, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(location, ","), lambda p: F.trim(p)), lambda p: p != "")
     padded = F.concat(F.lit(" "), F.lower(location))
     country = F.lit(None).cast("string")
     for word, name in reversed(COUNTRIES.items()):

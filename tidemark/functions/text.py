@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType
 
 # Words that carry no identity in names.
 LEGAL_A = ["plc", "limited", "ltd", "holdings", "group", "the"]
@@ -58,14 +59,14 @@ def jaccard(left, right, pattern: str = "([a-z0-9]+)", stop: Sequence[str] = (),
     return F.when(F.size(F.array_union(a, b)) == 0, empty).otherwise(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two texts, lower case with signs collapsed (H7; no native form)."""
     plain = lambda s: re.sub(r"\W+", " ", s or "").strip().lower()
     return pd.Series([difflib.SequenceMatcher(None, plain(a), plain(b)).ratio() for a, b in zip(left, right)], dtype="float64")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def visible_source_text(text: pd.Series) -> pd.Series:
     """NFKC, straight quotes, no control characters, white space collapsed (H23; NFKC has no native form)."""
     quotes = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"'})
@@ -73,7 +74,7 @@ def visible_source_text(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else clean(s))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """Character references as characters (for G1)."""
     return text.map(lambda s: None if s is None else html.unescape(s))

@@ -63,7 +63,7 @@ def visible_plain_text(html: Column) -> Column:
 def sentences(text: Column, least: int = 20, most: int = 1000, bars: bool = False) -> Column:
     """Sentences of least to most characters, split after . ! ? (or at bars)."""
     parts = F.split(text, r"(?<=[.!?])\s+" + (r"|\s+\|\s+" if bars else ""))
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s).between(least, most))
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda s: F.length(s).between(least, most))
 
 
 def with_context(df: DataFrame, text: str, keys: Sequence[str], **limits) -> DataFrame:
