@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Rows of a block of vectors, and of a block of queries.
 VECTORS, QUERIES = 4096, 512
 #: Places of each list read between two looks at the bound.
-DEPTH = 16
+DEPTH = 64
 
 
 def scaled(vectors: DataFrame) -> DataFrame:
@@ -27,27 +27,27 @@ def threshold_search(query: np.ndarray, matrix: np.ndarray, orders: np.ndarray,
     values at the places reached: no row not yet seen can reach even a tie.
     """
     n = len(ids)
-    weighted = np.flatnonzero(query)
+    falling, rising = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+    weighted = len(falling) + len(rising)
     score = np.full(n, -np.inf)
     seen = ids == own
     at, kth = 0, -np.inf
-    while at < n and len(weighted):
+    while at < n and weighted:
         top = min(n, at + depth)
-        ahead = orders[weighted][:, at:top]
-        behind = orders[weighted][:, n - top : n - at]
-        rows = np.unique(np.where((query[weighted] > 0)[:, None], behind, ahead))
-        rows = rows[~seen[rows]]
-        seen[rows] = True
+        new = np.zeros(n, bool)
+        new[orders[falling, n - top : n - at]] = True
+        new[orders[rising, at:top]] = True
+        rows = np.flatnonzero(new & ~seen)
+        seen |= new
         score[rows] = matrix[rows] @ query
-        last = np.where(query[weighted] > 0, orders[weighted, n - top], orders[weighted, top - 1])
-        bound = float(matrix[last, weighted] @ query[weighted])
+        bound = float(matrix[orders[falling, n - top], falling] @ query[falling] + matrix[orders[rising, top - 1], rising] @ query[rising])
         found = np.flatnonzero(score > -np.inf)
         if len(found) >= k:
             kth = np.partition(score[found], len(found) - k)[len(found) - k]
             if kth > bound:
                 break
         at, depth = top, depth * 2
-    if not len(weighted):
+    if not weighted:
         score[~seen] = 0.0
     found = np.flatnonzero(score > -np.inf)
     best = found[np.lexsort((ids[found], -score[found]))[:k]]
