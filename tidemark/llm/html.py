@@ -24,6 +24,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z
 _ROLE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Labelled pages are those with an article element; so many are read to learn the weights, first in hash order.
 LABELLED = 2000
+#: The lowest weight of a tag, and the weights of a tag and a word beside the article.
+LEAST_TAG, BESIDE_TAG, BESIDE_WORD = -3.0, -0.1, -0.02
 
 
 def _beside(attributes: str) -> bool:
@@ -93,8 +95,9 @@ def learn(pages: DataFrame, most: int = LABELLED) -> dict[str, float]:
     """The weight of each key: words score above zero inside articles, tags below.
 
     A weight is the log of the odds that labelled pages have the key inside rather than outside their
-    article. Keys are of a fixed set of names, so few come to the driver. Without labelled pages the
-    prior stands: words 1, tags -1, what stands beside an article -4.
+    article, LEAST_TAG at least; what stands beside the article weighs next to nothing, as it is left out
+    of any region that runs over it. Keys are of a fixed set of names, so few come to the driver. Without labelled pages the
+    prior of `_default` stands.
     """
     labelled = pages.where(F.lower("html").contains("<article")).select("html", F.xxhash64("html").alias("turn"))
     last = labelled.select("turn").orderBy("turn").limit(most).agg(F.max("turn").alias("turn")).first().turn
@@ -117,18 +120,24 @@ def learn(pages: DataFrame, most: int = LABELLED) -> dict[str, float]:
         if r.key == "word ":
             weights[r.key] = min(4.0, max(0.2, odds))
         elif r.key.startswith("word "):
-            weights[r.key] = min(-0.2, odds)
+            weights[r.key] = BESIDE_WORD
         else:
-            weights[r.key] = min(-0.02, odds)
+            weights[r.key] = min(-0.02, max(LEAST_TAG, odds)) if not _apart(r.key) else BESIDE_TAG
     return weights
 
 
+def _apart(key: str) -> bool:
+    name = key.removeprefix("/")
+    return name.endswith(".beside") or name in APART
+
+
 def _default(key: str) -> float:
     name = key.removeprefix("word ").removeprefix("/")
     if not name:
         return 1.0
-    apart = name.endswith(".beside") or name in APART
-    return -4.0 if apart else -0.02 if key.startswith("/") or name not in BLOCK else -0.2
+    if key.startswith("word "):
+        return BESIDE_WORD
+    return BESIDE_TAG if _apart(name) else -0.02 if key.startswith("/") or name not in BLOCK else -0.2
 
 
 def main_text(page: str, weights: dict[str, float]) -> str:
