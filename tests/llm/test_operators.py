@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, html, language, licenses, neardup, packing, quality, queries, suffixes, topk
+from tidemark.llm import bpe, html, language, licenses, neardup, packing, quality, queries, sharding, suffixes, topk
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, node string, place string, score double, words string, tokens string"
@@ -211,6 +211,41 @@ def test_packing_round_trip(spark):
     assert pack(none(spark)).count() == 0
 
 
+# ---- 6
+
+
+def test_lookup_table():
+    names = [f"s{i}" for i in range(7)]
+    table = sharding.lookup_table(names, 701)
+    n = Counter(table)
+    assert set(n) == set(range(7)) and max(n.values()) - min(n.values()) <= 1
+    orders = {}
+    for i, s in enumerate(names):
+        offset, step = (int(hashlib.sha256(f"{k}|{s}".encode()).hexdigest()[:15], 16) for k in ("offset", "step"))
+        orders[i] = [(offset % 701 + j * (step % 700 + 1)) % 701 for j in range(701)]
+        assert sorted(orders[i]) == list(range(701))
+    want = {}
+    while len(want) < 701:
+        for i in range(7):
+            if len(want) < 701:
+                want[next(x for x in orders[i] if x not in want)] = i
+    assert table == [want[s] for s in range(701)]
+    fewer = sharding.lookup_table(names[:6], 701)
+    assert sum(a != b for a, b in zip(table, fewer) if a < 6) < 0.3 * 701
+    with pytest.raises(ValueError):
+        sharding.lookup_table(names, 700)
+
+
+def test_sharding(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    assert plain(queries.op6_sharding(spark, DATA).collect()) == plain(con.sql(queries.oracle_sql()["op6_sharding"]).fetchall())
+    df = odd(spark)
+    got = sharding.place(df)
+    assert got.count() == df.count() and got.where("shard is null").count() == 0
+    assert sharding.place(none(spark)).count() == 0
+
+
 # ---- 7
 
 

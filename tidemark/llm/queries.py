@@ -15,6 +15,23 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.sharding import place
+
+    return place(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "slot", "shard")
+
+
+def op6_sql() -> str:
+    """Placement in SQL; the table itself is tested against its definition."""
+    from tidemark.llm import sharding as sh
+
+    shards = sh.lookup_table(sh.names())
+    return f"""
+with t as (select {shards} as shards), k as (select doc_id, (('0x' || substr(sha256(coalesce(doc_id::varchar, text, '')), 1, 8))::bigint % {sh.SLOTS})::integer as slot from documents)
+select doc_id, slot, printf('shard-%05d', shards[slot + 1]) as shard from k, t
+"""
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.language import identify
 
@@ -140,8 +157,8 @@ from failed
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op2_quality, op3_topk, op4_suffixes, op5_packing, op7_language, op8_neardup, op9_html, op10_bpe)}
+    return {f.__name__: f for f in (op1_licenses, op2_quality, op3_topk, op4_suffixes, op5_packing, op6_sharding, op7_language, op8_neardup, op9_html, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": op2_sql(), "op3_topk": OP3_SQL}
+    return {"op2_quality": op2_sql(), "op3_topk": OP3_SQL, "op6_sharding": op6_sql()}
