@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import conditions, documents, evaluation, integrity, longitudinal, pointintime, sampling, scoring  # noqa: F401
+from tidemark.plans import conditions, documents, evaluation, integrity, ledgers, longitudinal, pointintime, sampling, scoring  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 
