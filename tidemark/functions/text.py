@@ -121,6 +121,12 @@ def direction(text: Column) -> Column:
     return F.when(up & down, "mixed").when(up, "up").when(down, "down").otherwise("none")
 
 
+def source_zone(text: Column) -> Column:
+    """risk, outlook, governance, accounts or narrative by the words of a section."""
+    t = F.lower(text)
+    return F.when(t.rlike(r"\b(?:risk factors?|principal risks?)\b"), "risk").when(t.rlike(r"\b(?:outlook|guidance)\b"), "outlook").when(t.rlike(r"\b(?:board|committee|governance)\b"), "governance").when(t.rlike(r"\b(?:note \d+|balance sheet|cash flow statement)\b"), "accounts").otherwise("narrative")
+
+
 def truncate_context(text: Column, span: Column, most: int = 2400) -> Column:
     """The text cut to `most` characters around the span."""
     at = F.greatest(F.instr(text, span), F.lit(1))

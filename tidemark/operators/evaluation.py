@@ -21,6 +21,11 @@ def brier(score: Column, label: Column) -> Column:
     return F.avg(F.pow(score - label, 2))
 
 
+def backtest_summary(runs: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Results and mean squared error of each run; a run without results has 0 and null."""
+    return runs.join(results, key, "left").groupBy(key).agg(F.count("result_id").alias("results"), F.avg("brier_component").alias("brier"))
+
+
 def distinct_scores(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """A row per distinct score with its rows `n` and positives `pos`; what rank metrics need."""
     return df.groupBy(*by, F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))

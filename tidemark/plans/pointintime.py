@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import evaluation as ev
 from tidemark.operators import joins as jo
 from tidemark.operators import pointintime as pt
 from tidemark.plans.registry import query
@@ -71,8 +72,8 @@ def resolution_left_join(t):
 
 @query("select c_custkey, count(o_orderkey) as results, round(avg((o_totalprice / 500000 - 0.5) ** 2), 9) as brier from customer left join orders on o_custkey = c_custkey group by 1")
 def backtest_summary(t):
-    j = t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return j.groupBy("c_custkey").agg(F.count("o_orderkey").alias("results"), F.round(F.avg(F.pow(F.col("o_totalprice") / 500000 - 0.5, 2)), 9).alias("brier"))
+    r = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("result_id"), F.pow(F.col("o_totalprice") / 500000 - 0.5, 2).alias("brier_component"))
+    return ev.backtest_summary(t.customer.select("c_custkey"), r, "c_custkey").withColumn("brier", F.round("brier", 9))
 
 
 @query("""select attribute, max(v) filter (seg = 'BUILDING') as "BUILDING", max(v) filter (seg = 'HOUSEHOLD') as "HOUSEHOLD" from (
