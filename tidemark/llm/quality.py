@@ -79,7 +79,7 @@ def features(docs: DataFrame) -> DataFrame:
         out.withColumn("q_class", F.array(*(s.cast("long") for s in sizes)))
         .withColumn("q_words", F.size("q_list").cast("long"))
         .withColumn("q_word_chars", (F.length(text) - F.col("q_class")[1]).cast("long"))
-        .withColumn("q_symbols", (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"))
+        .withColumn("q_symbols", F.col("q_class")[list(CLASSES).index("symbol")])
         .withColumn("q_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
         .withColumn("q_repeat_words", _repeated(F.col("q_list")))
         .withColumn("q_common", common)
