@@ -20,7 +20,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _BLOCK = 1 << 19
 _R = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1

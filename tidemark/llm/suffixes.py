@@ -92,7 +92,7 @@ def repeated(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 
 
 def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    power, inverse = _powers(1 << max(22, (len(data) + 1).bit_length()))
+    power, inverse = _powers(1 << max(21, (len(data) + 1).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_byte_codes()[data] * power[: len(data)], out=sums[1:])
     return sums, inverse
