@@ -321,6 +321,13 @@ def test_near_duplicates(spark, size, percent):
     assert neardup.near_duplicates(none(spark)).count() == 0
 
 
+def test_near_duplicates_families_of_a_template(spark):
+    frame = [f"t{i}" for i in range(80)]
+    rows = [(2 * f + m, " ".join([*frame, *(f"f{f}x{i}" for i in range(10)), *(f"o{f}x{m}x{i}" for i in range(10))])) for f in range(500) for m in range(2)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: d - d % 2 for d, _ in rows}
+
+
 def test_near_duplicates_repeated_rows(spark):
     got = neardup.near_duplicates(odd(spark)).where("doc_id = 3").collect()
     assert len(got) == 3

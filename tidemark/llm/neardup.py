@@ -19,8 +19,8 @@ from tidemark.llm._work import components, saved
 TREES, DEPTH = 16, 8
 #: A path begins with so many tokens; a node of at most LEAF members is compared exhaustively.
 FIRST, LEAF = 2, 12
-#: Classes of one side that are compared in a task at a time.
-BLOCK = 64
+#: Classes of one side that are compared in a task at a time; in large first nodes, with so many shingles at most on the average.
+BLOCK, WIDE, SHINGLES = 64, 2048, 1 << 21
 
 _rng = np.random.default_rng(20)
 _FLIP, _TIMES = (_rng.integers(0, 1 << 63, (TREES * DEPTH, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
@@ -83,20 +83,20 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _paths(classes: DataFrame) -> DataFrame:
-    """node, n_shingles, key, rest: every class in every tree, at the node of its first FIRST tokens."""
+    """node, n_shingles, tree, key, rest: every class in every tree, at the node of its first FIRST tokens."""
     trees = F.array(*(F.struct(F.lit(t).alias("t"), F.slice("tokens", t * DEPTH + 1, DEPTH).alias("path")) for t in range(TREES)))
     rows = classes.select("node", "n_shingles", F.explode(trees).alias("tree"))
-    return rows.select("node", "n_shingles", F.xxhash64("tree.t", *(F.col("tree.path")[k] for k in range(FIRST))).alias("key"), F.slice("tree.path", FIRST + 1, DEPTH - FIRST).alias("rest"))
+    return rows.select("node", "n_shingles", F.col("tree.t").alias("tree"), F.xxhash64("tree.t", *(F.col("tree.path")[k] for k in range(FIRST))).alias("key"), F.slice("tree.path", FIRST + 1, DEPTH - FIRST).alias("rest"))
 
 
-def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """a, b (a < b), and pivot, node of the large nodes: pairs of classes that share a small node, or of which one is a pivot of a large node.
+def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """a, b (a < b), pivot, node of the large nodes, and key, tree, node of the large first nodes: pairs of classes that share a small node, or of which one is a pivot of a large node.
 
     Small nodes give all their pairs, at most LEAF * (LEAF - 1) / 2. A large node gives pairs of each
     member with its smallest member (at the first level in a fourth of the nodes with one by hash too) and
     branches by the next token until it is small or the path is at its end; so the rows are linear in the
     members. Pairs whose sizes alone
-    rule a link out are left out.
+    rule a link out are left out. Pairs that meet in large nodes only are left to `_crowded`.
     """
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     level, found, stars = _paths(classes), [], []
@@ -106,6 +106,7 @@ def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         small = level.where(F.col("members") <= LEAF).select("key", "node", "n_shingles")
         found.append(small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & fits(F.col("x.n_shingles"), F.col("y.n_shingles"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
         large = level.where(F.col("members") > LEAF)
+        crowds = large.select("key", "tree", "node", "n_shingles") if depth == FIRST else crowds
         other = F.when((F.pmod("key", F.lit(4)) == 0) & F.lit(depth == FIRST), F.col("other"))
         stars.append(large.select("node", F.explode(F.array_compact(F.array("low", other))).alias("pivot")).where(F.col("node") != F.col("pivot")))
         if depth == DEPTH or large.isEmpty():
@@ -113,7 +114,7 @@ def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         level = large.select("node", "n_shingles", F.xxhash64("key", F.col("rest")[0]).alias("key"), F.slice("rest", 2, DEPTH).alias("rest"))
     star = saved(reduce(DataFrame.unionByName, stars).distinct())
     found.append(star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
-    return saved(reduce(DataFrame.unionByName, found).distinct()), star
+    return saved(reduce(DataFrame.unionByName, found).distinct()), star, crowds
 
 
 def _sets(wanted: DataFrame, docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
@@ -210,15 +211,92 @@ def _astray(links: DataFrame, star: DataFrame, classes: DataFrame, percent: int,
         links = saved(links.unionByName(new))
 
 
+def _crowded(links: DataFrame, crowds: DataFrame, classes: DataFrame, percent: int, sets_of) -> DataFrame:
+    """More links, between members of a large first node that are still in different components.
+
+    All such pairs are compared, each in the first tree where it meets: members outside of the node's
+    largest component with each other and with that component, in blocks of WIDE by WIDE classes (fewer
+    where sets are large). Sketches find the members that have a partner with as many common tokens as a
+    link has, less six standard deviations; only the sets of these move. Only links leave a task, at most
+    one for each member.
+    """
+    p = percent / 100
+    least = (p - 6 * (p * (1 - p) / (TREES * DEPTH)) ** 0.5) * TREES * DEPTH
+    own = crowds.join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    parts = saved(own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size")))
+    most = F.max(F.struct("n", "comp", "size")).alias("most")
+    whole = parts.groupBy("key").agg(most, F.sum("n").alias("n"), F.sum("size").alias("size")).where(F.col("n") > F.col("most.n"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / WIDE), F.ceil(size / SHINGLES))
+    grid = whole.select("key", F.col("most.comp").alias("main"), blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("rows"), blocks(F.col("most.n"), F.col("most.size")).alias("columns"))
+    inside = F.col("comp") == F.col("main")
+    at = F.when(inside, F.col("rows") + F.pmod(F.xxhash64("node"), F.col("columns"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rows")))
+    placed = own.join(grid, "key").select("key", "tree", "node", "comp", "rows", (F.col("rows") + F.col("columns")).alias("all"), inside.alias("inside"), at.alias("at"))
+    up = F.when(~F.col("inside"), F.transform(F.sequence("at", F.col("all") - 1), lambda j: F.struct(F.col("at").alias("i"), j.alias("j"), F.lit(0).alias("side"))))
+    down = F.when(F.col("at") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.least("at", "rows") - 1), lambda i: F.struct(i.alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"))))
+    cells = placed.select("key", "tree", "node", "comp", F.explode(F.flatten(F.array_compact(F.array(up, down)))).alias("cell")).select("key", "tree", "node", "comp", "cell.*")
+    cells = cells.join(classes.select("node", "n_shingles", "tokens"), "node")
+
+    def mates(cell: pd.DataFrame) -> Iterator[tuple[pd.Series, pd.DataFrame]]:
+        sides = [cell[cell["side"] == k].reset_index(drop=True) for k in (0, 1)]
+        same = cell["i"].iloc[0] == cell["j"].iloc[0]
+        x, y = sides[0], sides[0] if same else sides[1]
+        if x.empty or y.empty:
+            return
+        tokens = [np.stack(d["tokens"].to_numpy()) for d in (x, y)]
+        low = [t.astype(np.uint8) for t in tokens]
+        first = [t.reshape(-1, TREES, DEPTH)[:, :, :FIRST] for t in tokens]
+        comp, n, tree = y["comp"].to_numpy(), y["n_shingles"].to_numpy(), cell["tree"].iloc[0]
+        for k, (c, m) in enumerate(zip(x["comp"], x["n_shingles"])):
+            at = np.flatnonzero((comp != c) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+            at = at[at > k] if same else at
+            at = at[(low[1][at] == low[0][k]).sum(1) >= least]
+            at = at[(tokens[1][at] == tokens[0][k]).sum(1) >= least]
+            at = at[(first[1][at] == first[0][k]).all(2).argmax(1) == tree]
+            if len(at):
+                yield x.iloc[k], y.iloc[at]
+
+    def meet(cell: pd.DataFrame) -> pd.DataFrame:
+        wanted = set()
+        for one, others in mates(cell):
+            wanted.add(one["node"])
+            wanted.update(others["node"])
+        return cell[cell["node"].isin(wanted)]
+
+    likely = saved(cells.groupBy("key", "i", "j").applyInPandas(meet, cells.schema))
+    if likely.isEmpty():
+        return links
+
+    def search(cell: pd.DataFrame) -> pd.DataFrame:
+        root, out = {c: c for c in cell["comp"]}, []
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        for one, others in mates(cell):
+            a, own = one["node"], np.frombuffer(one["items"], np.uint64)
+            for b, comp, items in zip(others["node"], others["comp"], others["items"]):
+                if top(one["comp"]) != top(comp) and linked(own, np.frombuffer(items, np.uint64), percent):
+                    root[top(one["comp"])] = top(comp)
+                    out.append((min(a, b), max(a, b)))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    sets = sets_of(likely.select("node").distinct())
+    new = likely.join(sets, "node").groupBy("key", "i", "j").applyInPandas(search, "a long, b long")
+    return saved(links.unionByName(new))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents linked by Jaccard similarity of their shingle sets.
 
     Equal sets are one class and need no join. Classes meet in TREES independent trees: a path chooses
     FIRST tokens, then one more at each large node, so two sets of similarity s meet in a node of d tokens
     of one tree with probability s ** d; with all trees a pair at the threshold is missed less than once
-    in a million where nodes are small. Links are confirmed on full sets: first each class with its
+    in a million. Links are confirmed on full sets: first each class with its
     smallest candidate, then the pairs that are still in different components, then members of large nodes
-    against the components near by.
+    against the components near by, then all pairs of large first nodes that are still in different
+    components.
 
     component_id is the smallest doc_id reachable. Texts without words (null too) are linked with nothing.
     Rows with a null doc_id are not linked: component_id is null and kept is true. Repeated rows have the
@@ -227,7 +305,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     rows = saved(sketches(docs, size))
     named = rows.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     classes = named.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.max("tokens").alias("tokens"))
-    pairs, star = candidates(classes, percent)
+    pairs, star, crowds = candidates(classes, percent)
     sets_of = lambda wanted: _sets(wanted, docs, rows, size)
     check = lambda p: confirmed(p, sets_of(p.select(F.explode(F.array("a", "b")).alias("node")).distinct()), percent)
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a"))
@@ -240,7 +318,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
         if not rest.isEmpty():
             links = saved(links.unionByName(check(rest)))
         if not star.isEmpty():
-            links = _astray(links, star, classes, percent, sets_of)
+            links = _crowded(_astray(links, star, classes, percent, sets_of), crowds, classes, percent, sets_of)
     comp = components(links)
     smallest = named.groupBy("node").agg(F.min("doc_id").alias("low"))
     smallest = smallest.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
