@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import parse, text
 from tidemark.operators import conditions, evaluation, extraction, integrity, joins, longitudinal, pointintime, sampling, scoring
+from tidemark.plans import catalog
 
 
 def rows(df):
@@ -180,3 +181,14 @@ def test_canonical_json_matches_json(spark):
 def test_facts_validated(spark):
     df = spark.createDataFrame([("We cut jobs.", 10, "cut jobs", "We", "cut", "jobs", "issuer"), ("We cut jobs.", 10, "cut plants", "We", "cut", "plants", "issuer"), ("We cut jobs.", 10, "cut jobs", "We", "cut", "jobs", None)], "zone string, zone_start int, span string, subject string, action string, object string, entity string")
     assert [(r.verdict, r.start) for r in extraction.validate_facts(df).collect()] == [("accept", 13), ("reject", None), ("ambiguous", 13)]
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_dup_events_of_long_documents(spark, tmp_path):
+    a, b = "The licensed parts are delivered to all sites in the north.", "The licensed parts are delivered to all sites in the south."
+    fill = "Nothing else is said in this part of the report at all. " * 20
+    spark.createDataFrame([(1, f"{a} {fill}{b}", "en", "s", 1300), (2, f"{a} {b}", "en", "s", None), (3, a, "en", "s", 60)], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(rows(catalog.queries()["near_dup_events"](spark, str(tmp_path)).select("doc_id", "event_type", "position", "canonical")))
+    assert got == [(1, "licence", 21, 0), (2, "licence", 1, 0)]

@@ -68,8 +68,8 @@ def sentence_flags(t):
 
 @query()
 def near_dup_events(t):
-    s = t.documents.select("source", "lang", F.col("doc_id"), F.substring("text", 1, 10_000_000).alias("text")).where("n_chars < 600")
-    return ex.near_duplicate_events(s, ["source", "lang"], "doc_id", "text")
+    e = ex.contextual_events(t.documents, "text", ["doc_id"], EVENT_RULES)
+    return ex.near_duplicate_events(e, ["doc_id", "event_type"], "position", "sentence")
 
 
 @query()
