@@ -111,6 +111,12 @@ def same_events(t):
     return jo.same_events(d, ["source"], 14, 0.4).withColumn("similarity", F.round("similarity", 9))
 
 
+def best_of(docs):
+    d = docs.select("source", F.col("doc_id").alias("id"), "text")
+    out = jo.best_similarity(d.where("id % 2 = 0"), d.where("id % 2 = 1"), ["source"])
+    return out.withColumn("similarity", F.round("similarity", 9))
+
+
 @query("""with l as (select doc_id as left_id, source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as tok from documents where n_chars < 400), n as (select left_id, source, count(*) as n from l group by all),
 p as (select a.source, a.left_id, b.left_id as right_id, count(*) as both_ from l a join l b on a.source = b.source and a.tok = b.tok and a.left_id % 2 = 0 and b.left_id % 2 = 1 group by all),
 s as (select p.source, p.left_id, p.right_id, both_ / (x.n + y.n - both_)::double as sim from p join n x on x.left_id = p.left_id join n y on y.left_id = p.right_id),
@@ -118,9 +124,12 @@ b as (select source, left_id, max_by(right_id, (sim, right_id)) as right_id, max
 select d.source, d.doc_id as left_id, b.right_id, round(b.sim, 9) as similarity, case when b.sim >= 0.15 then 'agreed' when b.sim is not null then 'weak' else 'unmatched' end as match from documents d left join b on b.left_id = d.doc_id where d.n_chars < 400 and d.doc_id % 2 = 0
 union all select source, null, doc_id, null, 'right_only' from documents d where n_chars < 400 and doc_id % 2 = 1 and not exists (select 1 from b where b.right_id = d.doc_id and b.source = d.source)""")
 def token_similarity_pairs(t):
-    d = t.documents.where("n_chars < 400").select("source", F.col("doc_id").alias("id"), "text")
-    out = jo.best_similarity(d.where("id % 2 = 0"), d.where("id % 2 = 1"), ["source"])
-    return out.withColumn("similarity", F.round("similarity", 9))
+    return best_of(t.documents.where("n_chars < 400"))
+
+
+@query()
+def token_similarity_pairs_whole(t):
+    return best_of(t.documents)
 
 
 @query("""with a as (select 'CUSTOMER 00000000' || i as alias, i % 4 as company_id from range(10) r(i)), k as (select trim(regexp_replace(lower(alias), '[^a-z0-9]+', ' ', 'g')) as k, min(company_id) as company_id from a group by 1)
