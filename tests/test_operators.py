@@ -214,3 +214,8 @@ def whole(spark, name, *cuts):
 def test_token_similarity_of_long_documents(spark):
     mine, theirs = whole(spark, "token_similarity_pairs", (" where n_chars < 400)", ")"), ("d.n_chars < 400 and ", ""), ("n_chars < 400 and ", ""))
     assert mine == theirs and mine
+
+
+def test_same_events_of_long_documents(spark):
+    mine, theirs = whole(spark, "same_events", (" where n_chars < 1500)", ")"))
+    assert mine == theirs and mine

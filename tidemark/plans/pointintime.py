@@ -103,12 +103,21 @@ def snapshots_as_of(t):
     return pt.snapshots_as_of(e, spine, ["user_id"]).select("user_id", "as_of", F.size("arrived").cast("long").alias("arrived"), "available")
 
 
+def same_events_of(docs):
+    d = docs.select("source", F.col("doc_id").alias("id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int")).alias("day"), "text")
+    return jo.same_events(d, ["source"], 14, 0.4).withColumn("similarity", F.round("similarity", 9))
+
+
 @query("""with e as (select doc_id, source, date '2024-01-01' + (doc_id % 28)::integer as day, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as tok from documents where n_chars < 1500), n as (select doc_id, count(*) as n from e group by 1),
 p as (select a.source, a.doc_id as left_id, b.doc_id as right_id, count(*) as both_ from e a join e b on a.source = b.source and a.tok = b.tok and a.doc_id < b.doc_id and abs(date_diff('day', a.day, b.day)) <= 14 group by all)
 select source, left_id, right_id, round(both_ / (x.n + y.n - both_)::double, 9) as similarity from p join n x on x.doc_id = left_id join n y on y.doc_id = right_id where both_ / (x.n + y.n - both_)::double >= 0.4""")
 def same_events(t):
-    d = t.documents.where("n_chars < 1500").select("source", F.col("doc_id").alias("id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int")).alias("day"), "text")
-    return jo.same_events(d, ["source"], 14, 0.4).withColumn("similarity", F.round("similarity", 9))
+    return same_events_of(t.documents.where("n_chars < 1500"))
+
+
+@query()
+def same_events_whole(t):
+    return same_events_of(t.documents)
 
 
 def best_of(docs):
