@@ -219,3 +219,9 @@ def test_token_similarity_of_long_documents(spark):
 def test_same_events_of_long_documents(spark):
     mine, theirs = whole(spark, "same_events", (" where n_chars < 1500)", ")"))
     assert mine == theirs and mine
+
+
+@pytest.mark.parametrize("name, cut", [("mix_trajectory", " where user_id < 40"), ("merge_events", " where user_id < 50"), ("occasion_completeness", " where c_custkey < 400"), ("careers_history", " where user_id % 5 = 0"), ("watchlist", " where event_id % 3 = 0")])
+def test_whole_tables(spark, name, cut):
+    mine, theirs = whole(spark, name, (cut, ""))
+    assert mine == theirs and mine

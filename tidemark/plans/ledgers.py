@@ -88,23 +88,40 @@ def partition_leakage(t):
 m as (select *, ts = max(ts) over (partition by event_type) as is_latest from s)
 select event_type, ts, is_latest, count(*) filter (first_seen = ts) as new, count(*) filter (first_seen < ts and last_seen >= ts) as persistent, count(*) filter (closed_at <= ts) as closed, count(*) filter (is_latest and misses = 1) as absent_once, sum(case when is_latest then coalesce(reopened, 0) else 0 end)::bigint as reopened from m left join l using (event_type) group by all""")
 def careers_history(t):
-    e = t.events
+    return careers_history_of(t.events, t.events.where("user_id % 5 = 0"))
+
+
+@query()
+def careers_history_whole(t):
+    return careers_history_of(t.events, t.events)
+
+
+def careers_history_of(e, known):
     s = e.select("event_type", F.to_date("ts").alias("ts")).distinct()
-    life = e.where("user_id % 5 = 0").groupBy("event_type", "user_id").agg(F.to_date(F.min("ts")).alias("first_seen"), F.to_date(F.max("ts")).alias("last_seen"))
+    life = known.groupBy("event_type", "user_id").agg(F.to_date(F.min("ts")).alias("first_seen"), F.to_date(F.max("ts")).alias("last_seen"))
     life = life.withColumn("closed_at", F.when(F.col("last_seen") < F.lit("2024-01-25").cast("date"), F.date_add("last_seen", 2))).withColumn("misses", F.col("user_id") % 3).withColumn("reopened", F.col("user_id") % 4)
     return lo.careers_history(s, life, ["event_type"])
 
 
-@query("""with s as (select distinct user_id, strftime(ts, '%G-%V') as ts from events where user_id < 40), k as (select distinct user_id, event_type as key from events where user_id < 40), n as (select user_id, event_type as key, strftime(ts, '%G-%V') as ts, count(*) as n from events where user_id < 40 group by all)
-select user_id, key, array_to_string(list(coalesce(case when s.ts = '2024-02' then 'null' else coalesce(n.n, 0)::varchar end, 'null') order by s.ts), ',') as counts from k join s using (user_id) left join n using (user_id, key, ts) group by all""")
-def mix_trajectory(t):
+def mix_trajectory_of(rows):
     iso = F.concat_ws("-", F.extract(F.lit("YEAROFWEEK"), F.col("ts")).cast("string"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0"))
-    e = t.events.where("user_id < 40").select("user_id", F.col("event_type").alias("key"), iso.alias("ts"))
+    e = rows.select("user_id", F.col("event_type").alias("key"), iso.alias("ts"))
     s = e.select("user_id", "ts").distinct().withColumn("legacy", F.col("ts") == "2024-02")
     out = lo.mix_trajectory(e.groupBy("user_id", "key", "ts").agg(F.count(F.lit(1)).alias("n")), s, ["user_id"])
     return out.select("user_id", "key", F.array_join(F.transform("counts", lambda x: F.coalesce(x.cast("string"), F.lit("null"))), ",").alias("counts"))
 
 
+@query("""with s as (select distinct user_id, strftime(ts, '%G-%V') as ts from events where user_id < 40), k as (select distinct user_id, event_type as key from events where user_id < 40), n as (select user_id, event_type as key, strftime(ts, '%G-%V') as ts, count(*) as n from events where user_id < 40 group by all)
+select user_id, key, array_to_string(list(coalesce(case when s.ts = '2024-02' then 'null' else coalesce(n.n, 0)::varchar end, 'null') order by s.ts), ',') as counts from k join s using (user_id) left join n using (user_id, key, ts) group by all""")
+def mix_trajectory(t):
+    return mix_trajectory_of(t.events.where("user_id < 40"))
+
+
+@query()
+def mix_trajectory_whole(t):
+    return mix_trajectory_of(t.events)
+
+
 @query("""with f as (select user_id as company, ts::date as ts, case when event_type = 'view' then 'observation' else event_type end as kind, count(*) as n from events group by all), c as (select distinct company, ts from f where kind <> 'observation'),
 r as (select *, row_number() over (partition by company order by ts desc) as r from c), m as (select company, max(case when r = 1 then ts end) as l, max(case when r = 2 then ts end) as b from r group by 1)
 select company, ts, kind, n from f left join m using (company) where (kind <> 'observation' and ts = l) or (kind = 'observation' and (b is null or ts > b))""")
@@ -161,12 +178,21 @@ def coverage_status(t):
     return out.select("o_orderkey", "status")
 
 
+def occasion_completeness_of(rows):
+    r = rows.select("c_custkey", "c_mktsegment")
+    out = pt.completeness(r, {"evidence": r.where("c_custkey % 3 <> 0"), "outcomes": r.where("c_custkey % 50 <> 0")}, "c_custkey", "c_mktsegment")
+    return out.withColumn("missing", F.array_join(F.col("missing").cast("array<string>"), ","))
+
+
 @query("""with k(kind) as (values ('evidence'), ('outcomes')), r as (select c_custkey, c_mktsegment from customer where c_custkey < 400)
 select c_mktsegment, kind, count(*) as required, count(*) filter (case kind when 'evidence' then c_custkey % 3 <> 0 else c_custkey % 50 <> 0 end) as covered, array_to_string(coalesce(list(c_custkey order by c_custkey) filter (not case kind when 'evidence' then c_custkey % 3 <> 0 else c_custkey % 50 <> 0 end), []), ',') as missing from r, k group by all""")
 def occasion_completeness(t):
-    r = t.customer.where("c_custkey < 400").select("c_custkey", "c_mktsegment")
-    out = pt.completeness(r, {"evidence": r.where("c_custkey % 3 <> 0"), "outcomes": r.where("c_custkey % 50 <> 0")}, "c_custkey", "c_mktsegment")
-    return out.withColumn("missing", F.array_join(F.col("missing").cast("array<string>"), ","))
+    return occasion_completeness_of(t.customer.where("c_custkey < 400"))
+
+
+@query()
+def occasion_completeness_whole(t):
+    return occasion_completeness_of(t.customer)
 
 
 @query("select c_custkey, next_at is null or timestamp '2024-01-20 00:00:00' >= next_at as due from customer left join (select user_id, max(ts) + interval 5 day as next_at from events where event_type = 'signup' group by 1) on user_id = c_custkey")
@@ -182,10 +208,19 @@ def role_shares(t):
     return lo.role_shares(t.customer, ["c_nationkey"], "c_name", {"ones": "1", "nines": "99"}).withColumns({c: F.round(c, 9) for c in ("share", "strength", "materiality")})
 
 
+def merge_events_of(rows):
+    e = rows.select(F.col("user_id").alias("company"), "event_type", F.to_date("ts").alias("period"), F.col("props").alias("span"), F.col("event_id").alias("observation_id"), F.col("value").alias("attributes"))
+    return lo.merge_events(e).withColumn("observation_ids", F.array_join(F.col("observation_ids").cast("array<string>"), ","))
+
+
 @query("""select user_id as company, event_type, ts::date as period, trim(regexp_replace(lower(props), '[^a-z0-9]+', ' ', 'g')) as span_key, array_to_string(list_sort(list(distinct event_id)), ',') as observation_ids, min_by(value, event_id) as attributes from events where user_id < 50 group by all""")
 def merge_events(t):
-    e = t.events.where("user_id < 50").select(F.col("user_id").alias("company"), "event_type", F.to_date("ts").alias("period"), F.col("props").alias("span"), F.col("event_id").alias("observation_id"), F.col("value").alias("attributes"))
-    return lo.merge_events(e).withColumn("observation_ids", F.array_join(F.col("observation_ids").cast("array<string>"), ","))
+    return merge_events_of(t.events.where("user_id < 50"))
+
+
+@query()
+def merge_events_whole(t):
+    return merge_events_of(t.events)
 
 
 @query("""with a as (select p_partkey, p_retailprice as v, p_brand as b, p_size as s from part where p_partkey % 7 <> 0), e as (select p_partkey, case p_partkey % 9 when 0 then -p_retailprice when 1 then p_retailprice * 1000 when 2 then p_retailprice + 1 else p_retailprice end as v, case when p_partkey % 8 = 0 then 'X' else p_brand end as b, p_size + (p_partkey % 10 = 3)::int as s from part where p_partkey % 5 <> 0)

@@ -88,12 +88,21 @@ def search_companies(t):
     return pt.search(t.customer, "12 BUILD", ["c_name", "c_mktsegment"]).select("c_custkey", "c_name", "c_mktsegment")
 
 
+def watchlist_of(rows):
+    d = rows.groupBy(F.col("user_id").alias("company_id")).agg(F.to_date(F.max("ts")).alias("changed"), F.count(F.when(F.col("event_type") == "signup", 1)).alias("observations"))
+    out = pt.watchlist(d, with_observations=True, changed_days=2, order="-changed")
+    return out.select(F.col("company_id").alias("user_id"), "changed", F.col("observations").alias("n"))
+
+
 @query("""with d as (select user_id, max(ts)::date as changed, count(*) filter (event_type = 'signup') as n from events where event_id % 3 = 0 group by 1), m as (select max(changed) as m from d)
 select user_id, changed, n from d, m where date_diff('day', changed, m) <= 2 and n > 0""")
 def watchlist(t):
-    d = t.events.where("event_id % 3 = 0").groupBy(F.col("user_id").alias("company_id")).agg(F.to_date(F.max("ts")).alias("changed"), F.count(F.when(F.col("event_type") == "signup", 1)).alias("observations"))
-    out = pt.watchlist(d, with_observations=True, changed_days=2, order="-changed")
-    return out.select(F.col("company_id").alias("user_id"), "changed", F.col("observations").alias("n"))
+    return watchlist_of(t.events.where("event_id % 3 = 0"))
+
+
+@query()
+def watchlist_whole(t):
+    return watchlist_of(t.events)
 
 
 @query("with d as (select user_id, ts::date as as_of, count(*) as n from events group by all), s as (select unnest([date '2024-01-05', date '2024-01-20']) as as_of), u as (select distinct user_id from events) select user_id, s.as_of, coalesce((select n from d where d.user_id = u.user_id and d.as_of = s.as_of), 0) as arrived, coalesce((select sum(n) from d where d.user_id = u.user_id and d.as_of <= s.as_of), 0)::bigint as available from u, s")
