@@ -328,6 +328,51 @@ def test_near_duplicates_families_of_a_template(spark):
     assert {r.doc_id: r.component_id for r in got} == {d: d - d % 2 for d, _ in rows}
 
 
+def template_twins(groups, words, changes):
+    """Twins one word apart, all made from one template by changes from a shared set of words."""
+    rng = random.Random(4)
+    rows = []
+    for g in range(groups):
+        one = [f"t{i}" for i in range(words)]
+        for p in rng.sample(range(words), changes):
+            one[p] = f"s{rng.randrange(50)}"
+        two = list(one)
+        two[rng.randrange(words)] = f"x{g}"
+        rows += [(2 * g, " ".join(one)), (2 * g + 1, " ".join(two))]
+    return rows
+
+
+def test_near_duplicates_twins_in_a_crowd(spark):
+    rows = template_twins(4000, 300, 8)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: d - d % 2 for d, _ in rows}
+
+
+def test_near_duplicates_crowds_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "WIDE", 100)
+    rng = random.Random(6)
+    rows = template_twins(120, 90, 2) + template_twins(60, 60, 4)
+    rows = [(k, t) for k, (_, t) in enumerate(rows)] + [(1000 + k, " ".join(rng.sample([f"t{i}" for i in range(90)], 90))) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(df).collect()
+    assert plain(tuple(r)[:3] for r in got) == plain(brute_components(df.collect(), 3, 85))
+
+
+def test_overlaps_and_marks():
+    rng = np.random.default_rng(1)
+    xs = [np.unique(rng.integers(0, 300, 80).astype(np.uint64)) for _ in range(70)]
+    ys = [np.unique(np.concatenate([rng.integers(0, 3000, 50), rng.integers(0, 20, 10)]).astype(np.uint64)) for _ in range(90)]
+    want = [[len(np.intersect1d(a, b)) for b in ys] for a in xs]
+    assert neardup.overlaps(xs, ys, columns=7).tolist() == want
+    signs = lambda v: np.unpackbits(neardup.mark(v)).astype(float) * 2 - 1
+    for n in (5, 40, 300, 5000):
+        for _ in range(20):
+            x = np.unique(rng.integers(1, 1 << 62, n).astype(np.uint64))
+            y = np.concatenate([x[: -(-n * 92 // 100)], rng.integers(1, 1 << 62, n // 12).astype(np.uint64)])
+            true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+            assert true < 0.85 or signs(x) @ signs(y) / 2048 >= neardup._least(np.array([len(x)]), 85)[0]
+
+
 def test_near_duplicates_repeated_rows(spark):
     got = neardup.near_duplicates(odd(spark)).where("doc_id = 3").collect()
     assert len(got) == 3
