@@ -133,15 +133,20 @@ def lowered(text: str) -> str:
 
 
 class Words:
-    """Numbers distinct pieces across batches by open addressing; starts anew when it holds `most`, so that memory is bounded."""
+    """Numbers distinct pieces across batches by open addressing; starts anew when it holds `most`, so that memory is bounded.
+
+    Pieces are found by hash and then compared byte by byte; different ones of one hash are told apart.
+    """
 
     def __init__(self, most: int = 1_000_000):
-        self.most, self.count = most, 0
+        self.most, self.count, self.total = most, 0, 0
+        self.clashes: dict[bytes, int] = {}
+        self.flat, self.start, self.size, self.used = np.zeros(1 << 16, np.uint8), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
         self.bits = (2 * most).bit_length()
         self.keys, self.numbers = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
 
     def full(self) -> bool:
-        return self.count > self.most * 3 // 4
+        return self.total > self.most * 3 // 4
 
     def _slots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The slot that holds each hash, or the empty slot where its search ends; whether it is held."""
@@ -163,6 +168,29 @@ class Words:
             lost = self.keys[slot] != hashes
             hashes, numbers = hashes[lost], numbers[lost]
 
+    def _keep(self, pieces: list[bytes]) -> None:
+        """Stores the bytes of the pieces numbered next."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        total = int(sizes.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.total + len(pieces) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + total] = np.frombuffer(b"".join(pieces), np.uint8)
+        self.start[self.total : self.total + len(pieces)] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.total : self.total + len(pieces)] = sizes
+        self.used += total
+        self.total += len(pieces)
+
+    def _other(self, data, starts, ends, numbers) -> np.ndarray:
+        """The pieces whose bytes are not those of their number."""
+        sizes = ends - starts
+        wrong = self.size[numbers] != sizes
+        sizes = np.where(wrong, 0, sizes)
+        differ = np.flatnonzero(data[ragged(starts, sizes)] != self.flat[ragged(self.start[numbers], sizes)])
+        wrong[np.searchsorted(np.cumsum(sizes), differ, "right")] = True
+        return np.flatnonzero(wrong)
+
     def number(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
         """Each piece's number, and the pieces seen for the first time in the order of their numbers."""
         hashes = span_hashes(data, starts, ends)
@@ -171,7 +199,7 @@ class Words:
         missing = np.flatnonzero(~held)
         if len(missing):
             keys, at, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
-            numbers = np.arange(self.count, self.count + len(keys))
+            numbers = np.arange(self.total, self.total + len(keys))
             if len(keys) + self.count > (1 << self.bits) // 2:
                 self._grow()
             self._put(keys, numbers)
@@ -180,6 +208,14 @@ class Words:
             first = missing[at]
             raw = data.tobytes()
             new = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
+            self._keep(new)
+        for i in self._other(data, starts, ends, out).tolist():
+            piece = data[starts[i] : ends[i]].tobytes()
+            if piece not in self.clashes:
+                self.clashes[piece] = self.total
+                self._keep([piece])
+                new.append(piece)
+            out[i] = self.clashes[piece]
         return out, new
 
     def _grow(self) -> None:

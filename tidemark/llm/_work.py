@@ -26,6 +26,14 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, columns: Sequence[str]) -> str:
+    """`name`, or with so many underscores that no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def hot_keys(counts: DataFrame, key: str) -> DataFrame:
     """The MOST_HOT largest keys of `counts` (key, n) with more than HOT rows.
 

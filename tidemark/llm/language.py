@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -19,7 +19,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 #: The training sample: so many texts of each language by hash order, so many in all, so many characters of each.
 PER_LANGUAGE, MOST_TEXTS, MOST_CHARS = 400, 8000, 2048
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -147,34 +147,35 @@ def fit(docs: DataFrame, **limits) -> Model | None:
     return train([r.text.encode() for r in rows], [r.lang for r in rows]) if rows else None
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """`docs` with lang_pred and score, by the mean over windows of the whole text.
+def predict(docs: DataFrame, model: Model | None, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """`docs` with a prediction `pred` and its `score`, by the mean over the bytes of the whole text of their windows' probabilities.
 
-    lang_pred is one of the model's languages, `und` with score 0 where text is null or has no letter
+    The prediction is one of the model's languages, `und` with score 0 where text is null or has no letter
     or there is no model. Columns of docs by those names are replaced; other columns stay.
     """
-    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c.lower() not in (pred, score)]
     base = docs.select(*(F.col(f"`{c}`") for c in names))
-    schema = StructType([*base.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*base.schema, StructField(pred, StringType()), StructField(score, DoubleType())])
     at = next(i for i, c in enumerate(names) if c.lower() == "text")
     shared = base.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value) if shared.value else None
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            known = np.array([bool(t) and _LETTER.search(t) is not None for t in texts], bool) if scorer else np.zeros(len(texts), bool)
-            picked, score = np.full(len(texts), -1), np.zeros(len(texts))
+            known, picked, sure = np.zeros(len(batch), bool), np.full(len(batch), -1), np.zeros(len(batch))
             if scorer:
                 data, offsets = column_bytes(batch.column(at))
                 for i, j in chunks(offsets):
+                    known[i:j] = [bool(t) and _LETTER.search(t) is not None for t in batch.column(at).slice(i, j - i).to_pylist()]
+                    lengths = np.diff(offsets[i : j + 1])
                     x, row = windows(data, offsets[i : j + 1])
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
                     sums = np.zeros((j - i, len(scorer.model.languages)))
-                    np.add.at(sums, row, scorer.probabilities(x))
-                    sums /= np.maximum(np.bincount(row, minlength=j - i), 1)[:, None]
-                    picked[i:j], score[i:j] = sums.argmax(1), sums.max(1)
+                    np.add.at(sums, row, scorer.probabilities(x) * np.minimum(WINDOW, lengths[row] - place * WINDOW)[:, None])
+                    sums /= np.maximum(lengths, 1)[:, None]
+                    picked[i:j], sure[i:j] = sums.argmax(1), sums.max(1)
             languages = [scorer.model.languages[p] if k else "und" for p, k in zip(picked.tolist(), known.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(np.where(known, np.clip(score, 0, 1), 0.0), pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(np.where(known, np.clip(sure, 0, 1), 0.0), pa.float64())], [*names, pred, score])
 
     return base.mapInArrow(run, schema)
 

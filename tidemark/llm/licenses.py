@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._text import LOWER, bounds, chunks, column_bytes, span_hashes
+from tidemark.llm._text import LOWER, bounds, chunks, column_bytes, mix, ragged, span_hashes
+from tidemark.llm._work import saved
 
 # The base phrases and their labels.
 BASE = {
@@ -17,11 +18,10 @@ BASE = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# Notices that stand for a license, of at most MOST_WORDS words each.
+# Notices and whole licenses, as words.
 NOTICES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("gpl-3", "licensed under the gnu general public license version 3"),
     ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
     ("gpl-2", "licensed under the gnu general public license version 2"),
@@ -30,17 +30,59 @@ NOTICES = [
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission "
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+        "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+        "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+        "2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means "
+        "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain "
+        "we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law",
+    ),
 ]
+#: Whole licenses are often told by their first words alone, which are templates too.
+OPENING = 24
 K = 3
-MOST_WORDS = 60
-#: Diagonals this near are one passage with words put in or left out.
-GAP = 3
-#: A passage is labelled when so much of its notice's k-grams is found, within so many times its length.
-LEAST_COVER, MOST_STRETCH = 0.6, 1.5
+MOST_WORDS = 512
+#: Votes of so many template positions are one long.
+BITS = 62
+#: A passage is labelled when so much of its template's k-grams is found around one diagonal, at most
+#: 1 / SPREAD of the template's words away on either side.
+LEAST_COVER, SPREAD = 0.6, 4
 #: Notices of so few words tell licenses apart by a single word, so all their k-grams must be found.
 SHORT = 12
+#: The gram that each text has besides its own, so that a text without any match keeps a row.
+NONE = 0
+#: Diagonals of a text and template are looked at in tiles of so many.
+TILE = 1 << 12
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
@@ -48,111 +90,104 @@ _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
 def templates() -> list[tuple[str, bool, list[str]]]:
     """(label, whether a base phrase, words) of each template; bounded by the two tables above."""
-    out = [(label, True, phrase.split()) for phrase, label in BASE.items()] + [(label, False, text.split()) for label, text in NOTICES]
+    out = [(label, True, phrase.split()) for phrase, label in BASE.items()]
+    for label, text in NOTICES:
+        words = text.split()
+        out += [(label, False, words)] + ([(label, False, words[:OPENING])] if len(words) > 2 * OPENING else [])
     assert all(K <= len(w) <= MOST_WORDS for _, _, w in out)
     return out
 
 
-def _vocabulary() -> list[str]:
-    return sorted({w for _, _, words in templates() for w in words})
-
-
-def _codes(words: np.ndarray, size: int) -> np.ndarray:
-    """The k-grams of word numbers (1 to size; 0: none of them) as exact codes; 0 where a word is none of them."""
-    n = len(words) - K + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    out, every = np.zeros(n, np.int64), np.ones(n, bool)
+def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each row; the row and hash of each k-gram, in order."""
+    part, at = LOWER[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
+    starts, ends = bounds(_WORD[part], at)
+    words = span_hashes(part, starts, ends)
+    n = np.diff(np.searchsorted(starts, at))
+    grams = np.zeros(max(0, len(words) - K + 1), np.uint64)
     for j in range(K):
-        part = words[j : j + n]
-        out = out * (size + 1) + part
-        every &= part > 0
-    return np.where(every, out, 0)
+        grams = mix(grams + words[j : j + len(grams)])
+    first = np.cumsum(n) - n
+    grams[grams == NONE] = 1
+    inside = ragged(first, np.maximum(n - K + 1, 0))
+    return n, np.repeat(np.arange(len(n)), np.maximum(n - K + 1, 0)), grams[inside]
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
-    """template, label, base, t_words, t_grams, t_pos, code: every k-gram of every template."""
-    number = {w: i + 1 for i, w in enumerate(_vocabulary())}
+    """template, label, base, t_words, t_grams, t_pos, gram: every k-gram of every template, and nulls for the gram NONE."""
     rows = []
     for t, (label, base, words) in enumerate(templates()):
-        codes = _codes(np.array([number[w] for w in words], np.int64), len(number))
-        rows += [(t, label, base, len(words), len(codes), i, int(c)) for i, c in enumerate(codes)]
-    return spark.createDataFrame(rows, "template int, label string, base boolean, t_words int, t_grams int, t_pos int, code long")
+        text = " ".join(words).encode()
+        _, _, grams = _grams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        rows += [(t, label, base, len(words), len(grams), i, int(g)) for i, g in enumerate(grams.view(np.int64))]
+    rows.append((None, None, None, None, None, 0, NONE))
+    return spark.createDataFrame(rows, "template int, label string, base boolean, t_words int, t_grams int, t_pos int, gram long")
 
 
 def rolling_grams(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, n_words, pos, code: each text's rolling word k-gram codes.
-
-    Only k-grams whose words are all words of some template are kept: no other can meet one in the
-    join. The codes number the words, so equal codes are equal words.
-    """
-    vocabulary = _vocabulary()
+    """row_id, doc_id, n_words, pos, gram: the hash of every rolling word k-gram of every text, and the gram NONE at -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = [w.encode() for w in vocabulary]
-        ends = np.cumsum([len(w) for w in raw])
-        hashes = span_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(w) for w in raw], ends)
-        order = np.argsort(hashes)
-        known = hashes[order]
         for batch in batches:
             data, offsets = column_bytes(batch.column(2))
             for i, j in chunks(offsets):
-                part, at = LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
-                starts, ends = bounds(_WORD[part], at)
-                found = span_hashes(part, starts, ends)
-                place = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                words = np.where(known[place] == found, order[place] + 1, 0)
-                first = np.searchsorted(starts, at)
-                codes = _codes(words, len(vocabulary))
-                where = np.flatnonzero(codes)
-                row = np.searchsorted(first, where, "right") - 1
-                inside = where + K <= first[row + 1]
-                where, row = where[inside], row[inside]
-                cut = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(first), pa.int64()), pa.ListArray.from_arrays(cut, pa.array(where - first[row], pa.int64())), pa.ListArray.from_arrays(cut, pa.array(codes[where], pa.int64()))],
-                    ["row_id", "doc_id", "n_words", "pos", "code"],
-                )
+                n, row, grams = _grams(data, offsets[i : j + 1])
+                cut = np.searchsorted(row, np.arange(j - i + 1))
+                grams, cut = np.insert(grams, cut[:-1], NONE), (cut + np.arange(j - i + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n, pa.int64()), pa.ListArray.from_arrays(cut, pa.array(grams.view(np.int64)))], ["row_id", "doc_id", "n_words", "grams"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    grams = rows.mapInArrow(run, "row_id long, doc_id long, n_words long, pos array<long>, code array<long>")
-    return grams.select("row_id", "doc_id", "n_words", F.explode_outer(F.arrays_zip("pos", "code")).alias("g")).select("row_id", "doc_id", "n_words", "g.pos", "g.code")
+    return rows.mapInArrow(run, "row_id long, doc_id long, n_words long, grams array<long>").select("row_id", "doc_id", "n_words", F.posexplode("grams").alias("pos", "gram")).withColumn("pos", F.col("pos").cast("long") - 1)
+
 
+KEYS = ["row_id", "doc_id", "n_words", "template", "label", "base", "t_words", "t_grams"]
 
-def diagonals(docs: DataFrame) -> DataFrame:
-    """A row per text, template and offset diagonal with votes: the template positions found, as bits.
 
-    Texts without any keep a row whose template is null. The templates are broadcast: their number
-    is fixed in this module.
+def _longs() -> int:
+    return -(-max(len(w) for _, _, w in templates()) // BITS)
+
+
+def diagonals(grams: DataFrame) -> DataFrame:
+    """A row per text, template and offset diagonal with votes: the template positions found, as bits of the longs v0, v1, ...
+
+    All k-grams are joined; the templates are broadcast: their number is fixed in this module.
     """
-    grams = rolling_grams(docs)
-    spark = docs.sparkSession
-    voted = grams.join(F.broadcast(template_grams(spark)), "code", "left")
-    keys = ["row_id", "doc_id", "n_words", "template", "label", "base", "t_words", "t_grams"]
-    return voted.groupBy(*keys, (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.bit_or(F.expr("shiftleft(1L, t_pos)")).alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    voted = grams.join(F.broadcast(template_grams(grams.sparkSession)), "gram")
+    votes = [F.bit_or(F.when(F.floor(F.col("t_pos") / BITS) == k, F.expr(f"shiftleft(1L, cast(t_pos % {BITS} as int))")).otherwise(F.lit(0).cast("long"))).alias(f"v{k}") for k in range(_longs())]
+    return voted.groupBy(*KEYS, (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(*votes, F.min("pos").alias("low"), F.max("pos").alias("high"))
 
 
-def _cover(bits: Column) -> Column:
-    return F.bit_count(bits) / F.col("t_grams")
+def _cover(names: list[Column]) -> Column:
+    total = F.lit(0)
+    for c in names:
+        total = total + F.bit_count(c)
+    return total / F.col("t_grams")
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, n_words, template, label, base, start, stop, cover: verified passages; nulls for a text without any.
+def passages(found: DataFrame) -> DataFrame:
+    """row_id, doc_id, n_words, template, label, base, start, stop, cover: the verified passages among diagonals.
 
-    Neighbouring diagonals of a text and template are merged; a passage stands if it holds LEAST_COVER
-    of the notice's k-grams (a base phrase: all, on one diagonal; a notice of SHORT words: all) within MOST_STRETCH of its length.
+    A base phrase stands where all its k-grams are on one diagonal. Around each diagonal of a notice, the
+    neighbours up to 1 / SPREAD of its words away are merged, each position counted once; a passage stands
+    there if they hold LEAST_COVER of the notice's k-grams (a notice of SHORT words: all). So matches
+    further off neither add to a passage nor take from it. Diagonals are merged in tiles of TILE with
+    their neighbours copied in, so a text that repeats a notice any number of times is dealt over tasks.
     """
-    order = Window.partitionBy("row_id", "template").orderBy("diagonal")
-    found = diagonals(docs)
-    away = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(order) > GAP)
-    merged = found.withColumn("cluster", F.sum(F.when(away, 1).otherwise(0)).over(order))
-    keys = ["row_id", "doc_id", "n_words", "template", "label", "base", "t_words", "t_grams"]
-    spans = merged.groupBy(*keys, "cluster").agg(F.bit_or("votes").alias("votes"), F.min("low").alias("start"), (F.max("high") + K).alias("stop"))
-    cover = _cover(F.col("votes"))
-    stands = F.when(F.col("base") | (F.col("t_words") <= SHORT), cover == 1).otherwise((cover >= LEAST_COVER) & (F.col("stop") - F.col("start") <= MOST_STRETCH * F.col("t_words")))
-    stands = F.coalesce(stands, F.lit(False))
-    blank = lambda c, kind: F.when(stands, c).otherwise(F.lit(None).cast(kind))
-    return spans.select("row_id", "doc_id", "n_words", blank(F.col("template"), "int").alias("template"), blank(F.col("label"), "string").alias("label"), blank(F.col("base"), "boolean").alias("base"), blank(F.col("start"), "long").alias("start"), blank(F.col("stop"), "long").alias("stop"), blank(cover, "double").alias("cover"))
+    longs = [f"v{k}" for k in range(_longs())]
+    whole = _cover([F.col(c) for c in longs])
+    result = ["row_id", "doc_id", "n_words", "template", "label", "base", "start", "stop", "cover"]
+    base = found.where("base").withColumn("cover", whole).where("cover = 1").select("row_id", "doc_id", "n_words", "template", "label", "base", F.col("low").alias("start"), (F.col("high") + K).alias("stop"), "cover")
+    reach = F.ceil(F.col("t_words") / SPREAD)
+    tiles = F.array_distinct(F.array(*(F.floor(d / TILE) for d in (F.col("diagonal"), F.col("diagonal") - reach, F.col("diagonal") + reach))))
+    placed = found.where("not base").withColumn("tile", F.explode(tiles))
+    spreads = sorted({-(-len(w) // SPREAD) for _, b, w in templates() if not b})
+    merged = None
+    for spread in spreads:
+        near = Window.partitionBy("row_id", "template", "tile").orderBy("diagonal").rangeBetween(-spread, spread)
+        own = placed.where(reach == spread).select("*", *(F.bit_or(c).over(near).alias(f"m{c}") for c in longs), F.min("low").over(near).alias("start"), (F.max("high").over(near) + K).alias("stop"))
+        merged = own if merged is None else merged.unionByName(own)
+    notices = merged.where(F.floor(F.col("diagonal") / TILE) == F.col("tile")).withColumn("cover", _cover([F.col(f"m{c}") for c in longs]))
+    return base.unionByName(notices.where(F.col("cover") >= F.when(F.col("t_words") <= SHORT, 1.0).otherwise(LEAST_COVER)).select(*result))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -162,11 +197,14 @@ def scan(docs: DataFrame) -> DataFrame:
     empty. score is the best passage's share of its notice, 1 for a base phrase, 0 without any.
     Repeated rows and null doc_ids give a row each; an empty table gives none; other columns are ignored.
     """
+    grams = rolling_grams(docs)
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     at = F.when(F.col("base"), F.col("start"))
+    found = saved(diagonals(grams))
+    blank = [F.lit(None).cast(t).alias(c) for c, t in (("template", "int"), ("label", "string"), ("base", "boolean"), ("start", "long"), ("stop", "long"), ("cover", "double"))]
+    rows = passages(found).unionByName(found.where("template is null").select("row_id", "doc_id", "n_words", *blank))
     return (
-        passages(docs)
-        .groupBy("row_id", "doc_id", "n_words")
+        rows.groupBy("row_id", "doc_id", "n_words")
         .agg(
             F.count(at).alias("n_base"),
             F.min(at).alias("first_word"),

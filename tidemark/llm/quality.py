@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm._work import saved
+
 # Common words of each language; other languages take the last row.
 COMMON = {
     "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "with", "on"],
@@ -58,15 +60,16 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) >= 3, let(hashes, count)).otherwise(0).cast("long")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """`docs` with the counts of each text (null: empty) in columns that begin with `q_`.
+def features(docs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of `docs` (text, lang, others) as q_row, and the counts of each text (null: empty).
 
-    q_words, q_word_chars, q_symbols, q_dup_lines, q_repeat_words; q_group: the language, '' if it has no
+    q_row: all columns but a name of `without`, as one struct, so that no name can clash; q_words, q_word_chars, q_symbols, q_dup_lines, q_repeat_words; q_group: the language, '' if it has no
     row in COMMON; q_class: characters of each class; q_common: each common word, and all others.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumn("q_group", F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise(""))
+    names = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in without]
+    out = docs.select(F.struct(*names).alias("q_row"), "text", "lang").withColumn("q_group", F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise(""))
     out = out.withColumn("q_list", F.filter(F.split(text, BLANKS), lambda x: x != ""))
     left, sizes = text, []
     for k, pattern in enumerate(CLASSES.values()):
@@ -83,7 +86,7 @@ def features(docs: DataFrame) -> DataFrame:
         .withColumn("q_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
         .withColumn("q_repeat_words", _repeated(F.col("q_list")))
         .withColumn("q_common", common)
-        .drop("q_list", *(f"q_left{k}" for k in range(len(CLASSES))))
+        .drop("text", "lang", "q_list", *(f"q_left{k}" for k in range(len(CLASSES))))
     )
 
 
@@ -106,16 +109,17 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), total(terms)))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """`docs` with the q_ columns, q_base_failed and q_kept.
+def judge(docs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """q_row, the q_ counts, q_base_failed and q_kept of each row of `docs` (see `features`).
 
     A text fails the base rules with fewer than LEAST_WORDS words or more than half of its words in
     repeated windows. Of the others, a text is dropped when its character classes or its common words
     are too far from its language's reference, unless it or the reference is too short to tell. Null
-    texts are empty, null languages the group ''. Every row gives one row; other columns stay.
+    texts are empty, null languages the group ''. Every row gives one row. The counts are made once
+    and saved; references and verdicts read them.
     """
-    found = features(docs)
-    joined = found.join(F.broadcast(references(features(docs.select("text", "lang")))), "q_group", "left")
+    found = saved(features(docs, without))
+    joined = found.join(F.broadcast(references(found)), "q_group", "left")
     failed = (F.col("q_words") < LEAST_WORDS) | (100 * F.col("q_repeat_words") > 50 * F.col("q_words"))
     far = (F.col("q_words") >= GUARD_CLASS) & (F.col("q_class_distance") > MOST_CLASS) | (F.col("q_words") >= GUARD_COMMON) & (F.col("q_common_distance") > MOST_COMMON)
     return (
@@ -126,7 +130,13 @@ def judge(docs: DataFrame) -> DataFrame:
     )
 
 
+def passed(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that `judge` keeps, with the columns of docs, whatever their names."""
+    return judge(docs).where("q_kept").select("q_row.*")
+
+
 def rules(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     names = {"q_words": "n_words", "q_word_chars": "word_chars", "q_symbols": "n_symbols", "q_dup_lines": "n_dup_lines", "q_repeat_words": "n_repeat_words", "q_base_failed": "base_failed", "q_kept": "kept"}
-    return judge(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")).select("doc_id", *(F.col(k).alias(v) for k, v in names.items()))
+    found = judge(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), without=("text", "lang"))
+    return found.select("q_row.doc_id", *(F.col(k).alias(v) for k, v in names.items()))

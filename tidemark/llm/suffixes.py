@@ -11,19 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._text import _byte_codes, _powers, chunks, column_bytes, mix, ragged
-from tidemark.llm._work import saved
+from tidemark.llm._work import fresh, hot_join, hot_keys, saved
 
 #: Bytes of a passage.
 LENGTH = 200
 #: Every passage has one anchor: of its WINDOW k-grams of CORE bytes, the last with the least hash.
 WINDOW = 101
 CORE = LENGTH - WINDOW + 1
-#: Symbols of an anchor's passages apart from its core, and with the core as one symbol.
-AROUND = LENGTH - CORE + 1
-#: Contexts of one core that a suffix array takes; the passages of cores with more are counted one by one.
+#: Contexts of one core that a suffix array takes; a core with more is split into longer cores.
 MOST_CONTEXTS = 4096
 #: Symbols of one suffix array; under 2 ** 21, so that three ranks fit a 63-bit key.
 MOST_SYMBOLS = 1 << 20
+#: The anchor of a passage has the least leading half of a hash, the last of those on ties.
+_HALF = np.uint64(32)
+_LOW = np.uint64((1 << 32) - 1)
 
 
 # ---- difference cover modulo 3 -------------------------------------------------------------
@@ -118,15 +119,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     sums, inverse = _sums(data)
     k = n - CORE + 1
     grams = mix((sums[CORE:] - sums[:k]) * inverse[:k])
-    bits = np.uint64(k.bit_length())
-    key = (grams >> bits << bits) | (np.uint64((1 << int(bits)) - 1) - np.arange(k, dtype=np.uint64))
+    key = (grams >> _HALF << _HALF) | (_LOW - np.arange(k, dtype=np.uint64))
     padded = np.full(-(-k // WINDOW) * WINDOW, np.iinfo(np.uint64).max)
     padded[:k] = key
     ahead = np.minimum.accumulate(padded.reshape(-1, WINDOW), axis=1).ravel()
     behind = np.minimum.accumulate(padded.reshape(-1, WINDOW)[:, ::-1], axis=1)[:, ::-1].ravel()
     first = ragged(offsets[:-1], valid)
     least = np.minimum(behind[first], ahead[first + WINDOW - 1])
-    chosen = (np.uint64((1 << int(bits)) - 1) - (least & np.uint64((1 << int(bits)) - 1))).astype(np.int64)
+    chosen = (_LOW - (least & _LOW)).astype(np.int64)
     row = np.repeat(np.arange(len(sizes)), valid)
     new = np.ones(len(first), bool)
     new[1:] = (chosen[1:] != chosen[:-1]) | (row[1:] != row[:-1])
@@ -164,28 +164,64 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     return _keyed(docs).select("row", "text").mapInArrow(run, "row long, place long, core long, context long")
 
 
+ITEM = "row long, place long, core long, single boolean, left binary, right binary"
+_ITEM = pa.schema([("row", pa.int64()), ("place", pa.int64()), ("core", pa.int64()), ("single", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+
 def _contexts(open_: DataFrame, docs: DataFrame) -> DataFrame:
-    """The open anchors with the bytes before and after their cores that their passages have."""
-    places = open_.groupBy("row").agg(F.collect_list(F.struct("place", "core", "single", "hot")).alias("places"))
-    texts = _keyed(docs).select("row", "text").join(places.hint("shuffle_hash"), "row").dropDuplicates(["row"])
-    schema = "row long, place long, core long, single boolean, hot boolean, left binary, right binary"
+    """The open anchors with the bytes before and after their cores that their passages have.
+
+    A repeated row may give its contexts again; none of them is single, so that changes nothing.
+    """
+    places = open_.groupBy("row").agg(F.collect_list(F.struct("place", "core", "single")).alias("places"))
+    texts = _keyed(docs).select("row", "text").join(places.hint("shuffle_hash"), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
-            raw = data.tobytes()
+            for i, j in chunks(offsets):
+                raw, base, out = data[offsets[i] : offsets[j]].tobytes(), int(offsets[i]), []
+                for k in range(i, j):
+                    row, start = batch.column(0)[k].as_py(), int(offsets[k]) - base
+                    for p in batch.column(2)[k].as_py():
+                        at, lead, count = _unpack(p["place"])
+                        at += start
+                        out.append((row, p["place"], p["core"], p["single"], raw[at - lead : at], raw[at + CORE : at - lead + count - 1 + LENGTH]))
+                yield _table(out, _ITEM)
+
+    return texts.select("row", "text", "places").mapInArrow(run, ITEM)
+
+
+def _longer(items: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """The items with longer cores: a passage that begins far before its core takes the bytes before into it, any other those after.
+
+    How far it begins before decides alone, so equal passages still have equal cores.
+    """
+    more = (LENGTH - size + 1) // 2
+
+    def name(core: int, side: bytes, taken: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(core.to_bytes(8, "little", signed=True) + side + taken, digest_size=8).digest(), "little", signed=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for row, start, places in zip(batch.column(0).to_pylist(), offsets.tolist(), batch.column(2).to_pylist()):
-                for p in places:
-                    at, lead, count = _unpack(p["place"])
-                    at += start
-                    stop = at - lead + count - 1 + LENGTH
-                    out.append((row, p["place"], p["core"], p["single"], p["hot"], raw[at - lead : at], raw[at + CORE : stop]))
-            columns = list(zip(*out)) or [[]] * 7
-            kinds = [pa.int64()] * 3 + [pa.bool_()] * 2 + [pa.binary()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["row", "place", "core", "single", "hot", "left", "right"])
+            for row, place, core, single, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+                at, lead, count = _unpack(place)
+                far = max(0, min(count, lead - more + 1))
+                if far:
+                    cut = len(left) - more
+                    out.append((row, _pack(at - more, at - lead, far), name(core, b"<", left[cut:]), single, left[:cut], right[: LENGTH - size - lead + far - 1]))
+                if count > far:
+                    near = lead - far
+                    out.append((row, _pack(at, at - near, count - far), name(core, b">", right[:more]), single, left[far:], right[more:]))
+            yield _table(out, _ITEM)
 
-    return texts.select("row", "text", "places").mapInArrow(run, schema)
+    return items.mapInArrow(run, ITEM), size + more
 
 
 def _spans(row: int, place: int, flags: np.ndarray) -> list[tuple[int, int, int]]:
@@ -198,12 +234,13 @@ def _spans(row: int, place: int, flags: np.ndarray) -> list[tuple[int, int, int]
     return [(row, int(at - lead + part[0]), int(at - lead + part[-1] + LENGTH)) for part in np.split(hit, cut)]
 
 
-def _by_suffix_array(contexts: DataFrame) -> DataFrame:
+def _by_suffix_array(contexts: DataFrame, size: int) -> DataFrame:
     """row, start, stop: repeated passages of contexts of the same core, by suffix arrays.
 
     Contexts are dealt by core and sorted in their partition, so that those of a core are in one suffix
-    array, with the core as one symbol and an end symbol for each context.
+    array, with the core of `size` bytes as one symbol and an end symbol for each context.
     """
+    around = LENGTH - size + 1
 
     def solve(rows: list[tuple]) -> list[tuple]:
         cores = {c: 300 + i for i, c in enumerate(dict.fromkeys(r[2] for r in rows))}
@@ -214,7 +251,7 @@ def _by_suffix_array(contexts: DataFrame) -> DataFrame:
             parts += [np.frombuffer(left, np.uint8).astype(np.int64) + 1, [cores[core]], np.frombuffer(right, np.uint8).astype(np.int64) + 1, [end + i]]
             starts.append(at + np.arange(count))
             at += len(left) + len(right) + 2
-        found = repeated(np.concatenate(parts), np.concatenate(starts), AROUND)
+        found = repeated(np.concatenate(parts), np.concatenate(starts), around)
         out, low = [], 0
         for (row, place, _, single, _, _), own in zip(rows, starts):
             if single:
@@ -224,7 +261,7 @@ def _by_suffix_array(contexts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, last = 0, 0
+        held_size = 0
 
         def give(rows):
             columns = list(zip(*solve(rows))) or [[]] * 3
@@ -233,11 +270,11 @@ def _by_suffix_array(contexts: DataFrame) -> DataFrame:
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and r[2] != held[-1][2]:
-                    if size > MOST_SYMBOLS // 2:
+                    if held_size > MOST_SYMBOLS // 2:
                         yield give(held)
-                        held, size = [], 0
+                        held, held_size = [], 0
                 held.append(r)
-                size += len(r[4]) + len(r[5]) + 2
+                held_size += len(r[4]) + len(r[5]) + 2
         if held:
             yield give(held)
 
@@ -245,27 +282,30 @@ def _by_suffix_array(contexts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "row long, start long, stop long")
 
 
-def _one_by_one(contexts: DataFrame) -> DataFrame:
-    """row, start, stop: repeated passages of contexts whose core has too many of them, by counting each passage.
+def _settled(items: DataFrame) -> DataFrame:
+    """row, start, stop: the repeated passages of the single items.
 
-    Counts are aggregated before the shuffle, so that a passage in very many texts makes no large group.
+    Cores of one item hold nothing repeated. Cores of MOST_CONTEXTS items or fewer go to suffix arrays.
+    Larger ones are split by the bytes next to them into longer cores, as often as it takes; a core as
+    long as a passage is one.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row, place, core, single, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                at, lead, count = _unpack(place)
-                whole = left + right
-                for i in range(count):
-                    digest = hashlib.blake2b(core.to_bytes(8, "little", signed=True) + (lead - i).to_bytes(2, "little") + whole[i : i + AROUND - 1], digest_size=8).digest()
-                    out.append((row, at - lead + i, single, int.from_bytes(digest, "little", signed=True)))
-            columns = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.bool_(), pa.int64()])], ["row", "start", "single", "passage"])
-
-    each = saved(contexts.select("row", "place", "core", "single", "left", "right").mapInArrow(run, "row long, start long, single boolean, passage long"))
-    twice = each.groupBy("passage").count().where(F.col("count") > 1)
-    return each.where("single").join(twice, "passage").select("row", "start", (F.col("start") + LENGTH).alias("stop"))
+    out, size = None, CORE
+    while True:
+        counts = saved(items.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.max("single").alias("any")).where((F.col("n") > 1) & F.col("any")))
+        items = saved(hot_join(items, counts, "core", ["row", "place"], hot_keys(counts, "core")))
+        last = size == LENGTH
+        small = items.where(F.lit(False) if last else F.col("n") <= MOST_CONTEXTS).drop("n", "any")
+        large = items.where(F.lit(True) if last else F.col("n") > MOST_CONTEXTS).drop("n", "any")
+        if last:
+            start = F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(255)
+            found = large.where("single").select("row", start.alias("start"), (start + LENGTH).alias("stop"))
+        else:
+            found = _by_suffix_array(small, size)
+        out = found if out is None else out.unionByName(found)
+        if last or large.isEmpty():
+            return out
+        items, size = _longer(large.select("row", "place", "core", "single", "left", "right"), size)
+        items = saved(items)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -275,24 +315,21 @@ def repeats(docs: DataFrame) -> DataFrame:
        once hold no repeated passage and drop out before any text moves.
     2. An anchor whose whole context occurs twice has only repeated passages.
     3. The contexts left, where a repeat begins or ends, and one of each context of the same cores, are
-       sorted by suffix arrays (difference cover modulo 3) and neighbours compared.
+       sorted by suffix arrays (difference cover modulo 3) and neighbours compared (see `_settled`).
+
+    Rows of cores and contexts that are very frequent are dealt over tasks in every join.
     """
-    found = _anchor_rows(docs)
-    cores = found.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where(F.col("n") > 1)
-    active = saved(found.join(cores.select("core", (F.col("low") != F.col("high")).alias("mixed")), "core"))
-    mixed = active.where("mixed").groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("first"))
-    sizes = mixed.groupBy("core").agg(F.count(F.lit(1)).alias("contexts"))
-    mixed = saved(mixed.join(sizes, "core"))
+    found = saved(_anchor_rows(docs))
+    cores = saved(found.groupBy("core").agg(F.count(F.lit(1)).alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where(F.col("n") > 1))
+    active = saved(hot_join(found, cores.select("core", "mixed"), "core", ["row", "place"], hot_keys(cores, "core")))
+    mixed = saved(active.where("mixed").groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("first")))
+    twice = mixed.where(F.col("n") > 1)
     whole = active.where(~F.col("mixed")).select("row", "place")
-    whole = whole.unionByName(active.where("mixed").join(mixed.where(F.col("n") > 1).select("core", "context"), ["core", "context"], "left_semi").select("row", "place"))
+    whole = whole.unionByName(hot_join(active.where("mixed"), twice.select("context"), "context", ["row", "place"], hot_keys(twice, "context")).select("row", "place"))
     at, lead, count = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
     sure = whole.select("row", (at - lead).alias("start"), (at - lead + count - 1 + LENGTH).alias("stop"))
-    open_ = mixed.select(F.col("first.row").alias("row"), F.col("first.place").alias("place"), "core", (F.col("n") == 1).alias("single"), (F.col("contexts") > MOST_CONTEXTS).alias("hot"))
-    contexts = saved(_contexts(open_, docs))
-    out = sure.unionByName(_by_suffix_array(contexts.where(~F.col("hot"))))
-    if not contexts.where("hot").isEmpty():
-        out = out.unionByName(_one_by_one(contexts.where("hot")))
-    return out
+    open_ = mixed.select(F.col("first.row").alias("row"), F.col("first.place").alias("place"), "core", (F.col("n") == 1).alias("single"))
+    return sure.unionByName(_settled(saved(_contexts(open_, docs))))
 
 
 def _cut(raw: bytes, spans: list) -> tuple[bytes, int, int]:
@@ -312,11 +349,12 @@ def _cut(raw: bytes, spans: list) -> tuple[bytes, int, int]:
     return b"".join(keep), removed, runs
 
 
-def _with_spans(docs: DataFrame, extra: list[str]) -> DataFrame:
-    """The rows of `docs` with all their spans in `_spans` (null: none)."""
-    spans = repeats(docs).groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
-    keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("_row"), *(F.col(f"`{c}`") for c in extra))
-    return keyed.join(spans.hint("shuffle_hash"), "_row", "left").drop("_row")
+def _with_spans(docs: DataFrame, spans: str) -> DataFrame:
+    """The rows of `docs` with all their spans in a new column `spans` (null: none)."""
+    row = fresh("_row", docs.columns)
+    found = repeats(docs).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("start", "stop")).alias(spans))
+    keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    return keyed.join(found.hint("shuffle_hash"), row, "left").drop(row)
 
 
 def removal(docs: DataFrame) -> DataFrame:
@@ -326,35 +364,39 @@ def removal(docs: DataFrame) -> DataFrame:
     another; null texts are empty. A repeated row repeats its passages, so both lose all of 200 bytes or
     more. Rows with a null doc_id count like others; other columns are ignored; no rows give no rows.
     """
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, text, spans in zip(*(batch.column(k) for k in range(3))):
-                raw = (text.as_py() or "").encode()
-                left, removed, runs = _cut(raw, spans.as_py() or [])
-                out.append((doc.as_py(), len(raw), removed, runs, hashlib.sha256(left).hexdigest()))
-            columns = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.string()])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            data, offsets = column_bytes(batch.column(1))
+            for i, j in chunks(offsets):
+                out = []
+                for k in range(i, j):
+                    raw = data[offsets[k] : offsets[k + 1]].tobytes()
+                    left, removed, runs = _cut(raw, batch.column(2)[k].as_py() or [])
+                    out.append((batch.column(0)[k].as_py(), len(raw), removed, runs, hashlib.sha256(left).hexdigest()))
+                yield _table(out, schema)
 
-    joined = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"])
-    return joined.select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "spans")
+    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with repeated passages taken out of text; other columns as they are.
 
-    Where a cut falls inside a character, the bytes of that character that are left go too.
+    Where a cut falls inside a character, the bytes of that character that are left go too. Null texts
+    stay null.
     """
     names, at = docs.columns, next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
-    schema = docs.schema
+    spans = fresh("_spans", names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(at), batch.column(len(names))):
-                text, spans = text.as_py(), spans.as_py()
-                texts.append(text if not spans else _cut(text.encode(), spans)[0].decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names)
-
-    return _with_spans(docs, names).select(*(F.col(f"`{c}`") for c in names), "_spans").mapInArrow(run, schema)
+            for i, j in chunks(column_bytes(batch.column(at))[1]):
+                part, texts = batch.slice(i, j - i), []
+                for text, cuts in zip(part.column(at), part.column(len(names))):
+                    text, cuts = text.as_py(), cuts.as_py()
+                    texts.append(text if not cuts else _cut(text.encode(), cuts)[0].decode("utf-8", "ignore"))
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else part.column(k) for k in range(len(names))], names)
+
+    return _with_spans(docs, spans).select(*(F.col(f"`{c}`") for c in names), F.col(spans)).mapInArrow(run, docs.schema)

@@ -7,10 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm._work import saved
+
 #: Rows of a block of vectors, and of a block of queries.
-VECTORS, QUERIES = 4096, 512
-#: Places of each list read between two looks at the bound.
-DEPTH = 64
+VECTORS, QUERIES = 16384, 4096
+#: Places of each list read before the first look at the bound; twice as many before each next one.
+DEPTH = 2
 
 
 def scaled(vectors: DataFrame) -> DataFrame:
@@ -19,20 +21,23 @@ def scaled(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double")).alias("v"))
 
 
-def threshold_search(query: np.ndarray, matrix: np.ndarray, orders: np.ndarray, ids: np.ndarray, own: int, k: int, depth: int = DEPTH) -> list[tuple[int, int]]:
-    """(score, vec_id) of the k best rows of a block but the query's own.
+def threshold_search(query: np.ndarray, matrix: np.ndarray, orders: np.ndarray, ids: np.ndarray, own: int, k: int, depth: int = DEPTH, floor: float = -np.inf) -> tuple[list[tuple[int, int]], int]:
+    """(score, vec_id) of the k best rows of a block but the query's own, and how many rows were scored.
 
-    The list of each dimension with a weight is read from its best end, `depth` places at a time; rows
-    seen for the first time are scored in full. It stops when the kth score is above the sum of the
-    values at the places reached: no row not yet seen can reach even a tie.
+    The list of each dimension with a weight is read from its best end; rows seen for the first time are
+    scored in full. It stops when the kth score, or the `floor` that k rows elsewhere reach, is above
+    the sum of the values at the places reached: no row not yet seen can reach even a tie.
     """
     n = len(ids)
     falling, rising = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
     weighted = len(falling) + len(rising)
     score = np.full(n, -np.inf)
     seen = ids == own
-    at, kth = 0, -np.inf
+    at, kth, read = 0, floor, 0
     while at < n and weighted:
+        bound = float(matrix[orders[falling, n - 1 - at], falling] @ query[falling] + matrix[orders[rising, at], rising] @ query[rising])
+        if kth > bound:
+            break
         top = min(n, at + depth)
         new = np.zeros(n, bool)
         new[orders[falling, n - top : n - at]] = True
@@ -40,18 +45,17 @@ def threshold_search(query: np.ndarray, matrix: np.ndarray, orders: np.ndarray,
         rows = np.flatnonzero(new & ~seen)
         seen |= new
         score[rows] = matrix[rows] @ query
-        bound = float(matrix[orders[falling, n - top], falling] @ query[falling] + matrix[orders[rising, top - 1], rising] @ query[rising])
-        found = np.flatnonzero(score > -np.inf)
+        read += len(rows)
+        found = score[score > -np.inf]
         if len(found) >= k:
-            kth = np.partition(score[found], len(found) - k)[len(found) - k]
-            if kth > bound:
-                break
+            kth = max(floor, np.partition(found, len(found) - k)[len(found) - k])
         at, depth = top, depth * 2
     if not weighted:
         score[~seen] = 0.0
+        read = int((~seen).sum())
     found = np.flatnonzero(score > -np.inf)
     best = found[np.lexsort((ids[found], -score[found]))[:k]]
-    return [(int(score[i]), int(ids[i])) for i in best]
+    return [(int(score[i]), int(ids[i])) for i in best], read
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
@@ -60,32 +64,41 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     Queries are the rows whose vec_id is divisible by `every`; candidates are all rows with another
     vec_id and as many components. Both are dealt into blocks of a fixed size; each pair of blocks is
     searched by itself and yields k rows a query, of which the k best are kept, so that no task
-    holds more than two blocks. Repeated candidate rows each take a rank; a repeated query row counts once.
-    An empty table gives no rows; other columns are ignored.
+    holds more than two blocks. A query is searched in one block first; its kth score there is the floor
+    of all others, so that a block whose bound is below it is not read. Repeated candidate rows each take
+    a rank; a repeated query row counts once. An empty table gives no rows; other columns are ignored.
     """
     base = scaled(vectors).withColumn("width", F.size("v"))
-    asked = base.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "width"])
     count = base.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
     blocks, groups = -(-count.n // VECTORS) or 1, -(-count.q // QUERIES) or 1
-    spread = base.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
-    spread = spread.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = asked.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = base.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "width"]).withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
+    spread = base.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    home = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int")
 
     def search(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(rows) and int(queries["width"].iloc[0]):
             ids = rows["vec_id"].to_numpy()
             matrix, wanted = np.stack(rows["v"].to_list()), np.stack(queries["v"].to_list())
-            orders = np.ascontiguousarray(np.argsort(matrix, axis=0, kind="stable").T)
-            for q, own in zip(wanted, queries["vec_id"].tolist()):
-                out += [(own, i, s) for s, i in threshold_search(q, matrix, orders, ids, own, k)]
+            orders = np.ascontiguousarray(np.argsort(matrix, axis=0, kind="stable").astype(np.int32).T)
+            for q, own, floor in zip(wanted, queries["vec_id"].tolist(), queries["floor"].tolist()):
+                out += [(own, i, s) for s, i in threshold_search(q, matrix, orders, ids, own, k, floor=floor)[0]]
         elif len(queries) and len(rows):
             ids = np.sort(rows["vec_id"].to_numpy())
             out = [(own, int(i), 0) for own in queries["vec_id"].tolist() for i in ids[ids != own][:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
+    def meet(queries: DataFrame) -> DataFrame:
+        return queries.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
+
     keys = ["width", "group", "block"]
-    found = asked.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
+    found = meet(asked.withColumn("block", home).withColumn("floor", F.lit(float("-inf"))))
+    if blocks > 1:
+        found = saved(found)
+        enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("kth")).where(F.col("n") == k)
+        floor = F.coalesce("kth", F.lit(float("-inf")))
+        others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b != home))
+        bounded = asked.join(enough, F.col("vec_id") == F.col("query_id"), "left").withColumn("floor", floor).select("vec_id", "v", "width", "group", "floor", others.alias("block"))
+        found = found.unionByName(meet(saved(bounded)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
