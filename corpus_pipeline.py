@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language, neardup, packing, quality, suffixes
-from tidemark.llm._work import saved
+from tidemark.llm._work import fresh, saved
 
 #: Predictions less sure than this are rejected.
 LEAST_SCORE = 0.3
@@ -18,13 +18,14 @@ LEAST_SCORE = 0.3
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return quality.judge(docs).where("q_kept").select(*docs.columns)
+    return quality.passed(docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language that the classifier knows."""
-    found = language.predict(docs, language.fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    pred, score = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
+    found = language.predict(docs, language.fit(docs), pred, score)
+    return found.where((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE)).drop(pred, score)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that are repeated; n_chars follows the text."""
-    return suffixes.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Texts without passages that are repeated; n_chars, where there is one, follows the text."""
+    out = suffixes.without_repeats(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
