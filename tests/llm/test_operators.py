@@ -494,6 +494,49 @@ def test_html_edges(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_all_articles_and_no_markup(spark):
+    weights = html.learn(read(spark, "pages"))
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    page = f"<body><nav><a>menu</a></nav><article><h1>{words('t', 5)}</h1><p>{words('a', 60)}</p><aside>{words('side', 80)}</aside><p class='share of market'>{words('b', 9)}</p></article><div class=ad>{words('ad', 9)}</div><article><div class='article-header'><h1>{words('h', 6)}</h1></div><p>{words('c', 40)}</p></article><footer>{words('f', 9)}</footer>"
+    want = " ".join(words(*x) for x in (("t", 5), ("a", 60), ("b", 9), ("h", 6), ("c", 40)))
+    assert html.main_text(page, weights) == html.main_text(page, {}) == want
+    assert html.main_text(f"<p>{words('a', 20)}</p><p title=\"x>lost words</p><p>last", {}) == words("a", 20) + " lost words last"
+    plain_page = page.replace("<article>", "<div>").replace("</article>", "</div>")
+    assert html.main_text(plain_page, weights) == want
+
+
+def test_html_region_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        gains = [rng.choice((-3.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0)) for _ in range(rng.randint(0, 14))]
+        low, high = html.region(gains)
+        ranges = [(sum(gains[i:j]), i, j) for i in range(len(gains)) for j in range(i, len(gains) + 1)]
+        assert sum(gains[low:high]) == max([0.0, *(x[0] for x in ranges)])
+    weights = {"word": 1.0, "p": -0.5, "/p": -0.5, "div": -2.0, "/div": -2.0}
+    for _ in range(100):
+        page = "".join(rng.choice(("<p>", "</p>", "<div>", "</div>", "one ", "two words ", "<b>", "</b>", "<nav>", "</nav>")) for _ in range(12))
+        parts, gains = html.scored(page, weights)
+        best = max((sum(gains[i:j]), -i, -j) for i in range(len(gains) + 1) for j in range(i, len(gains) + 1))
+        low, high = html.region(gains)
+        assert abs(sum(gains[low:high]) - max(0.0, best[0])) < 1e-9
+        assert html.main_text(page, weights) == " ".join(" ".join(t for t, inside, _ in parts[low:high] if t and inside).split()) or "<p>" in page or "div" in page or "nav" in page
+
+
+@pytest.mark.parametrize("page", ["<a " * 3_000_000 + '"', "<a \"x\" '" * 1_000_000, "<div>" * 2_000_000 + "x", "<nav><p>" * 1_000_000 + "</nav>" * 1_000_000, "<!-" * 3_000_000, "<script>" * 1_000_000, "</x" * 3_000_000, "<p>word " * 1_200_000], ids=range(8))
+def test_html_long_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html.main_text(page, {})
+    assert time.process_time() - began < 60
+
+
+def test_html_repeated_rows(spark):
+    df = read(spark, "pages").limit(3)
+    got = [tuple(r) for r in html.extract(df.unionByName(df)).collect()]
+    assert len(got) == 6 and len(set(got)) == 3
+
+
 # ---- 10
 
 
