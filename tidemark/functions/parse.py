@@ -93,15 +93,33 @@ def job_seniority(title: Column) -> Column:
     return out
 
 
-def infer_function(title: Column) -> Column:
-    """A shorter set of functions by whole words."""
-    t = F.lower(title)
-    return F.when(t.rlike(r"\b(?:engineer|developer|software|data)"), "engineering").when(t.rlike(r"\b(?:sales|account executive)"), "sales").when(t.rlike(r"\b(?:finance|accountant|treasury)"), "finance").when(t.rlike(r"\b(?:operations|supply|manufacturing)"), "operations").when(t.rlike(r"\b(?:people|talent|human resources|recruit)"), "people").when(t.rlike(r"\b(?:legal|counsel|compliance)"), "legal").otherwise("other")
+# Wording of functions and ranks of the shorter classification, in order.
+SHORT_FUNCTIONS = {
+    "operations": r"operations?|plant|production|warehouse|quality",
+    "procurement": r"procurement|purchasing|sourcing|buyer",
+    "transformation": r"transformation|change|programme|program manager",
+    "finance": r"finance|financial|accountant|treasury",
+    "ai_data": r"\bai\b|data|machine learning|analytics",
+    "manufacturing": r"manufactur|factory|machinist|engineering",
+}
+SHORT_RANKS = {"senior": r"chief|director|vice president|\bvp\b|head of", "manager": r"manager|lead"}
+
+
+def _first_pattern(text: Column, table: dict[str, str], other: str) -> Column:
+    out = F.lit(other)
+    for name, pattern in reversed(table.items()):
+        out = F.when(text.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def infer_function(title: Column, department: Column | None = None) -> Column:
+    """The first of six functions that title or department names, else other."""
+    return _first_pattern(F.lower(title if department is None else F.concat_ws(" ", title, department)), SHORT_FUNCTIONS, "other")
 
 
 def infer_seniority(title: Column) -> Column:
-    t = F.lower(title)
-    return F.when(t.rlike(r"\b(?:chief|vp|vice president|director|head)\b"), "senior").when(t.rlike(r"\b(?:junior|graduate|intern|apprentice)\b"), "junior").otherwise("mid")
+    """senior, manager or individual_contributor."""
+    return _first_pattern(F.lower(title), SHORT_RANKS, "individual_contributor")
 
 
 def geography(location: Column) -> Column:

@@ -115,16 +115,31 @@ def strip_html(text: Column) -> Column:
     return F.nullif(collapse(F.regexp_replace(plain, "<[^>]*>", " ")), F.lit(""))
 
 
-def direction(text: Column) -> Column:
-    """up, down, mixed or none by the words of change."""
-    up, down = text.rlike(r"(?i)\b(increase[ds]?|rose|grew|growth|higher|up)\b"), text.rlike(r"(?i)\b(decrease[ds]?|fell|declin\w+|lower|down)\b")
-    return F.when(up & down, "mixed").when(up, "up").when(down, "down").otherwise("none")
-
-
-def source_zone(text: Column) -> Column:
-    """risk, outlook, governance, accounts or narrative by the words of a section."""
-    t = F.lower(text)
-    return F.when(t.rlike(r"\b(?:risk factors?|principal risks?)\b"), "risk").when(t.rlike(r"\b(?:outlook|guidance)\b"), "outlook").when(t.rlike(r"\b(?:board|committee|governance)\b"), "governance").when(t.rlike(r"\b(?:note \d+|balance sheet|cash flow statement)\b"), "accounts").otherwise("narrative")
+# Wording of directions, and of zones in order.
+UP = r"\b(?:increase[ds]?|grew|growth|improv(?:e|ed|ement)|accelerat(?:e|ed|ion)|expand(?:ed|ing|sion)|open(?:ed|ing))\b"
+DOWN = r"\b(?:decrease[ds]?|declin(?:e|ed)|deteriorat(?:e|ed|ion)|contract(?:ed|ion)|reduc(?:e|ed|tion)|pressure|clos(?:e|ed|ure))\b"
+ZONES = {
+    "biography": r"\b(directors?|officers?|biograph|board of directors|executive profile)\b",
+    "accounting_definition": r"\b(accounting polic|basis of preparation|non-gaap|alternative performance measure|definitions?)\b",
+    "legal": r"\b(legal proceedings?|litigation|contingencies|claims and actions)\b",
+    "risk": r"\b(risk factors?|principal risks?)\b",
+}
+FRAGMENT = r"\b(table|£m|\$m|€m|year ended)\b"
+
+
+def polarity(span: Column) -> Column:
+    """The direction of a sentence by its words of change."""
+    up, down = F.lower(span).rlike(UP), F.lower(span).rlike(DOWN)
+    return F.when(up & down, "mixed").when(up, "increase_or_improvement").when(down, "decrease_or_deterioration").otherwise("not_directional_or_unknown")
+
+
+def source_zone(heading: Column, span: Column) -> Column:
+    """The zone of a document by the words of a heading and span."""
+    both = F.lower(F.concat(F.coalesce(heading, F.lit("")), F.lit(" "), span))
+    out = F.when(both.rlike(FRAGMENT) & F.contains(span, F.lit("\n")), "table_or_fragment").otherwise("body_narrative")
+    for name, pattern in reversed(ZONES.items()):
+        out = F.when(both.rlike(pattern), name).otherwise(out)
+    return out
 
 
 def truncate_context(text: Column, span: Column, most: int = 2400) -> Column:

@@ -1,4 +1,4 @@
-"""Document to event and observation jobs as staged pipelines: each stage adds columns, no row is lost."""
+"""Document to event and observation jobs as staged pipelines: each stage adds columns, no row is lost."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import collapse, unescape
@@ -137,15 +137,21 @@ def assess(df: DataFrame) -> DataFrame:
 
 
 def near_duplicate_events(df: DataFrame, keys: Sequence[str], order: str, text: str, least: float = 0.86) -> DataFrame:
-    """order, canonical: rows that repeat an earlier kept row of their group.
+    """keys, order, canonical: rows that repeat an earlier kept row of their group.
 
-    Greedy in order: a row is kept unless its text has a ratio of `least` or more with a kept one. Equal
-    texts are folded natively before; each group is one document's events of a type and is held by one task.
+    Greedy in order: a row is kept unless its text has a ratio of `least` or more with a kept one, and
+    belongs to the first such. `keys` name one document and type. Equal texts are folded before. Texts of
+    a ratio r have lengths in proportion r / (2 - r) or more, so a group falls into chains of rows with
+    no wider step between neighbours' lengths; a chain is held by one task.
     """
     plain = F.trim(F.regexp_replace(F.lower(text), r"(?U)\W+", " "))
     rows = df.select(*keys, order, plain.alias("_t"))
     first = rows.groupBy(*keys, "_t").agg(F.min(order).alias("_first"))
     same = rows.join(first, [*keys, "_t"]).where(F.col(order) != F.col("_first")).select(*keys, order, F.col("_first").alias("canonical"))
+    by_length = Window.partitionBy(*keys).orderBy("_n", "_first")
+    sized = first.withColumn("_n", F.length("_t"))
+    step = F.coalesce(2 * F.lag("_n").over(by_length) < least * (F.lag("_n").over(by_length) + F.col("_n")), F.lit(False))
+    chains = sized.withColumn("_chain", F.sum(step.cast("int")).over(by_length))
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         kept: list[tuple] = []
@@ -160,80 +166,7 @@ def near_duplicate_events(df: DataFrame, keys: Sequence[str], order: str, text:
         return pd.DataFrame(out, columns=[*keys, order, "canonical"])
 
     schema = df.select(*keys, order, F.col(order).alias("canonical")).schema
-    return same.unionByName(first.groupBy(*keys).applyInPandas(fold, schema))
-
-
-def structure(sentence: Column) -> Column:
-    """malformed, bullet, footnote, table_row or narrative."""
-    digits = F.length(sentence) - F.length(F.regexp_replace(sentence, r"\d", ""))
-    return F.when(F.length(F.trim(sentence)) < 15, "malformed").when(sentence.rlike(r"^\s*(?:[-•*·]|\(?[a-z0-9]\))\s"), "bullet").when(sentence.rlike(r"^\s*(?:\(\d+\)|\d+\)|note \d+)"), "footnote").when((digits * 4 > F.length(sentence)) | sentence.rlike(r"\S(?:\s{2,}|\t|\s\|\s)\S+(?:\s{2,}|\t|\s\|\s)\S"), "table_row").otherwise("narrative")
-
-
-def period_binding(sentence: Column, report_year: Column) -> Column:
-    """current, comparative, future, mixed or unbound, by the years that the sentence names."""
-    years = F.transform(F.regexp_extract_all(sentence, F.lit(r"\b(20\d{2})\b"), F.lit(1)), lambda y: y.cast("int"))
-    now, past, later = F.exists(years, lambda y: y == report_year), F.exists(years, lambda y: y < report_year), F.exists(years, lambda y: y > report_year)
-    return F.when(F.size(years) == 0, "unbound").when(now & ~past & ~later, "current").when(past & ~now & ~later, "comparative").when(later & ~now & ~past, "future").otherwise("mixed")
-
-
-def table_disposition(df: DataFrame) -> DataFrame:
-    """Table rows and footnotes are rejected unless wording of a current action promotes them."""
-    kind = structure(F.col("sentence"))
-    promoted = F.col("sentence").rlike(r"(?i)\b(?:announced|approved|commenced|began|initiated|we have|we are)\b")
-    return df.withColumn("structure", kind).withColumn("disposition", F.when(kind == "malformed", "rejected").when(kind.isin("table_row", "footnote") & ~promoted, F.when(F.col("sentence").rlike(r"(?i)\b(?:charge|cost|expense|provision)s?\b"), "rejected").otherwise("ambiguous")).otherwise("kept"))
-
-
-def accounting_observations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rejected rows with figures as measures, once for each span."""
-    rows = df.where((F.col("disposition") == "rejected") & F.col("sentence").rlike(r"\d"))
-    return rows.groupBy(*keys, "sentence").agg(F.regexp_extract(F.first("sentence"), r"([-(]?[$£€]?\d[\d,]*(?:\.\d+)?\)?%?)", 1).alias("figure"))
-
-
-def subject(df: DataFrame) -> DataFrame:
-    """Grammatical subject by the words before the first verb of change, and factual status."""
-    head = F.lower(F.regexp_extract("sentence", r"(?i)^(.*?)\b(?:announced|reduced|closed|opened|increased|decreased|declined|plans?|expects?|may|could|will|has|have|is|are|was|were)\b", 1))
-    who = F.when(head.rlike(r"\b(?:we|our|the company|the group)\b"), "issuer").when(head.rlike(r"\b(?:subsidiary|division|segment|business unit)\b"), "segment").when(head.rlike(r"\bcompetitors?\b"), "competitor").when(head.rlike(r"\bcustomers?\b"), "customer").when(head.rlike(r"\b(?:suppliers?|vendors?)\b"), "supplier").when(head.rlike(r"\b(?:industry|market|sector|economy)\b"), "market").when(head.rlike(r"\b(?:government|regulators?|authorit(?:y|ies))\b"), "authority").otherwise("unresolved")
-    s = F.col("sentence")
-    fact = F.when(s.rlike(NEGATION), "negated").when(s.rlike(HYPOTHETICAL) & ~s.rlike(ACTUAL), "hypothetical").when(s.rlike(PLANNED), "planned").when(s.rlike(HISTORICAL), "historical").otherwise("actual")
-    return df.withColumn("subject", who).withColumn("factual_status", fact)
-
-
-def acceptance(df: DataFrame) -> DataFrame:
-    """accept, reject or ambiguous from subject and status."""
-    own = F.col("subject").isin("issuer", "segment")
-    return df.withColumn("verdict", F.when(F.col("factual_status").isin("negated", "hypothetical", "historical"), "reject").when(own, "accept").when(F.col("subject") == "unresolved", "ambiguous").otherwise("reject"))
-
-
-def verify(df: DataFrame) -> DataFrame:
-    """verdict and code of a deterministic verifier: exclusions, third parties, hypotheses, fragments."""
-    s = F.col("sentence")
-    code = F.when(s.rlike(BIOGRAPHY) | s.rlike(ACCOUNTING), "excluded_wording").when(s.rlike(THIRD) & ~s.rlike(OWN), "third_party").when(s.rlike(HYPOTHETICAL) & ~s.rlike(ACTUAL), "hypothetical").when(F.size(F.split(s, r"\s+")) < 6, "fragment").otherwise("direct_support")
-    return df.withColumn("code", code).withColumn("verdict", F.when(code == "direct_support", "accept").when(code == "fragment", "ambiguous").otherwise("reject"))
-
-
-def sufficiency(df: DataFrame) -> DataFrame:
-    """Six things a sentence must have; a gap in timing alone is ambiguous, any other a rejection."""
-    s = F.col("sentence")
-    parts = {"entity": s.rlike(OWN), "action": s.rlike(ACTUAL) | s.rlike(PLANNED), "object": F.size(F.split(s, r"\s+")) >= 6, "factual": ~(s.rlike(HYPOTHETICAL) & ~s.rlike(ACTUAL)), "affirmed": ~s.rlike(NEGATION), "timing": ~s.rlike(HISTORICAL)}
-    missing = F.array_compact(F.array(*(F.when(~v, F.lit(k)) for k, v in parts.items())))
-    return df.withColumn("missing", missing).withColumn("verdict", F.when(F.size("missing") == 0, "accept").when((F.size("missing") == 1) & F.array_contains("missing", "timing"), "ambiguous").otherwise("reject"))
-
-
-def route(df: DataFrame, families: dict[str, str], include: dict[str, str], exclude: dict[str, str]) -> DataFrame:
-    """family of the event type and the verdict of the family's own wording."""
-    fam = F.try_element_at(F.create_map(*(F.lit(x) for kv in families.items() for x in kv)), F.col("event_type"))
-    ok, bad = F.lit(False), F.lit(False)
-    for k, p in include.items():
-        ok = F.when(F.col("family") == k, F.col("sentence").rlike(p)).otherwise(ok)
-    for k, p in exclude.items():
-        bad = F.when(F.col("family") == k, F.col("sentence").rlike(p)).otherwise(bad)
-    out = df.withColumn("family", fam)
-    return out.withColumn("family_verdict", F.when(F.col("family").isNull(), "ambiguous").when(bad, "reject").when(ok, "accept").otherwise("ambiguous"))
-
-
-def combine(first: Column, second: Column) -> Column:
-    """accept only if both do, reject if either does, else ambiguous."""
-    return F.when((first == "accept") & (second == "accept"), "accept").when((first == "reject") | (second == "reject"), "reject").otherwise("ambiguous")
+    return same.unionByName(chains.groupBy(*keys, "_chain").applyInPandas(fold, schema))
 
 
 def zones(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
@@ -241,11 +174,10 @@ def zones(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
 
     start and stop are zero-based character offsets of the line, summed over the lines before it.
     """
-    lines = F.split(text, "\n")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,line:string>>").alias("out"))
-    step = lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), x.alias("line")))).alias("out"))
-    placed = F.aggregate(lines, zero, step, lambda a: F.filter(a["out"], lambda z: z["line"] != ""))
-    rows = df.select(*keys, F.posexplode(placed).alias("position", "z")).select(*keys, "position", F.col("z.start").alias("start"), F.trim(F.col("z.line")).alias("zone"))
+    lines = df.select(*keys, F.posexplode(F.split(text, "\n")).alias("_n", "_line"))
+    before = Window.partitionBy(*keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.withColumn("start", F.coalesce(F.sum(F.length("_line") + 1).over(before), F.lit(0)).cast("int")).withColumn("position", F.coalesce(F.count(F.when(F.col("_line") != "", 1)).over(before), F.lit(0)).cast("int"))
+    rows = placed.where("_line <> ''").select(*keys, "position", "start", F.trim("_line").alias("zone"))
     reasons = F.array_compact(F.array(F.when(F.col("zone").rlike(OPERATIONAL), F.lit("operational_language")), F.when(F.col("zone").rlike(CHANGE), F.lit("quantitative_or_directional_change"))))
     return rows.withColumn("reasons", reasons).where((F.col("zone") != "") & (F.size("reasons") > 0)).withColumn("stop", F.col("start") + F.length("zone"))
 
@@ -264,11 +196,10 @@ def labelled_figures(df: DataFrame, text: str, keys: Sequence[str], aliases: dic
     """keys, page, metric, value, unit: `label: value` lines with a known label; pages by the marks before them."""
     from tidemark.functions.parse import amount
 
-    lines = F.split(text, "\n")
-    zero = F.struct(F.lit(1).alias("page"), F.array().cast("array<struct<page:int,line:string>>").alias("out"))
-    mark = lambda x: F.regexp_extract(x, r"(?i)^\s*\[?page (\d+)\]?\s*$", 1)
-    step = lambda a, x: F.struct(F.when(mark(x) != "", mark(x).try_cast("int")).otherwise(a["page"]).alias("page"), F.concat(a["out"], F.array(F.struct(a["page"].alias("page"), x.alias("line")))).alias("out"))
-    rows = df.select(*keys, F.explode(F.aggregate(lines, zero, step, lambda a: a["out"])).alias("z"))
+    lines = df.select(*keys, F.posexplode(F.split(text, "\n")).alias("_n", "_line"))
+    mark = F.regexp_extract("_line", r"(?i)^\s*\[?page (\d+)\]?\s*$", 1).try_cast("int")
+    before = Window.partitionBy(*keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines.select(*keys, F.struct(F.coalesce(F.last(mark, ignorenulls=True).over(before), F.lit(1)).alias("page"), F.col("_line").alias("line")).alias("z"))
     label = F.lower(F.trim(F.regexp_extract("z.line", r"^([^:]{2,60}):\s*(.+)$", 1)))
     metric = F.try_element_at(F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv)), label)
     parsed = amount(F.regexp_extract("z.line", r"^([^:]{2,60}):\s*(.+)$", 2))
@@ -296,8 +227,6 @@ def ixbrl_facts(df: DataFrame, html: str, key: str) -> DataFrame:
 def primary_facts(facts: DataFrame, key: str) -> DataFrame:
     """One fact for each document and name: the longest period, the earliest on ties."""
     days = F.coalesce(F.datediff(F.to_date("end_on"), F.to_date("start_on")), F.lit(0))
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key, "name").orderBy(days.desc(), "start_on", "value")
     return facts.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
@@ -316,12 +245,13 @@ def table_figures(df: DataFrame, html: str, key: str, metrics: dict[str, str]) -
     head = F.lower(F.array_join(F.flatten(F.slice("rows", 1, 8)), " "))
     scale = F.when(head.contains("billion"), 1e9).when(head.contains("million"), 1e6).when(head.contains("thousand"), 1e3).otherwise(1.0)
     years = lambda r: F.transform(F.filter(r, lambda c: c.rlike(r"^(?:FY)?20\d\d$")), lambda c: F.regexp_extract(c, r"(20\d\d)", 1).cast("int"))
-    zero = F.struct(F.array().cast("array<int>").alias("y"), F.array().cast("array<struct<y:array<int>,r:array<string>>>").alias("out"))
-    step = lambda a, r: F.struct(F.when(F.size(years(r)) >= 2, years(r)).otherwise(a["y"]).alias("y"), F.concat(a["out"], F.array(F.struct(a["y"].alias("y"), r.alias("r")))).alias("out"))
-    each = base.select(key, scale.alias("scale"), F.posexplode(F.aggregate("rows", zero, step, lambda a: a["out"])).alias("row", "z"))
+    each = base.select(key, scale.alias("scale"), F.posexplode("rows").alias("row", "r"))
+    named = F.when(F.size(years(F.col("r"))) >= 2, years(F.col("r")))
+    upto = Window.partitionBy(key).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.select(key, "scale", "row", F.struct(F.last(named, ignorenulls=True).over(upto).alias("y"), F.col("r")).alias("z"))
     metric = F.element_at(F.concat(matches(F.coalesce(F.get("z.r", F.lit(0)), F.lit("")), metrics), F.array(F.lit(None).cast("string"))), 1)
     values = F.filter(F.transform(F.slice("z.r", 2, 50), cell_number), lambda v: v.isNotNull())
-    out = each.select(key, "row", metric.alias("metric"), "scale", F.posexplode(F.arrays_zip(F.col("z.y").alias("y"), values.alias("v"))).alias("i", "p")).where("metric is not null and p.v is not null and p.y is not null")
+    out = each.select(key, "row", metric.alias("metric"), "scale", F.posexplode(F.arrays_zip(F.coalesce("z.y", F.array().cast("array<int>")).alias("y"), values.alias("v"))).alias("i", "p")).where("metric is not null and p.v is not null and p.y is not null")
     return out.select(key, "row", "metric", F.col("p.y").alias("year"), (F.col("p.v") * F.col("scale")).alias("value"))
 
 
@@ -339,7 +269,8 @@ def excerpts(df: DataFrame, text: str, keys: Sequence[str], terms: Sequence[str]
     found = []
     for t in terms:
         span = rf"(?is)(.{{0,{before}}}{re.escape(t)}.{{0,{after}}})"
-        found.append(F.transform(F.slice(F.regexp_extract_all(text, F.lit(span), F.lit(1)), 1, most), _excerpt(t)))
+        there = F.contains(F.lower(text), F.lit(t.lower()))
+        found.append(F.transform(F.slice(F.when(there, F.regexp_extract_all(text, F.lit(span), F.lit(1))).otherwise(F.array().cast("array<string>")), 1, most), _excerpt(t)))
     return df.select(*keys, F.explode(F.flatten(F.array(*found))).alias("x")).select(*keys, "x.*")
 
 
@@ -359,16 +290,3 @@ def compare_numeric(annotated: DataFrame, extracted: DataFrame, keys: Sequence[s
     ratio = F.try_divide(F.greatest(F.abs(x), F.abs(y)), F.least(F.abs(x), F.abs(y)))
     kind = F.when(F.col("_e").isNull(), "annotation_only").when(F.col("_a").isNull(), "extraction_only").when(~F.col("a_period").eqNullSafe(F.col("e_period")), "period").when(~F.col("a_currency").eqNullSafe(F.col("e_currency")), "currency").when(~F.col("a_basis").eqNullSafe(F.col("e_basis")), "basis").when(x == y, "agreed").when(x == -y, "sign").when(ratio.isin(1e3, 1e6, 1e9), "scale").otherwise("value")
     return j.select(*keys, kind.alias("class"), kind.isin("sign", "scale", "period", "basis").alias("severe"))
-
-
-def ambiguity_categories(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """categories: the names of all rules that hold, in order."""
-    return df.withColumn("categories", F.array_sort(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))))
-
-
-def failure_class(df: DataFrame, ladder: Sequence[tuple[Column, str, str]]) -> DataFrame:
-    """class and expected decision by the first test that holds; `other` and `ambiguous` if none does."""
-    pick = F.struct(F.lit("other").alias("failure_class"), F.lit("ambiguous").alias("expected"))
-    for test, name, expected in reversed(ladder):
-        pick = F.when(test, F.struct(F.lit(name).alias("failure_class"), F.lit(expected).alias("expected"))).otherwise(pick)
-    return df.withColumn("_p", pick).select(*df.columns, "_p.failure_class", "_p.expected")

@@ -10,21 +10,37 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import jaccard, normalize_name, tokens
 
 
+def _prefix(rows: DataFrame, blocks: Sequence[str], least: float) -> DataFrame:
+    """blocks, id, others, token: of each row (id, t) its rarest tokens, so many that a pair of Jaccard `least` or more has one in common."""
+    named = rows.withColumn("n", F.size("t")).withColumn("token", F.explode("t")).drop("t")
+    freq = named.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+    place = F.row_number().over(Window.partitionBy(*blocks, "id").orderBy("f", "token"))
+    return named.join(freq, "token").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).drop("f", "place", "n")
+
+
+def _scored(pairs: DataFrame, left: DataFrame, right: DataFrame, blocks: Sequence[str], least: float) -> DataFrame:
+    """The pairs (left_id, right_id) with the Jaccard similarity of their tokens, `least` or more."""
+    a = left.select(*blocks, F.col("id").alias("left_id"), F.col("t").alias("lt"))
+    b = right.select(*blocks, F.col("id").alias("right_id"), F.col("t").alias("rt"))
+    scored = pairs.join(a, [*blocks, "left_id"]).join(b, [*blocks, "right_id"]).withColumn("similarity", F.size(F.array_intersect("lt", "rt")) / F.size(F.array_union("lt", "rt")))
+    return scored.where(F.col("similarity") >= least).drop("lt", "rt")
+
+
 def best_similarity(left: DataFrame, right: DataFrame, blocks: Sequence[str], least: float = 0.15) -> DataFrame:
-    """Each left row (id, text) with its best right row of the same blocks by token Jaccard.
+    """Each left row (id, text) with its best right row of the same blocks by token Jaccard, `least` or more.
 
-    Right rows meet through shared tokens, so rows without any are not paired. Ties go to the larger
-    right id. match: agreed (at least `least`), weak or unmatched; right rows matched by none stay as
-    right_only.
+    Rows meet by one of the rarest tokens that such a pair must share, so the most common tokens of a
+    block pair nothing. Ties go to the larger right id. match: agreed or unmatched; right rows matched by
+    none stay as right_only.
     """
-    a = left.select(*blocks, F.col("id").alias("left_id"), F.array_distinct(tokens("text")).alias("l_tokens"))
-    b = right.select(*blocks, F.col("id").alias("right_id"), F.array_distinct(tokens("text")).alias("r_tokens"))
+    a = left.select(*blocks, "id", F.array_distinct(tokens("text")).alias("t"))
+    b = right.select(*blocks, "id", F.array_distinct(tokens("text")).alias("t"))
+    marked = _prefix(a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1))).where(F.size("t") > 0), [*blocks, "side"], least)
     keys = [*blocks, "token"]
-    shared = a.select(*blocks, "left_id", F.size("l_tokens").alias("ln"), F.explode("l_tokens").alias("token")).join(b.select(*blocks, "right_id", F.size("r_tokens").alias("rn"), F.explode("r_tokens").alias("token")), keys)
-    scored = shared.groupBy(*blocks, "left_id", "right_id", "ln", "rn").agg(F.count(F.lit(1)).alias("both")).withColumn("similarity", F.col("both") / (F.col("ln") + F.col("rn") - F.col("both")))
-    best = scored.groupBy(*blocks, "left_id").agg(F.max(F.struct("similarity", "right_id")).alias("m")).select(*blocks, "left_id", "m.right_id", "m.similarity")
-    matched = a.select(*blocks, "left_id").join(best, [*blocks, "left_id"], "left").withColumn("match", F.when(F.col("similarity") >= least, "agreed").when(F.col("similarity").isNotNull(), "weak").otherwise("unmatched"))
-    alone = b.join(best.select(*blocks, "right_id").distinct(), [*blocks, "right_id"], "left_anti").select(*blocks, F.lit(None).cast(left.schema["id"].dataType).alias("left_id"), "right_id", F.lit(None).cast("double").alias("similarity"), F.lit("right_only").alias("match"))
+    pairs = marked.where("side = 0").select(*keys, F.col("id").alias("left_id")).join(marked.where("side = 1").select(*keys, F.col("id").alias("right_id")), keys).select(*blocks, "left_id", "right_id").distinct()
+    best = _scored(pairs, a, b, blocks, least).groupBy(*blocks, "left_id").agg(F.max(F.struct("similarity", "right_id")).alias("m")).select(*blocks, "left_id", "m.right_id", "m.similarity")
+    matched = a.select(*blocks, F.col("id").alias("left_id")).join(best, [*blocks, "left_id"], "left").withColumn("match", F.when(F.col("similarity").isNotNull(), "agreed").otherwise("unmatched"))
+    alone = b.select(*blocks, F.col("id").alias("right_id")).join(best.select(*blocks, "right_id").distinct(), [*blocks, "right_id"], "left_anti").select(*blocks, F.lit(None).cast(left.schema["id"].dataType).alias("left_id"), "right_id", F.lit(None).cast("double").alias("similarity"), F.lit("right_only").alias("match"))
     return matched.unionByName(alone)
 
 
@@ -35,18 +51,12 @@ def same_events(df: DataFrame, blocks: Sequence[str], days: int = 14, least: flo
     a pair must share, so that only likely pairs are compared.
     """
     base = df.select(*blocks, "id", "day", F.array_distinct(tokens("text")).alias("t")).where(F.size("t") > 0)
-    freq = base.select(F.explode("t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("f"))
-    ranked = base.select(*blocks, "id", "day", F.size("t").alias("n"), F.explode("t").alias("token")).join(freq, "token")
-    place = F.row_number().over(Window.partitionBy(*blocks, "id").orderBy("f", "token"))
-    prefix = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
+    prefix = _prefix(base, blocks, least)
     bucket = F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / days)
     left = prefix.select(*blocks, "token", F.col("id").alias("left_id"), F.col("day").alias("left_day"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
     right = prefix.select(*blocks, "token", F.col("id").alias("right_id"), F.col("day").alias("right_day"), bucket.alias("bucket"))
     pairs = left.join(right, [*blocks, "token", "bucket"]).where((F.col("left_id") < F.col("right_id")) & (F.abs(F.datediff("left_day", "right_day")) <= days)).select(*blocks, "left_id", "right_id").distinct()
-    a = base.select(*blocks, F.col("id").alias("left_id"), F.col("t").alias("lt"))
-    b = base.select(*blocks, F.col("id").alias("right_id"), F.col("t").alias("rt"))
-    scored = pairs.join(a, [*blocks, "left_id"]).join(b, [*blocks, "right_id"]).withColumn("similarity", F.size(F.array_intersect("lt", "rt")) / F.size(F.array_union("lt", "rt")))
-    return scored.where(F.col("similarity") >= least).drop("lt", "rt")
+    return _scored(pairs, base, base, blocks, least)
 
 
 def resolve_aliases(df: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:

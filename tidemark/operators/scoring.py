@@ -151,7 +151,7 @@ def disclosure_rule(terms: Sequence[str], excluded: Sequence[str], near: int = 1
     return found
 
 
-def top_contributions(df: DataFrame, by: Sequence[str], value: str, most: int) -> DataFrame:
-    """The `most` rows of each group that are largest in size (I8)."""
-    w = Window.partitionBy(*by).orderBy(F.abs(value).desc())
+def top_contributions(df: DataFrame, by: Sequence[str], value: str, most: int, ties: Sequence[str] = ()) -> DataFrame:
+    """The `most` rows of each group that are largest in size, ties in order of the columns `ties` (I8)."""
+    w = Window.partitionBy(*by).orderBy(F.abs(value).desc(), *ties)
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)

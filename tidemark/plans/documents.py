@@ -28,10 +28,12 @@ RULES = {"licence": "licen[cs]ed?", "negative": r"\bno\b|\bnot\b|\bnon\b", "cont
 # The oracle's word bounds are ASCII only, so its rules spell Unicode bounds out.
 LEFT, RIGHT = r"(?:^|[^\pL\pN_])", r"(?:[^\pL\pN_]|$)"
 BOUNDED = {"licence": RULES["licence"], "negative": f"{LEFT}(?:no|not|non){RIGHT}", "contact": f"{LEFT}contact|example\\.com", "article": f"{LEFT}(?:the of|de la|der die){RIGHT}"}
-RULE_ROWS = ", ".join(f"('{k}', '(?i){p}')" for k, p in BOUNDED.items())
 
 
-@query(f"with {SENTENCES}, e as (select doc_id, s, unnest(range(len(s))) as position from x), r(rule, p) as (values {RULE_ROWS}), y as (select doc_id, position::integer as position, s[position + 1] as sentence from e) select doc_id, position, rule, sentence, regexp_matches(sentence, '\\d') as quantified from y, r where regexp_matches(sentence, p)")
+EACH_RULE = " union all ".join(f"select doc_id, position, '{k}' as rule, sentence, regexp_matches(sentence, '[0-9]') as quantified from y where regexp_matches(sentence, '(?i){p}')" for k, p in BOUNDED.items())
+
+
+@query(f"with {SENTENCES}, e as (select doc_id, s, unnest(range(len(s))) as position from x), y as materialized (select doc_id, position::integer as position, s[position + 1] as sentence from e) {EACH_RULE}")
 def lexicon_scan(t):
     return ex.scan(t.documents, "text", ["doc_id"], RULES)
 
@@ -72,9 +74,13 @@ def near_dup_events(t):
     return ex.near_duplicate_events(e, ["doc_id", "event_type"], "position", "sentence")
 
 
-@query()
+TERMS = ["license", "token", "@"]
+EACH_TERM = " union all ".join(f"select doc_id, '{x}' as term, list_slice(regexp_extract_all(text, '(?is).{{0,180}}{x}.{{0,260}}'), 1, 8) as found from documents" for x in TERMS)
+
+
+@query(f"with f as ({EACH_TERM}), g as (select doc_id, term, unnest(found) as excerpt, unnest(range(len(found)))::integer as n from f) select doc_id, term, n, excerpt from g")
 def excerpts(t):
-    return ex.excerpts(t.documents, "text", ["doc_id"], ["license", "token", "@"])
+    return ex.excerpts(t.documents, "text", ["doc_id"], TERMS)
 
 
 @query("""select doc_id, sha256(source || '|' || lang || '|' || (strftime(date '2024-01-01' + (doc_id % 400)::integer, '%G')::integer)::varchar || '-' || (strftime(date '2024-01-01' + (doc_id % 400)::integer, '%V')::integer)::varchar || '|' ||

@@ -84,11 +84,11 @@ def partition_leakage(t):
     return jo.leakage(t.customer, [t.orders.where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))], "c_custkey")
 
 
-@query("""with s as (select event_type, ts::date as ts from events group by all), l as (select event_type, user_id, min(ts)::date as first_seen, max(ts)::date as last_seen, case when max(ts)::date < date '2024-01-25' then max(ts)::date + 2 end as closed_at, (user_id % 3)::int as misses, (user_id % 4)::int as reopened from events where user_id % 5 = 0 group by all),
+@query("""with s as (select event_type, ts::date as ts from events group by all), l as (select event_type, user_id, min(ts)::date as first_seen, max(ts)::date as last_seen, case when max(ts)::date < date '2024-01-25' then max(ts)::date + 2 end as closed_at, (user_id % 3)::int as misses, (user_id % 4)::int as reopened from events group by all),
 m as (select *, ts = max(ts) over (partition by event_type) as is_latest from s)
 select event_type, ts, is_latest, count(*) filter (first_seen = ts) as new, count(*) filter (first_seen < ts and last_seen >= ts) as persistent, count(*) filter (closed_at <= ts) as closed, count(*) filter (is_latest and misses = 1) as absent_once, sum(case when is_latest then coalesce(reopened, 0) else 0 end)::bigint as reopened from m left join l using (event_type) group by all""")
 def careers_history(t):
-    return careers_history_of(t.events, t.events.where("user_id % 5 = 0"))
+    return careers_history_of(t.events, t.events)
 
 
 @query()
@@ -111,10 +111,10 @@ def mix_trajectory_of(rows):
     return out.select("user_id", "key", F.array_join(F.transform("counts", lambda x: F.coalesce(x.cast("string"), F.lit("null"))), ",").alias("counts"))
 
 
-@query("""with s as (select distinct user_id, strftime(ts, '%G-%V') as ts from events where user_id < 40), k as (select distinct user_id, event_type as key from events where user_id < 40), n as (select user_id, event_type as key, strftime(ts, '%G-%V') as ts, count(*) as n from events where user_id < 40 group by all)
+@query("""with s as (select distinct user_id, strftime(ts, '%G-%V') as ts from events), k as (select distinct user_id, event_type as key from events), n as (select user_id, event_type as key, strftime(ts, '%G-%V') as ts, count(*) as n from events group by all)
 select user_id, key, array_to_string(list(coalesce(case when s.ts = '2024-02' then 'null' else coalesce(n.n, 0)::varchar end, 'null') order by s.ts), ',') as counts from k join s using (user_id) left join n using (user_id, key, ts) group by all""")
 def mix_trajectory(t):
-    return mix_trajectory_of(t.events.where("user_id < 40"))
+    return mix_trajectory_of(t.events)
 
 
 @query()
@@ -184,10 +184,10 @@ def occasion_completeness_of(rows):
     return out.withColumn("missing", F.array_join(F.col("missing").cast("array<string>"), ","))
 
 
-@query("""with k(kind) as (values ('evidence'), ('outcomes')), r as (select c_custkey, c_mktsegment from customer where c_custkey < 400)
+@query("""with k(kind) as (values ('evidence'), ('outcomes')), r as (select c_custkey, c_mktsegment from customer)
 select c_mktsegment, kind, count(*) as required, count(*) filter (case kind when 'evidence' then c_custkey % 3 <> 0 else c_custkey % 50 <> 0 end) as covered, array_to_string(coalesce(list(c_custkey order by c_custkey) filter (not case kind when 'evidence' then c_custkey % 3 <> 0 else c_custkey % 50 <> 0 end), []), ',') as missing from r, k group by all""")
 def occasion_completeness(t):
-    return occasion_completeness_of(t.customer.where("c_custkey < 400"))
+    return occasion_completeness_of(t.customer)
 
 
 @query()
@@ -213,9 +213,9 @@ def merge_events_of(rows):
     return lo.merge_events(e).withColumn("observation_ids", F.array_join(F.col("observation_ids").cast("array<string>"), ","))
 
 
-@query("""select user_id as company, event_type, ts::date as period, trim(regexp_replace(lower(props), '[^a-z0-9]+', ' ', 'g')) as span_key, array_to_string(list_sort(list(distinct event_id)), ',') as observation_ids, min_by(value, event_id) as attributes from events where user_id < 50 group by all""")
+@query("""select user_id as company, event_type, ts::date as period, trim(regexp_replace(lower(props), '[^a-z0-9]+', ' ', 'g')) as span_key, array_to_string(list_sort(list(distinct event_id)), ',') as observation_ids, min_by(value, event_id) as attributes from events group by all""")
 def merge_events(t):
-    return merge_events_of(t.events.where("user_id < 50"))
+    return merge_events_of(t.events)
 
 
 @query()

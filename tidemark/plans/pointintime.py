@@ -94,10 +94,10 @@ def watchlist_of(rows):
     return out.select(F.col("company_id").alias("user_id"), "changed", F.col("observations").alias("n"))
 
 
-@query("""with d as (select user_id, max(ts)::date as changed, count(*) filter (event_type = 'signup') as n from events where event_id % 3 = 0 group by 1), m as (select max(changed) as m from d)
+@query("""with d as (select user_id, max(ts)::date as changed, count(*) filter (event_type = 'signup') as n from events group by 1), m as (select max(changed) as m from d)
 select user_id, changed, n from d, m where date_diff('day', changed, m) <= 2 and n > 0""")
 def watchlist(t):
-    return watchlist_of(t.events.where("event_id % 3 = 0"))
+    return watchlist_of(t.events)
 
 
 @query()
@@ -117,11 +117,11 @@ def same_events_of(docs):
     return jo.same_events(d, ["source"], 14, 0.4).withColumn("similarity", F.round("similarity", 9))
 
 
-@query("""with e as (select doc_id, source, date '2024-01-01' + (doc_id % 28)::integer as day, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as tok from documents where n_chars < 1500), n as (select doc_id, count(*) as n from e group by 1),
+@query("""with e as (select doc_id, source, date '2024-01-01' + (doc_id % 28)::integer as day, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as tok from documents), n as (select doc_id, count(*) as n from e group by 1),
 p as (select a.source, a.doc_id as left_id, b.doc_id as right_id, count(*) as both_ from e a join e b on a.source = b.source and a.tok = b.tok and a.doc_id < b.doc_id and abs(date_diff('day', a.day, b.day)) <= 14 group by all)
 select source, left_id, right_id, round(both_ / (x.n + y.n - both_)::double, 9) as similarity from p join n x on x.doc_id = left_id join n y on y.doc_id = right_id where both_ / (x.n + y.n - both_)::double >= 0.4""")
 def same_events(t):
-    return same_events_of(t.documents.where("n_chars < 1500"))
+    return same_events_of(t.documents)
 
 
 @query()
@@ -135,14 +135,14 @@ def best_of(docs):
     return out.withColumn("similarity", F.round("similarity", 9))
 
 
-@query("""with l as (select doc_id as left_id, source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as tok from documents where n_chars < 400), n as (select left_id, source, count(*) as n from l group by all),
+@query("""with l as (select doc_id as left_id, source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as tok from documents), n as (select left_id, source, count(*) as n from l group by all),
 p as (select a.source, a.left_id, b.left_id as right_id, count(*) as both_ from l a join l b on a.source = b.source and a.tok = b.tok and a.left_id % 2 = 0 and b.left_id % 2 = 1 group by all),
 s as (select p.source, p.left_id, p.right_id, both_ / (x.n + y.n - both_)::double as sim from p join n x on x.left_id = p.left_id join n y on y.left_id = p.right_id),
-b as (select source, left_id, max_by(right_id, (sim, right_id)) as right_id, max(sim) as sim from s group by all)
-select d.source, d.doc_id as left_id, b.right_id, round(b.sim, 9) as similarity, case when b.sim >= 0.15 then 'agreed' when b.sim is not null then 'weak' else 'unmatched' end as match from documents d left join b on b.left_id = d.doc_id where d.n_chars < 400 and d.doc_id % 2 = 0
-union all select source, null, doc_id, null, 'right_only' from documents d where n_chars < 400 and doc_id % 2 = 1 and not exists (select 1 from b where b.right_id = d.doc_id and b.source = d.source)""")
+b as (select source, left_id, max_by(right_id, (sim, right_id)) as right_id, max(sim) as sim from s where sim >= 0.15 group by all)
+select d.source, d.doc_id as left_id, b.right_id, round(b.sim, 9) as similarity, case when b.sim is not null then 'agreed' else 'unmatched' end as match from documents d left join b on b.left_id = d.doc_id where d.doc_id % 2 = 0
+union all select source, null, doc_id, null, 'right_only' from documents d where doc_id % 2 = 1 and not exists (select 1 from b where b.right_id = d.doc_id and b.source = d.source)""")
 def token_similarity_pairs(t):
-    return best_of(t.documents.where("n_chars < 400"))
+    return best_of(t.documents)
 
 
 @query()

@@ -73,11 +73,8 @@ def target_probability(t):
 
 @query("""with r as (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by abs(l_extendedprice * (l_discount - 0.05)) desc, l_linenumber) as place from lineitem) select l_orderkey, l_linenumber, place::integer as place from r where place <= 2""")
 def top_contributions(t):
-    r = t.lineitem.withColumn("v", F.col("l_extendedprice") * (F.col("l_discount") - 0.05)).withColumn("size", F.struct(F.abs("v").alias("a"), (-F.col("l_linenumber")).alias("b")))
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("size")))
-    return r.withColumn("place", place).where("place <= 2").select("l_orderkey", "l_linenumber", "place")
+    r = t.lineitem.withColumn("v", F.col("l_extendedprice") * (F.col("l_discount") - 0.05))
+    return sc.top_contributions(r, ["l_orderkey"], "v", 2, ["l_linenumber"]).select("l_orderkey", "l_linenumber", "place")
 
 
 @query("select c_custkey, (((c_acctbal >= 6000)::int + (c_nationkey >= 15)::int + 1) / 5.0)::double as p from customer")

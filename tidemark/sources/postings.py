@@ -72,13 +72,40 @@ def union_feeds(df: DataFrame, provider: str = "provider", payload: str = "paylo
     return out, df.where(~F.coalesce(F.col(provider).isin(*PROVIDERS), F.lit(False)))
 
 
+# Hosts of job boards in order: how the host is compared, with what; provider; where its identifier
+# stands; whether it has a public interface; a note.
+BOARDS = [
+    ("is", "boards.greenhouse.io", "greenhouse", "path", True, "Documented public GET API"),
+    ("is", "job-boards.greenhouse.io", "greenhouse", "path", True, "Documented public GET API"),
+    ("is", "jobs.lever.co", "lever", "path", True, "Documented public postings API"),
+    ("is", "jobs.eu.lever.co", "lever-eu", "path", True, "Documented public postings API"),
+    ("is", "jobs.ashbyhq.com", "ashby", "path", True, "Documented public job-board API"),
+    ("is", "jobs.smartrecruiters.com", "smartrecruiters", "path", True, "Public Posting API"),
+    ("ends", ".recruitee.com", "recruitee", "rest", True, "Public careers-site feed"),
+    ("has", "myworkdayjobs.com", "workday", "label", False, "No general documented public job-board API"),
+    ("is", "apply.workable.com", "workable", "path", False, "Formal API requires customer credentials"),
+    ("ends", ".workable.com", "workable", None, False, "Formal API requires customer credentials"),
+    ("ends", ".teamtailor.com", "teamtailor", "rest", False, "Public API requires an API key"),
+    ("has", "icims.com", "icims", None, False, "Use public-page structured data where permitted"),
+    ("has", "personio.", "personio", "label", False, "Use public XML/page feed only when exposed by the employer"),
+    ("has", "successfactors", "successfactors", None, False, "Enterprise API is authenticated"),
+    ("has", "taleo.net", "taleo", None, False, "Use public-page structured data where permitted"),
+]
+OTHER_BOARD = "Inspect for schema.org JobPosting data"
+
+
 def detect_provider(url: Column) -> Column:
-    """provider and identifier of a careers address, by host and first path segment."""
+    """provider, identifier, public_api and note of a careers address, by its host."""
     host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
-    first = F.nullif(F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"^/([^/]+)", 1), F.lit(""))
-    sub = F.regexp_extract(host, r"^([^.]+)\.", 1)
-    pair = lambda p, i: F.struct(F.lit(p).alias("provider"), i.alias("identifier"))
-    return F.when(host.endswith("greenhouse.io"), pair("greenhouse", first)).when(host.isin("jobs.lever.co", "jobs.eu.lever.co"), pair("lever", first)).when(host == "jobs.ashbyhq.com", pair("ashby", first)).when(host.endswith("smartrecruiters.com"), pair("smartrecruiters", first)).when(host.endswith(".recruitee.com"), pair("recruitee", sub)).when(host.contains("myworkdayjobs.com"), pair("workday", sub)).when(host == "", pair("invalid", F.lit(None).cast("string"))).otherwise(pair("unknown", F.lit(None).cast("string")))
+    path = F.nullif(F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"^/+([^/]+)", 1), F.lit(""))
+    row = lambda p, i, open_, note: F.struct(F.lit(p).alias("provider"), i.alias("identifier"), F.lit(open_).alias("public_api"), F.lit(note).alias("note"))
+    none = F.lit(None).cast("string")
+    out = row("unknown", none, False, OTHER_BOARD)
+    for kind, text, provider, place, open_, note in reversed(BOARDS):
+        test = {"is": host == text, "ends": host.endswith(text), "has": host.contains(text)}[kind]
+        name = {"path": path, "rest": F.substring(host, F.lit(1), F.length(host) - len(text)), "label": F.regexp_extract(host, r"^([^.]*)", 1), None: none}[place]
+        out = F.when(test, row(provider, name, open_, note)).otherwise(out)
+    return out
 
 
 def jsonld_jobs(df: DataFrame, html: str, keys: Sequence[str]) -> DataFrame:

@@ -100,12 +100,14 @@ class Lifecycle(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         table = pd.concat(list(rows))
         state = {k[0]: list(v) for k, v in self.jobs.iterator()} if self.jobs.exists() else {}
+        before = {i: tuple(v) for i, v in state.items()}
         kept = self.source.get() if self.source.exists() else None
         source = {"failures": kept[0] if kept else 0}
         success_at, seen_to = (kept[1], kept[2]) if kept else (None, None)
         out = []
         for ts, group in table.sort_values("ts").groupby("ts"):
             if seen_to is not None and ts <= pd.Timestamp(seen_to):
+                out.append((*key, ts, "late", len({i for ids in group["identities"] for i in ids}), 0, 0, 0, 0, 0, source["failures"], backoff(source["failures"]), None))
                 continue
             seen_to = ts
             identities = {i for ids in group["identities"] for i in ids}
@@ -114,7 +116,8 @@ class Lifecycle(StatefulProcessor):
             wait = backoff(source["failures"])
             out.append((*key, ts, health, len(identities), *n.values(), source["failures"], wait, ts + pd.Timedelta(hours=max(CADENCE_HOURS, wait))))
         for i, v in state.items():
-            self.jobs.updateValue((i,), tuple(v))
+            if before.get(i) != tuple(v):
+                self.jobs.updateValue((i,), tuple(v))
         if seen_to is not None:
             self.source.update((source["failures"], None if success_at is None else pd.Timestamp(success_at).to_pydatetime(), pd.Timestamp(seen_to).to_pydatetime()))
         yield pd.DataFrame(out, columns=COLUMNS)
@@ -130,8 +133,8 @@ SCHEMA = "source string, ts timestamp, health string, seen int, new int, persist
 def lifecycle_stream(snapshots: DataFrame) -> DataFrame:
     """A stream of (source, ts, success, identities) as a stream of snapshot results.
 
-    Snapshots at or before the last one of a source are replays and change nothing. Needs the RocksDB
-    state store.
+    Snapshots at or before the last one of a source change nothing and are told as `late`. Needs the
+    RocksDB state store. Only identities that changed are written to the state.
     """
     return snapshots.groupBy("source").transformWithStateInPandas(Lifecycle(), SCHEMA, "append", "none")
 
@@ -153,6 +156,35 @@ def presence_upsert(state: DataFrame, present: DataFrame, keys: Sequence[str], n
     return j.select(*keys, F.coalesce("first_seen", at).alias("first_seen"), F.when(F.col("_p"), at).otherwise(F.col("last_seen")).alias("last_seen"), F.when(F.col("_p"), None).otherwise(F.coalesce("closed_at", at)).alias("closed_at"))
 
 
+#: A snapshot with so few of the jobs that were open is taken for an outage where at least LEAST_OPEN were.
+OUTAGE_DROP, LEAST_OPEN = 0.8, 5
+
+
+def job_states(previous: DataFrame, observed: DataFrame, keys: Sequence[str], success: bool = True) -> DataFrame:
+    """keys, identity, title, location, status, misses, repost_of, healthy after one more snapshot of each key.
+
+    previous: with status and misses; observed: keys, identity, title, location. A failed or suspiciously
+    small snapshot changes nothing. Observed jobs are open; open ones that are missed MISSES times are
+    closed; a new job with the title and location of a closed one reposts it.
+    """
+    counts = previous.where("status = 'open'").groupBy(*keys).agg(F.count(F.lit(1)).alias("_open")).join(observed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_seen")), list(keys), "full_outer")
+    drop = 1 - F.coalesce("_seen", F.lit(0)) / F.col("_open")
+    healthy = F.lit(success) & ~F.coalesce((F.col("_open") >= LEAST_OPEN) & (drop >= OUTAGE_DROP), F.lit(False))
+    health = counts.select(*keys, healthy.alias("healthy"))
+    now = observed.select(*keys, "identity", F.col("title").alias("_title"), F.col("location").alias("_location"), F.lit(True).alias("_now"))
+    j = previous.join(now, [*keys, "identity"], "full_outer").join(health, list(keys), "left").where(F.coalesce("healthy", F.lit(success)) | F.col("status").isNotNull())
+    sound, seen, old = F.coalesce("healthy", F.lit(success)), F.coalesce("_now", F.lit(False)), F.col("status")
+    misses = F.when(~sound, F.col("misses")).when(seen, 0).when(old == "open", F.col("misses") + 1).otherwise(F.col("misses"))
+    status = F.when(~sound, old).when(seen, "open").when((old == "open") & (F.col("misses") + 1 >= MISSES), "closed").otherwise(old)
+    at = lambda c: F.when(sound & seen, F.col(f"_{c}")).otherwise(F.col(c))
+    states = j.select(*keys, "identity", at("title").alias("title"), at("location").alias("location"), status.alias("status"), misses.cast("int").alias("misses"), sound.alias("healthy"), (old.isNull()).alias("_new"))
+    plain = F.trim(F.regexp_replace(F.lower("title"), r"\W+", " "))
+    place = F.trim(F.regexp_replace(F.regexp_replace("location", "[–—]", "-"), r"\s+", " "))
+    signed = states.withColumn("_t", plain).withColumn("_l", F.coalesce(F.lower(place), F.lit("")))
+    closed = signed.where("status = 'closed'").groupBy(*keys, "_t", "_l").agg(F.max("identity").alias("_id"))
+    return signed.join(closed, [*keys, "_t", "_l"], "left").withColumn("repost_of", F.when(F.col("_new"), F.col("_id"))).select(*keys, "identity", "title", "location", "status", "misses", "repost_of", "healthy")
+
+
 def ingest(stream: DataFrame, keys: Sequence[str], digest: str, ts: str, delay: str = "7 days") -> DataFrame:
     """Each (keys, hash) once within the watermark, of a stream or a table."""
     if stream.isStreaming:
