@@ -569,6 +569,14 @@ def test_pieces_of_one_hash_are_told_apart(monkeypatch):
     assert len(seen) == len(set(seen)) == words.total
 
 
+@pytest.mark.parametrize("name", ["op1_licenses", "op4_suffixes", "op8_neardup"])
+def test_sql_forms(spark, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    df = queries.queries()[name](spark, DATA)
+    assert plain(df.collect()) == plain(con.sql(queries.oracle_sql()[name]).select(*map(duckdb.ColumnExpression, df.columns)).fetchall())
+
+
 # ---- pipeline
 
 

@@ -156,9 +156,56 @@ from failed
 """
 
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def op1_sql() -> str:
+    """License scans in SQL: all k-grams joined to all templates, and every diagonal with its neighbours."""
+    from tidemark.llm import licenses as li
+
+    rows = ", ".join(f"({t}, '{label}', {str(base).lower()}, {len(words)}, {0 if base else -(-len(words) // li.SPREAD)}, {1.0 if base or len(words) <= li.SHORT else li.LEAST_COVER}, '{' '.join(words)}')" for t, (label, base, words) in enumerate(li.templates()))
+    return f"""
+with t(t, label, base, n, reach, least, phrase) as (values {rows}),
+tg as (select t, label, base, n - 2 as grams, reach, least, i as tpos, list_aggregate(string_split(phrase, ' ')[i + 1:i + 3], 'string_agg', ' ') as gram from (select *, unnest(range(n - 2)) as i from t)),
+w as (select row_number() over () as rid, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+g as (select rid, i as pos, words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3] as gram from (select rid, words, unnest(range(len(words) - 2)) as i from w)),
+h as materialized (select rid, t, label, base, grams, reach, least, pos - tpos as d, tpos, pos from g join tg using (gram)),
+c as (select distinct rid, t, d, reach from h),
+v as (select h.rid, h.t, label, base, c.d, min(pos) as start, count(distinct tpos) / any_value(grams)::double as cover, any_value(least) as least from c join h on h.rid = c.rid and h.t = c.t and abs(h.d - c.d) <= c.reach group by h.rid, h.t, label, base, c.d),
+p as (select * from v where cover >= least)
+select any_value(w.doc_id) as doc_id, any_value(len(words))::bigint as n_words, count(*) filter (base) as n_base, min(start) filter (base) as first_word, max(start) filter (base) as last_word,
+    coalesce(array_to_string(list_sort(list(distinct label) filter (base)), ','), '') as base_labels, coalesce(array_to_string(list_sort(list(distinct label) filter (label is not null)), ','), '') as labels, coalesce(max(cover), 0.0)::double as score
+from w left join p using (rid) group by rid
+"""
+
+
+OP4_SQL = """
+with b as (select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n from documents),
+q as (select rid, 256 * j as base, substr(x, 512 * j + 1, 910) as y, least(256, n - 199 - 256 * j) as many from (select rid, x, n, unnest(range((n + 56) // 256)) as j from b where n >= 200)),
+g as (select rid, base + i as i, md5_number(substr(y, 2 * i + 1, 400)) as m from (select rid, base, y, unnest(range(many)) as i from q)),
+r as (select rid, i from g where m in (select m from g group by m having count(*) > 1)),
+s as (select rid, i, sum(case when i - before <= 200 then 0 else 1 end) over (partition by rid order by i) as run from (select *, lag(i) over (partition by rid order by i) as before from r)),
+u as (select rid, run, min(i) as low, max(i) + 200 as high from s group by all),
+k as (select rid, run, low, high, coalesce(lag(high) over (partition by rid order by run), 0) as since from u),
+l as (select k.rid, sum(high - low) as removed, count(*) as spans, string_agg(substr(x, 2 * since + 1, 2 * (low - since)), '' order by run) as head, max(high) as last from k join b using (rid) group by 1)
+select doc_id, n::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) as kept_sha256 from b left join l using (rid)
+"""
+
+OP8_SQL = f"""
+with recursive w as (select doc_id, list_filter(string_split_regex({LOWERED}, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, case when len(w) < 3 then '<' || array_to_string(w, ' ') else w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] end as g from (select doc_id, w, unnest(range(greatest(len(w) - 2, 1))) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+t as (select s.doc_id, g, n from s join n using (doc_id)),
+e as materialized (select a.doc_id as a, b.doc_id as b from t a join t b on a.g = b.g and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ as (select a, b from e union all select b, a from e),
+r(a, b) as (select doc_id, doc_id from documents union select r.a, x.b from r join both_ x on x.a = r.b)
+select r.a as doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.b) as component_id, r.a = min(r.b) as kept from r left join n on n.doc_id = r.a group by r.a
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_licenses, op2_quality, op3_topk, op4_suffixes, op5_packing, op6_sharding, op7_language, op8_neardup, op9_html, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": op2_sql(), "op3_topk": OP3_SQL, "op6_sharding": op6_sql()}
+    return {"op1_licenses": op1_sql(), "op2_quality": op2_sql(), "op3_topk": OP3_SQL, "op4_suffixes": OP4_SQL, "op6_sharding": op6_sql(), "op8_neardup": OP8_SQL}
