@@ -45,7 +45,25 @@ def test_feeds_have_one_schema(spark):
 
 
 def test_provider_detection(spark):
-    urls = {"https://boards.greenhouse.io/acme": ("greenhouse", "acme"), "https://jobs.eu.lever.co/co/1": ("lever", "co"), "https://acme.recruitee.com/": ("recruitee", "acme"), "https://example.com/jobs": ("unknown", None)}
+    urls = {
+        "https://boards.greenhouse.io/acme": ("greenhouse", "acme", True, "Documented public GET API"),
+        "https://job-boards.greenhouse.io": ("greenhouse", None, True, "Documented public GET API"),
+        "https://jobs.eu.lever.co/co/1": ("lever-eu", "co", True, "Documented public postings API"),
+        "https://jobs.lever.co/co/1": ("lever", "co", True, "Documented public postings API"),
+        "https://jobs.ashbyhq.com/co": ("ashby", "co", True, "Documented public job-board API"),
+        "https://jobs.smartrecruiters.com/Co/7": ("smartrecruiters", "Co", True, "Public Posting API"),
+        "https://acme.recruitee.com/": ("recruitee", "acme", True, "Public careers-site feed"),
+        "https://co.wd3.myworkdayjobs.com/en/x": ("workday", "co", False, "No general documented public job-board API"),
+        "https://apply.workable.com/co/": ("workable", "co", False, "Formal API requires customer credentials"),
+        "https://co.workable.com/x": ("workable", None, False, "Formal API requires customer credentials"),
+        "https://co.teamtailor.com": ("teamtailor", "co", False, "Public API requires an API key"),
+        "https://careers-co.icims.com/jobs": ("icims", None, False, "Use public-page structured data where permitted"),
+        "https://co.jobs.personio.de/job/1": ("personio", "co", False, "Use public XML/page feed only when exposed by the employer"),
+        "https://career5.successfactors.eu/x": ("successfactors", None, False, "Enterprise API is authenticated"),
+        "https://co.taleo.net/x": ("taleo", None, False, "Use public-page structured data where permitted"),
+        "https://example.com/jobs": ("unknown", None, False, "Inspect for schema.org JobPosting data"),
+        "no address": ("unknown", None, False, "Inspect for schema.org JobPosting data"),
+    }
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert {r.u: tuple(r.p) for r in df.select("u", postings.detect_provider(F.col("u")).alias("p")).collect()} == urls
 

@@ -166,7 +166,10 @@ def near_duplicate_events(df: DataFrame, keys: Sequence[str], order: str, text:
         return pd.DataFrame(out, columns=[*keys, order, "canonical"])
 
     schema = df.select(*keys, order, F.col(order).alias("canonical")).schema
-    return same.unionByName(chains.groupBy(*keys, "_chain").applyInPandas(fold, schema))
+    folded = chains.groupBy(*keys, "_chain").applyInPandas(fold, schema)
+    onward = folded.select(*keys, F.col(order).alias("_at"), F.col("canonical").alias("_onward"))
+    joined = same.join(onward.withColumnRenamed("_at", "canonical"), [*keys, "canonical"], "left")
+    return joined.select(*keys, order, F.coalesce("_onward", "canonical").alias("canonical")).unionByName(folded)
 
 
 def zones(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
