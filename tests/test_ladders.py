@@ -10,12 +10,26 @@ from tidemark.streaming import lifecycle
 COLUMNS = "id int, span string, context string, event_type string, event_status string, report_year int, subject_type string, factual_status string"
 
 
+def cases(names, rows):
+    """Gives a test all its cases at once, as dicts by name."""
+    keys = names.split(", ")
+    return lambda f: pytest.mark.parametrize("every", [[dict(zip(keys, r)) for r in rows]], ids=["all"])(f)
+
+
+def many(spark, operator, every, **fixed):
+    """The operator's rows of all cases, in order; what a case does not name has a usual value."""
+    usual = {"context": "", "event_type": "restructuring", "status": "current", "year": 2024, "subject": "target_company", "fact": "actual_current", **fixed}
+    rows = [{**usual, **{k: v for k, v in c.items() if k in usual or k == "span"}} for c in every]
+    df = spark.createDataFrame([(i, r["span"], r["context"], r["event_type"], r["status"], r["year"], r["subject"], r["fact"]) for i, r in enumerate(rows)], COLUMNS)
+    return zip(every, sorted(operator(df).collect(), key=lambda r: r.id))
+
+
 def one(spark, operator, span, event_type="restructuring", subject="target_company", fact="actual_current", status="current", year=2024, context=""):
     df = spark.createDataFrame([(1, span, context, event_type, status, year, subject, fact)], COLUMNS)
     return operator(df).first()
 
 
-@pytest.mark.parametrize(
+@cases(
     "span, kind, period",
     [
         ("Restructuring costs (millions of dollars) 2024 24 2023 18", "table_row", "current_and_comparative"),
@@ -26,9 +40,9 @@ def one(spark, operator, span, event_type="restructuring", subject="target_compa
         ("We will open a site in 2026.", "narrative_sentence", "future_period"),
     ],
 )
-def test_structure(spark, span, kind, period):
-    r = one(spark, ladders.structure, span)
-    assert (r.structure_type, r.period_binding) == (kind, period)
+def test_structure(spark, every):
+    for c, r in many(spark, ladders.structure, every):
+        assert (r.structure_type, r.period_binding) == (c["kind"], c["period"]), c
 
 
 def test_structure_without_a_year(spark):
@@ -36,7 +50,7 @@ def test_structure_without_a_year(spark):
     assert one(spark, ladders.structure, "In 2020 we grew.", year=None).period_binding == "explicit_single_period"
 
 
-@pytest.mark.parametrize(
+@cases(
     "span, event_type, disposition, reason",
     [
         ("Charges related to the 2022 restructuring programme were $18 million.", "restructuring", "rejected", "historical_or_comparative_disclosure"),
@@ -48,9 +62,9 @@ def test_structure_without_a_year(spark):
         ("From 2022 through 2026 programme", "restructuring", "rejected", "mixed_period_table_fragment"),
     ],
 )
-def test_table_disposition(spark, span, event_type, disposition, reason):
-    r = one(spark, ladders.table_disposition, span, event_type)
-    assert (r.disposition, r.disposition_reason) == (disposition, reason)
+def test_table_disposition(spark, every):
+    for c, r in many(spark, ladders.table_disposition, every):
+        assert (r.disposition, r.disposition_reason) == (c["disposition"], c["reason"]), c
 
 
 def test_accounting_rows_become_observations_once(spark):
@@ -59,7 +73,7 @@ def test_accounting_rows_become_observations_once(spark):
     assert sorted((r.id, r.figure, r.operational_event_promoted) for r in got) == [(1, "2024", False), (2, "2024", False)]
 
 
-@pytest.mark.parametrize(
+@cases(
     "span, subject, fact",
     [
         ("Our suppliers experienced labour shortages.", "supplier", "actual_current"),
@@ -80,14 +94,15 @@ def test_accounting_rows_become_observations_once(spark):
         ("Weak demand remains a concern.", "unknown", "ambiguous"),
     ],
 )
-def test_subjects(spark, span, subject, fact):
-    df = spark.createDataFrame([(1, span, "")], "id int, span string, context string")
-    r = ladders.attribute_subject(df).first()
-    assert (r.subject_type, r.factual_status) == (subject, fact)
-    assert (r.segment_name or "").lower() == ("aviation" if subject == "target_segment" else "")
+def test_subjects(spark, every):
+    plain = lambda df: ladders.attribute_subject(df.select("id", "span", "context"))
+    for c, r in many(spark, plain, [{k: v for k, v in c.items() if k == "span"} | {"want": c} for c in every]):
+        c = c["want"]
+        assert (r.subject_type, r.factual_status) == (c["subject"], c["fact"]), c
+        assert (r.segment_name or "").lower() == ("aviation" if c["subject"] == "target_segment" else "")
 
 
-@pytest.mark.parametrize(
+@cases(
     "span, event_type, subject, fact, decision, reason",
     [
         ("Our database has a redundant copy.", "redundancy", "target_company", "actual_current", "rejected", "technical_redundancy_not_workforce_event"),
@@ -99,12 +114,12 @@ def test_subjects(spark, span, subject, fact):
         ("We closed it.", "site_closure", "target_company", "actual_current", "accepted", "acceptance_contract_satisfied"),
     ],
 )
-def test_acceptance(spark, span, event_type, subject, fact, decision, reason):
-    r = one(spark, ladders.acceptance, span, event_type, subject, fact)
-    assert (r.decision, r.decision_reason) == (decision, reason)
+def test_acceptance(spark, every):
+    for c, r in many(spark, ladders.acceptance, every):
+        assert (r.decision, r.decision_reason) == (c["decision"], c["reason"]), c
 
 
-@pytest.mark.parametrize(
+@cases(
     "span, subject, fact, status, verdict, code",
     [
         ("The company closed the Leeds site during 2025.", "target_company", "actual_current", "current", "accept", "DIRECT_CURRENT_EVENT"),
@@ -117,9 +132,9 @@ def test_acceptance(spark, span, event_type, subject, fact, decision, reason):
         ("The site was closed", "target_company", "actual_current", "current", "ambiguous", "SOURCE_FRAGMENT_AMBIGUOUS"),
     ],
 )
-def test_verifier(spark, span, subject, fact, status, verdict, code):
-    r = one(spark, ladders.verify, span, "site_closure", subject, fact, status)
-    assert (r.verdict, r.code) == (verdict, code)
+def test_verifier(spark, every):
+    for c, r in many(spark, ladders.verify, every, event_type="site_closure"):
+        assert (r.verdict, r.code) == (c["verdict"], c["code"]), c
 
 
 def test_sufficiency(spark):
@@ -132,7 +147,7 @@ def test_sufficiency(spark):
     assert one(spark, ladders.verify_sufficient, "Operating expenses grew strongly over the whole year.").code == "WRONG_CONTEXT"
 
 
-@pytest.mark.parametrize(
+@cases(
     "event_type, span, subject, disposition, reason",
     [
         ("growth_language", "Cost of sales increased 7% during the period.", "target_company", "reject", "expense_growth_is_not_demand_growth"),
@@ -163,9 +178,9 @@ def test_sufficiency(spark):
         ("no_such_type", "We closed the site.", "target_company", "ambiguous", "family_not_implemented"),
     ],
 )
-def test_families(spark, event_type, span, subject, disposition, reason):
-    r = one(spark, ladders.verify_family, span, event_type, subject)
-    assert (r.disposition, r.reason) == (disposition, reason)
+def test_families(spark, every):
+    for c, r in many(spark, ladders.verify_family, every):
+        assert (r.disposition, r.reason) == (c["disposition"], c["reason"]), c
 
 
 def test_every_type_has_one_family():
