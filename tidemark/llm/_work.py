@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,15 +14,23 @@ from pyspark.sql import functions as F
 HOT, MOST_HOT, PARTS = 1000, 10_000, 64
 
 
+@lru_cache(1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def saved(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder of spark.checkpoint.dir and read again, which cuts its lineage.
 
-    Raises ValueError where the setting is missing: no other folder is known to be shared.
+    Where the setting is missing, a local session, which is one process, takes a temporary folder; any
+    other raises ValueError, as no folder is known to be shared.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _own_folder()
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
