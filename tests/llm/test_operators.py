@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, html, language, licenses, neardup, packing, quality, queries, sharding, suffixes, topk
+from tidemark.llm import bpe, difference_cover, html, language, licenses, neardup, packing, quality, queries, sharding, suffixes, topk
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, node string, place string, score double, words string, tokens string"
@@ -234,6 +234,26 @@ def test_removal(spark, monkeypatch, most):
     assert suffixes.removal(none(spark)).count() == 0
 
 
+def test_removal_by_one_order_of_all_contexts(spark):
+    rows = [(i, t) for i, t in enumerate(odd_texts())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert plain(suffixes.removal(df, across=True).collect()) == plain((i, *x) for (i, _), x in zip(rows, brute_removal([t for _, t in rows])))
+    assert suffixes.removal(df.limit(0), across=True).count() == 0
+
+
+@pytest.mark.parametrize("top,depth", [(1, 12), (3, 40)])
+def test_difference_cover_over_many_strings(spark, top, depth):
+    rng = random.Random(top)
+    made = [[rng.randint(1, top) for _ in range(rng.randint(1, 60))] for _ in range(50)] + [[1] * 50] * 20 + [[]]
+    rows = [(i, max(0, min(rng.randint(1, 60), len(x) - depth + 1)), x) for i, x in enumerate(made)]
+    df = spark.createDataFrame(rows, "sid long, need int, syms array<long>")
+    order = {r.sid: r.r for r in difference_cover.ranks(df, depth, True).collect()}
+    begins = [b for _, b in sorted((order[s][i], x[i : i + depth]) for s, n, x in rows for i in range(n))]
+    assert begins == sorted(begins)
+    times = Counter(tuple(x[i : i + depth]) for _, n, x in rows for i in range(n))
+    assert plain(difference_cover.repeated(df, depth).collect()) == plain((s, i) for s, n, x in rows for i in range(n) if times[tuple(x[i : i + depth])] > 1)
+
+
 def test_without_repeats_keeps_columns(spark):
     df = odd(spark)
     out = suffixes.without_repeats(df)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import difference_cover
 from tidemark.llm._text import _byte_codes, _powers, chunks, column_bytes, mix, ragged
 from tidemark.llm._work import fresh, hot_join, hot_keys, saved
 
@@ -308,14 +309,53 @@ def _settled(items: DataFrame) -> DataFrame:
         items = saved(items)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def _in_order(items: DataFrame) -> DataFrame:
+    """row, start, stop: what `_settled` gives, by one order of the suffixes of all contexts, sorted by Spark.
+
+    A context is one string: the bytes before its core, a mark and the eight bytes of the core's hash,
+    the bytes after it; a mark stands nowhere else, so passages with cores at different places differ.
+    """
+    mark, beyond = 257, LENGTH - CORE + 9
+    numbered = saved(items.withColumn("sid", F.monotonically_increasing_id()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sid, place, core, left, right = batch.columns
+            names = np.asarray(core, np.int64).astype("<i8").view(np.uint8).reshape(-1, 8)
+            out = []
+            for k in range(batch.num_rows):
+                a, b = (np.frombuffer(x[k].as_py(), np.uint8).astype(np.int64) + 1 for x in (left, right))
+                out.append(np.concatenate([a, [mark], names[k].astype(np.int64) + 1, b]))
+            at = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+            syms = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([sid, pa.array((np.asarray(place, np.int64) & 255).astype(np.int32)), syms], ["sid", "need", "syms"])
+
+    strings = saved(numbered.select("sid", "place", "core", "left", "right").mapInArrow(run, "sid long, need int, syms array<long>"))
+    found = difference_cover.repeated(strings, beyond).groupBy("sid").agg(F.collect_list("place").alias("hits"))
+    single = numbered.where("single").select("sid", "row", "place").join(found.hint("shuffle_hash"), "sid")
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, place, hits in zip(*(c.to_pylist() for c in batch.columns)):
+                flags = np.zeros(256, bool)
+                flags[hits] = True
+                out += _spans(row, place, flags)
+            columns = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "start", "stop"])
+
+    return single.select("row", "place", "hits").mapInArrow(spans, "row long, start long, stop long")
+
+
+def repeats(docs: DataFrame, across: bool = False) -> DataFrame:
     """row, start, stop: byte ranges, which may overlap, that together are all bytes in a repeated passage.
 
     1. Every passage of LENGTH bytes has an anchor that equal passages share. Anchors whose core occurs
        once hold no repeated passage and drop out before any text moves.
     2. An anchor whose whole context occurs twice has only repeated passages.
     3. The contexts left, where a repeat begins or ends, and one of each context of the same cores, are
-       sorted by suffix arrays (difference cover modulo 3) and neighbours compared (see `_settled`).
+       sorted by suffix arrays (difference cover modulo 3) and neighbours compared (see `_settled`);
+       with `across`, by one distributed sort of all of them (see `_in_order`), at some ten times the cost.
 
     Rows of cores and contexts that are very frequent are dealt over tasks in every join.
     """
@@ -329,7 +369,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     at, lead, count = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
     sure = whole.select("row", (at - lead).alias("start"), (at - lead + count - 1 + LENGTH).alias("stop"))
     open_ = mixed.select(F.col("first.row").alias("row"), F.col("first.place").alias("place"), "core", (F.col("n") == 1).alias("single"))
-    return sure.unionByName(_settled(saved(_contexts(open_, docs))))
+    contexts = saved(_contexts(open_, docs))
+    return sure.unionByName(_in_order(contexts) if across else _settled(contexts))
 
 
 def _cut(raw: bytes, spans: list) -> tuple[bytes, int, int]:
@@ -349,20 +390,21 @@ def _cut(raw: bytes, spans: list) -> tuple[bytes, int, int]:
     return b"".join(keep), removed, runs
 
 
-def _with_spans(docs: DataFrame, spans: str) -> DataFrame:
+def _with_spans(docs: DataFrame, spans: str, across: bool = False) -> DataFrame:
     """The rows of `docs` with all their spans in a new column `spans` (null: none)."""
     row = fresh("_row", docs.columns)
-    found = repeats(docs).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("start", "stop")).alias(spans))
+    found = repeats(docs, across).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("start", "stop")).alias(spans))
     keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), "text"))
     return keyed.join(found.hint("shuffle_hash"), row, "left").drop(row)
 
 
-def removal(docs: DataFrame) -> DataFrame:
+def removal(docs: DataFrame, across: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: what is left of each text without repeated passages.
 
     A byte goes if a string of LENGTH bytes that covers it also starts elsewhere, in the same text or
     another; null texts are empty. A repeated row repeats its passages, so both lose all of 200 bytes or
-    more. Rows with a null doc_id count like others; other columns are ignored; no rows give no rows.
+    more. Rows with a null doc_id count like others; other columns are ignored; no rows give no rows. How
+    the contexts are sorted (`across`, see `repeats`) changes no result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -377,7 +419,7 @@ def removal(docs: DataFrame) -> DataFrame:
                     out.append((batch.column(0)[k].as_py(), len(raw), removed, runs, hashlib.sha256(left).hexdigest()))
                 yield _table(out, schema)
 
-    joined = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "spans")
+    joined = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "spans", across)
     return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
