@@ -37,6 +37,22 @@ def test_one_class_has_no_auc(spark):
     assert r.auc is None
 
 
+def test_numbered_is_the_order_of_the_key(spark):
+    keys = [None, *(f"c{k * 7919 % 3001}" for k in range(3000))]
+    df = spark.createDataFrame([(k,) for k in keys], "c string").repartition(7)
+    got = {r.c: r.k for r in evaluation.numbered(df, "c").collect()}
+    assert got == {c: i for i, c in enumerate([None, *sorted(keys[1:])])}
+    assert evaluation.numbered(df.limit(0), "c").count() == 0
+
+
+def test_rank_metrics_of_groups_are_those_of_each_alone(spark):
+    rows = [(g, (k * 37 % 101) / 101, int(k % 3 == 0)) for g, n in (("hot", 900), ("cold", 7)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, score double, label int")
+    for r in evaluation.rank_metrics(df, by=["g"]).collect():
+        alone = evaluation.rank_metrics(df.where(df.g == r.g)).first().asDict()
+        assert {k: round(v, 9) for k, v in alone.items()} == {k: round(v, 9) for k, v in r.asDict().items() if k != "g"}
+
+
 def test_bootstrap_is_reproducible(spark):
     df = spark.createDataFrame([(f"c{i % 5}", i / 20, i % 2) for i in range(20)], "c string, score double, label int")
     a, b, c = (evaluation.bootstrap(df, "c", 30, seed).first() for seed in (1, 1, 2))

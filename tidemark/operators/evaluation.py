@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Ranges that distinct scores are dealt into for running sums; their totals are broadcast, so many rows at most.
 RANGES = 64
 
+#: Keys that are looked at to choose ranges of keys.
+SAMPLE = 4096
+
 
 def rate(correct: Column, total: Column) -> Column:
     """correct / total, null where total is 0."""
@@ -31,19 +34,20 @@ def distinct_scores(df: DataFrame, score: str = "score", label: str = "label", b
     return df.groupBy(*by, F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
 
 
-def running(scores: DataFrame) -> DataFrame:
-    """`scores` with sums over all higher-or-equal scores: cum_n, cum_pos.
+def running(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """`scores` with sums over all higher-or-equal scores (of the same group of `by`): cum_n, cum_pos.
 
     Distinct scores are dealt into at most RANGES ranges by quantiles; each range is summed by itself and
-    moved by the totals of the ranges above, so that no task sorts all scores.
+    moved by the totals of the ranges above, so that no task sorts all scores, nor all of a group. Groups
+    with a null in `by` are left out.
     """
     cuts = sorted(set(scores.approxQuantile("score", [i / RANGES for i in range(1, RANGES)], 0.01)))
     ranged = scores.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("score"))) if cuts else F.lit(0))
-    totals = ranged.groupBy("_range").agg(F.sum("n").alias("r_n"), F.sum("pos").alias("r_pos"))
-    above = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_range", F.coalesce(F.sum("r_n").over(above), F.lit(0)).alias("r_n"), F.coalesce(F.sum("r_pos").over(above), F.lit(0)).alias("r_pos"))
-    inside = Window.partitionBy("_range").orderBy(F.desc("score"))
-    sums = ranged.join(F.broadcast(totals), "_range")
+    totals = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("r_n"), F.sum("pos").alias("r_pos"))
+    above = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "_range", F.coalesce(F.sum("r_n").over(above), F.lit(0)).alias("r_n"), F.coalesce(F.sum("r_pos").over(above), F.lit(0)).alias("r_pos"))
+    inside = Window.partitionBy(*by, "_range").orderBy(F.desc("score"))
+    sums = ranged.join(totals if by else F.broadcast(totals), [*by, "_range"])
     return sums.withColumn("cum_n", F.sum("n").over(inside) + F.col("r_n")).withColumn("cum_pos", F.sum("pos").over(inside) + F.col("r_pos")).drop("_range", "r_n", "r_pos")
 
 
@@ -54,12 +58,7 @@ def rank_metrics(df: DataFrame, score: str = "score", label: str = "label", frac
     lift is the precision among the floor((n + 4) / 5) highest scores, all ties of the last included,
     over the prevalence (F10-F13). No pair of rows is ever formed.
     """
-    per = distinct_scores(df, score, label, by)
-    if by:
-        down = Window.partitionBy(*by).orderBy(F.desc("score"))
-        per = per.withColumn("cum_n", F.sum("n").over(down)).withColumn("cum_pos", F.sum("pos").over(down))
-    else:
-        per = running(per)
+    per = running(distinct_scores(df, score, label, by), by)
     total = per.groupBy(*by).agg(F.sum("n").alias("t_n"), F.sum("pos").alias("t_pos"))
     joined = per.join(total, list(by)) if by else per.crossJoin(F.broadcast(total))
     neg = F.col("n") - F.col("pos")
@@ -249,6 +248,21 @@ def token_cost(usage: DataFrame, price_in: float, price_out: float) -> DataFrame
     return sums.withColumn("cost", cost).withColumn("cost_per_candidate", F.try_divide(cost, F.col("candidates")))
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """`rows`, which differ in `key`, with their number `k` in its order, from 0; a null key is first.
+
+    The keys are dealt into at most RANGES ranges, cut at those of the SAMPLE keys of the least hash;
+    each range is numbered by itself and moved by the counts of those before.
+    """
+    picked = sorted(r[0] for r in rows.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(SAMPLE).collect())
+    cuts = sorted({picked[i * len(picked) // RANGES] for i in range(1, RANGES)}) if picked else []
+    ranged = rows.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return ranged.join(F.broadcast(counts), "_range").withColumn("k", inside - 1 + F.col("_before")).drop("_range", "_before")
+
+
 def bootstrap(df: DataFrame, cluster: str, reps: int, seed: int, statistic: str = "brier", score: str = "score", label: str = "label") -> DataFrame:
     """n_reps, low, mid, high: percentiles 2.5, 50, 97.5 of the mean squared error over resampled clusters.
 
@@ -258,14 +272,13 @@ def bootstrap(df: DataFrame, cluster: str, reps: int, seed: int, statistic: str
     """
     error = F.pow(F.col(score) - F.col(label), 2)
     sums = df.groupBy(F.col(cluster).alias("cluster")).agg(F.sum(error).alias("e"), F.count(F.lit(1)).alias("c"))
-    numbered = sums.withColumn("k", F.row_number().over(Window.orderBy("cluster")) - 1)
     k = sums.count()
     if not k:
         return df.sparkSession.createDataFrame([], "n_reps long, low double, mid double, high double")
     draws = df.sparkSession.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"))
     digest = F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("i").cast("string")), 256), 1, 8)
     draws = draws.select("rep", F.pmod(F.conv(digest, 16, 10).cast("long"), F.lit(k)).alias("k"))
-    stats = draws.join(numbered, "k").groupBy("rep").agg((F.sum("e") / F.sum("c")).alias("v"))
+    stats = draws.join(numbered(sums, "cluster"), "k").groupBy("rep").agg((F.sum("e") / F.sum("c")).alias("v"))
     q = F.expr("percentile(v, array(0.025, 0.5, 0.975))")
     return stats.agg(F.count(F.lit(1)).alias("n_reps"), q.alias("q")).select("n_reps", F.col("q")[0].alias("low"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("high"))
 
