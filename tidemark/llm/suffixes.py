@@ -355,7 +355,7 @@ def repeats(docs: DataFrame, across: bool = False) -> DataFrame:
     2. An anchor whose whole context occurs twice has only repeated passages.
     3. The contexts left, where a repeat begins or ends, and one of each context of the same cores, are
        sorted by suffix arrays (difference cover modulo 3) and neighbours compared (see `_settled`);
-       with `across`, by one distributed sort of all of them (see `_in_order`), at some ten times the cost.
+       with `across`, by one distributed sort of all of them (see `_in_order`), at some forty times the cost of this step.
 
     Rows of cores and contexts that are very frequent are dealt over tasks in every join.
     """
