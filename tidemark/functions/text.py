@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
 
 # Words that carry no identity in names.
 LEGAL_A = ["plc", "limited", "ltd", "holdings", "group", "the"]
@@ -149,13 +149,23 @@ def truncate_context(text: Column, span: Column, most: int = 2400) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.substring(text, start, F.lit(most)))
 
 
-def span_offsets(text: Column, span: Column) -> Column:
-    """Zero-based starts of all occurrences of a literal that do not overlap; the first is canonical."""
-    parts = F.split(text, F.concat(F.lit("\\Q"), span, F.lit("\\E")))
-    heads = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p) + F.length(span)).alias("at"), F.concat(acc["out"], F.array((acc["at"] + F.length(p)).cast("int"))).alias("out"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.when(F.length(span) > 0, F.aggregate(heads, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<int>"))
+@pandas_udf(ArrayType(IntegerType()))
+def span_offsets(text: pd.Series, span: pd.Series) -> pd.Series:
+    """Zero-based starts of all occurrences of a literal that do not overlap, in linear time; the first is canonical.
+
+    Null for a null text; no starts for a null or empty span. A native fold copies its array at each step.
+    """
+
+    def starts(s: str | None, span: str | None) -> list[int] | None:
+        if s is None or not span:
+            return None if s is None and span else []
+        out, at = [], s.find(span)
+        while at >= 0:
+            out.append(at)
+            at = s.find(span, at + len(span))
+        return out
+
+    return pd.Series([starts(a, b) for a, b in zip(text, span)], dtype=object)
 
 
 def redact(text: Column, terms: Sequence[str], mask: str = "[redacted]") -> Column:

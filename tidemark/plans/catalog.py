@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import cases, conditions, documents, evaluation, integrity, ledgers, longitudinal, pointintime, sampling, scoring  # noqa: F401
+from tidemark.plans import cases, checks, conditions, documents, evaluation, integrity, ledgers, longitudinal, pointintime, sampling, scoring  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 #: The names that these queries had when the plain ones read a part of their tables.
