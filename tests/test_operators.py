@@ -254,3 +254,10 @@ def test_best_similarity_against_brute_force(spark):
             want[(i, None)] = ("unmatched", None)
     want |= {(None, j): ("right_only", None) for j in range(1, 60, 2) if j not in used}
     assert got == want
+
+
+def test_span_offsets_of_edge_cases(spark):
+    rows = [("abcabc", "bc", [1, 4]), ("aaaa", "aa", [0, 2]), ("a.b\\E.", ".", [1, 5]), ("x\\Ey", "\\E", [1]), ("", "a", []), ("abc", "", []), ("abc", None, []), (None, "a", None), ("é😀é", "é", [0, 2]), ("ab" * 200000, "ab", list(range(0, 400000, 2)))]
+    df = spark.createDataFrame(rows, "text string, span string, want array<int>")
+    for r in df.select("want", text.span_offsets(F.col("text"), F.col("span")).alias("got")).collect():
+        assert r.got == r.want

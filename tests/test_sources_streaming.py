@@ -27,6 +27,28 @@ def test_file_hashes(spark, tmp_path):
     assert tables.file_hashes(spark, str(tmp_path)).first().sha256.startswith("ba7816bf")
 
 
+def test_artifact_problems(spark, tmp_path):
+    from tidemark.operators.integrity import artifact_problems
+
+    for name, data in (("a", b"abc"), ("b", b"xyz")):
+        (tmp_path / name).write_bytes(data)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    hashes = [(r.path, r.sha256) for r in tables.file_hashes(spark, str(tmp_path)).collect()]
+    manifest = spark.createDataFrame([*hashes, ("gone", "0")], "path string, sha256 string")
+    assert artifact_problems(files, manifest).collect() == [("gone", "missing")]
+    (tmp_path / "b").write_bytes(b"other")
+    found = {(r.path.split("/")[-1], r.problem) for r in artifact_problems(spark.read.format("binaryFile").load(str(tmp_path)), manifest).collect()}
+    assert found == {("b", "changed"), ("gone", "missing")}
+
+
+def test_nested_write(spark, tmp_path):
+    keys = spark.createDataFrame([(1,), (2,)], "k int")
+    parts = spark.createDataFrame([(1, "b"), (1, "a")], "k int, v string")
+    tables.write_nested(tables.nested(keys, "k", {"parts": (parts, ["v"])}), f"{tmp_path}/n", "k")
+    got = spark.read.schema("parts array<struct<v: string>>, k int").json(f"{tmp_path}/n")
+    assert {r.k: [x.v for x in r.parts] for r in got.collect()} == {1: ["a", "b"], 2: []}
+
+
 def test_feeds_have_one_schema(spark):
     data = [
         ("g", "greenhouse", {"jobs": [{"id": 1, "title": "A", "absolute_url": "u", "updated_at": "2024-01-02T03:04:05Z", "content": "&lt;p&gt;Hi&lt;/p&gt;", "location": {"name": "Leeds"}, "departments": [{"name": "X"}, {"name": "Y"}]}]}),
@@ -121,12 +143,12 @@ def test_two_misses_close_and_bad_snapshots_change_nothing():
 SNAPSHOT = "source string, ts timestamp, success boolean, identities array<string>"
 
 
-def test_fold_is_the_naive_fold(spark):
+def test_fold_and_replay_are_the_naive_fold(spark, tmp_path):
     data = [history(s) for s in (1, 2)]
     df = spark.createDataFrame([r for d in data for r in d], SNAPSHOT)
-    got = {(r.source, r.identity): (r.status, r.misses, r.reopened) for r in lifecycle.lifecycle_fold(df, ["source"]).collect()}
     want = {(d[0][0], i): tuple(v) for d in data for i, v in naive(d)[0].items()}
-    assert got == want
+    for store in (lifecycle.lifecycle_fold(df, ["source"]), tables.replay(df, ["source"], f"{tmp_path}/store")):
+        assert {(r.source, r.identity): (r.status, r.misses, r.reopened) for r in store.collect()} == want
 
 
 def test_stream_is_the_batch(spark, tmp_path):
