@@ -235,16 +235,20 @@ class IdTable:
 
     def add(self, lists: list) -> None:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = int(sizes.sum())
+        self.extend(np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes)
+
+    def extend(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Adds the ids of the pieces numbered next, one after another, and how many each has."""
+        total = len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.count + len(lists) > len(self.start):
+        while self.count + len(sizes) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.int32, total)
-        self.start[self.count : self.count + len(lists)] = self.used + np.cumsum(sizes) - sizes
-        self.size[self.count : self.count + len(lists)] = sizes
+        self.flat[self.used : self.used + total] = ids
+        self.start[self.count : self.count + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.count : self.count + len(sizes)] = sizes
         self.used += total
-        self.count += len(lists)
+        self.count += len(sizes)
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
         return self.flat[ragged(self.start[numbers], self.size[numbers])]

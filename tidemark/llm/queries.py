@@ -84,6 +84,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.byte_bpe import encode_digest
+
+    return encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.trie import trie_digest
+
+    return trie_digest(table(spark, sf_dir, "conversations"))
+
+
 OP3_SQL = """
 with v as (
     select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
@@ -202,10 +222,56 @@ r(a, b) as (select doc_id, doc_id from documents union select r.a, x.b from r jo
 select r.a as doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.b) as component_id, r.a = min(r.b) as kept from r left join n on n.doc_id = r.a group by r.a
 """
 
+#: crc32 by bytes: a table of 256 remainders, and a fold over the UTF-8 bytes of w.
+CRC_TABLE = "select list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as t"
+CRC = "xor(list_reduce(list_concat([4294967295], list_transform(range(strlen(w)), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::bigint)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"
+
+OP12_SQL = f"""
+with crc as ({CRC_TABLE}),
+d as (select row_number() over () as rid, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+f as (select rid, unnest(words) as w from d),
+g as (select unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
+b as materialized (select w, {CRC} % 10000 as bucket from (select w from f union select w from g) as x, crc),
+s as (select bucket, count(*) as s from f join b using (w) group by bucket),
+t as (select bucket, count(*) as t from g join b using (w) group by bucket),
+n as (select (select count(*) from f) as every, (select count(*) from g) as aimed),
+gain as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (every + 10000)::double / ((coalesce(s, 0) + 1)::double * (aimed + 10000)::double)))::bigint as gain from s full join t using (bucket), n),
+w as (select rid, count(*) as n_features, floor(sum(gain) / count(*)::double)::bigint as weight from f join b using (w) join gain using (bucket) group by rid),
+v as (select d.rid, doc_id, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score from d left join w using (rid)),
+r as (select rid, row_number() over (order by score desc, doc_id nulls last, n_features, weight) as r, count(*) over () as n from v where n_features >= 20)
+select doc_id, n_features, weight, score, case when r <= 10 * n // 100 then r end as rank from v left join r using (rid)
+"""
+
+OP13_SQL = f"""
+with crc as ({CRC_TABLE}),
+own as (select conv_id, row_number() over (partition by conv_id order by turn nulls first) as i, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+c as (select conv_id, n, conv_id - conv_id % 5 as base, {CRC} % 9 as h from (select conv_id, conv_id::varchar as w, count(*) as n from own group by 1) as x, crc),
+m as (select c.*, least(c.h, coalesce(b.n, 0)) as head from c left join c as b on b.conv_id = c.base),
+turns as (
+    select m.conv_id, i as pos, role, text from m join own on own.conv_id = m.base where i <= h
+    union all select m.conv_id, i - h + head, role, text from m join own using (conv_id) where i > h
+),
+paths as (
+    select conv_id, pos, strlen(text) as bytes, md5(string_agg(sha256(role) || sha256(text), '' order by pos) over (partition by conv_id order by pos)) as node from turns
+    union all select conv_id, 0, 0, '' from c
+),
+steps as (select *, lag(node) over (partition by conv_id order by pos) as up, lead(pos) over (partition by conv_id order by pos) is null as is_last from paths),
+nodes as (select pos, node, any_value(up) as up, any_value(bytes) as bytes, min(conv_id) as conv_id, count(*) as n, string_agg(conv_id::varchar, ',' order by conv_id) filter (is_last) as ends from steps group by pos, node),
+kids as (select up, pos - 1 as pos, count(*) as n_children from nodes where pos > 0 group by all),
+under as (select distinct a.pos, a.node, b.pos as low_pos, b.node as low from steps a join steps b on a.conv_id = b.conv_id and b.pos >= a.pos),
+sums as (
+    select u.pos, u.node, sum((x.n - 1) * x.bytes)::bigint as saved_tokens, count(*) filter (k.n_children is null) as n_leaves
+    from under u join nodes x on x.pos = u.low_pos and x.node = u.low left join kids k on k.pos = u.low_pos and k.up = u.low group by u.pos, u.node
+)
+select a.conv_id, a.pos::bigint as depth, p.conv_id as parent_conv_id, a.n as n_convs, coalesce(k.n_children, 0)::bigint as n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(a.ends, '')) as ends_sha256
+from nodes a join sums s on s.pos = a.pos and s.node = a.node left join kids k on k.pos = a.pos and k.up = a.node left join nodes p on p.pos = a.pos - 1 and p.node = a.up
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op2_quality, op3_topk, op4_suffixes, op5_packing, op6_sharding, op7_language, op8_neardup, op9_html, op10_bpe)}
+    return {f.__name__: f for f in (op1_licenses, op2_quality, op3_topk, op4_suffixes, op5_packing, op6_sharding, op7_language, op8_neardup, op9_html, op10_bpe, op11_bytebpe, op12_importance, op13_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": op1_sql(), "op2_quality": op2_sql(), "op3_topk": OP3_SQL, "op4_suffixes": OP4_SQL, "op6_sharding": op6_sql(), "op8_neardup": OP8_SQL}
+    return {"op1_licenses": op1_sql(), "op2_quality": op2_sql(), "op3_topk": OP3_SQL, "op4_suffixes": OP4_SQL, "op6_sharding": op6_sql(), "op8_neardup": OP8_SQL, "op12_importance": OP12_SQL, "op13_trie": OP13_SQL}
