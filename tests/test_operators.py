@@ -167,15 +167,6 @@ def test_near_duplicates_keep_the_first(spark):
     assert sorted(rows(extraction.near_duplicate_events(df, ["doc"], "at", "span"))) == [("d", 2, 1), ("d", 3, 1)]
 
 
-def test_ixbrl_and_tables(spark):
-    page = '<xbrli:context id="c1"><xbrli:startDate>2023-01-01</xbrli:startDate><xbrli:endDate>2023-12-31</xbrli:endDate></xbrli:context><xbrli:context id="c2"><xbrldi:explicitMember>x</xbrldi:explicitMember></xbrli:context><xbrli:unit id="u"><xbrli:measure>iso4217:GBP</xbrli:measure></xbrli:unit><ix:nonFraction name="Revenue" contextRef="c1" unitRef="u" scale="6" sign="-">1,2<b>3</b></ix:nonFraction><ix:nonFraction name="Revenue" contextRef="c2" unitRef="u">5</ix:nonFraction>'
-    f = extraction.ixbrl_facts(spark.createDataFrame([(1, page)], "id int, html string"), "html", "id").collect()
-    assert [(r.name, r.value, r.unit, r.end_on) for r in f] == [("Revenue", -123e6, "GBP", "2023-12-31")]
-    table = "<table><tr><th>£ million</th><th>2024</th><th>2023</th></tr><tr><td>Revenue</td><td>1,200</td><td>(30)</td></tr></table>"
-    t = extraction.table_figures(spark.createDataFrame([(1, table)], "id int, html string"), "html", "id", {"revenue": "^revenue"}).orderBy("year").collect()
-    assert [(r.metric, r.year, r.value) for r in t] == [("revenue", 2023, -30e6), ("revenue", 2024, 1.2e9)]
-
-
 def test_labelled_figures(spark):
     body = "[Page 2]\nRevenue: £1.5bn\nMargin: 12.5%\nOther: n/a"
     got = extraction.labelled_figures(spark.createDataFrame([(1, body)], "id int, text string"), "text", ["id"], {"revenue": "revenue", "margin": "margin", "other": "other"}).collect()

@@ -1,9 +1,8 @@
-"""Document to event and observation jobs as staged pipelines: each stage adds columns, no row is lost."""
+"""Document to event and observation jobs as staged pipelines: each stage adds columns, no row is lost."""
 
 from __future__ import annotations
 
 import difflib
-import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -209,74 +208,11 @@ def labelled_figures(df: DataFrame, text: str, keys: Sequence[str], aliases: dic
     return rows.select(*keys, F.col("z.page").alias("page"), metric.alias("metric"), parsed.alias("a")).where("metric is not null and a.value is not null").select(*keys, "page", "metric", "a.*")
 
 
-def ixbrl_facts(df: DataFrame, html: str, key: str) -> DataFrame:
-    """key, name, value, unit, start_on, end_on: nonFraction facts of contexts without dimensions.
-
-    Facts, contexts and units of all documents are three tables, joined on document and id.
-    """
-    from tidemark.functions.parse import ixbrl_number
-
-    def tags(name: str) -> DataFrame:
-        return df.select(key, F.explode(F.regexp_extract_all(html, F.lit(rf"(?is)(<(?:\w+:)?{name}\b[^>]*>.*?</(?:\w+:)?{name}>)"), F.lit(1))).alias("tag"))
-
-    attr = lambda n: F.regexp_extract("tag", rf"(?is)\b{n}\s*=\s*[\"']([^\"']*)[\"']", 1)
-    inner = lambda n: F.trim(F.regexp_extract("tag", rf"(?is)<(?:\w+:)?{n}\b[^>]*>(.*?)</", 1))
-    contexts = tags("context").select(key, attr("id").alias("context"), F.coalesce(F.nullif(inner("startDate"), F.lit("")), F.nullif(inner("instant"), F.lit(""))).alias("start_on"), F.coalesce(F.nullif(inner("endDate"), F.lit("")), F.nullif(inner("instant"), F.lit(""))).alias("end_on"), F.col("tag").rlike(r"(?i)explicitMember|typedMember").alias("dimensioned"))
-    units = tags("unit").select(key, attr("id").alias("unit_id"), F.regexp_extract(inner("measure"), r"([^:]+)$", 1).alias("unit"))
-    facts = tags("nonFraction").select(key, attr("name").alias("name"), attr("contextRef").alias("context"), attr("unitRef").alias("unit_id"), (ixbrl_number(F.regexp_extract("tag", r"(?is)>(.*)<", 1), attr("sign")) * F.pow(F.lit(10.0), F.coalesce(attr("scale").try_cast("int"), F.lit(0)))).alias("value"))
-    return facts.join(contexts, [key, "context"]).join(units, [key, "unit_id"], "left").where("not dimensioned and value is not null").select(key, "name", "value", "unit", "start_on", "end_on").distinct()
-
-
-def primary_facts(facts: DataFrame, key: str) -> DataFrame:
-    """One fact for each document and name: the longest period, the earliest on ties."""
-    days = F.coalesce(F.datediff(F.to_date("end_on"), F.to_date("start_on")), F.lit(0))
-    w = Window.partitionBy(key, "name").orderBy(days.desc(), "start_on", "value")
-    return facts.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-
-
-def table_figures(df: DataFrame, html: str, key: str, metrics: dict[str, str]) -> DataFrame:
-    """key, row, metric, year, value: cells of table rows whose first cell matches a metric.
-
-    Years come from the last row before with two or more years; the scale from words in the first eight rows.
-    """
-    from tidemark.functions.parse import cell_number
-
-    strip = lambda c: collapse(F.regexp_replace(c, "<[^>]*>", " "))
-    rows = F.regexp_extract_all(html, F.lit(r"(?is)(<tr\b.*?</tr>)"), F.lit(1))
-    cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), strip))
-    base = df.select(key, cells.alias("rows"))
-    head = F.lower(F.array_join(F.flatten(F.slice("rows", 1, 8)), " "))
-    scale = F.when(head.contains("billion"), 1e9).when(head.contains("million"), 1e6).when(head.contains("thousand"), 1e3).otherwise(1.0)
-    years = lambda r: F.transform(F.filter(r, lambda c: c.rlike(r"^(?:FY)?20\d\d$")), lambda c: F.regexp_extract(c, r"(20\d\d)", 1).cast("int"))
-    each = base.select(key, scale.alias("scale"), F.posexplode("rows").alias("row", "r"))
-    named = F.when(F.size(years(F.col("r"))) >= 2, years(F.col("r")))
-    upto = Window.partitionBy(key).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    each = each.select(key, "scale", "row", F.struct(F.last(named, ignorenulls=True).over(upto).alias("y"), F.col("r")).alias("z"))
-    metric = F.element_at(F.concat(matches(F.coalesce(F.get("z.r", F.lit(0)), F.lit("")), metrics), F.array(F.lit(None).cast("string"))), 1)
-    values = F.filter(F.transform(F.slice("z.r", 2, 50), cell_number), lambda v: v.isNotNull())
-    out = each.select(key, "row", metric.alias("metric"), "scale", F.posexplode(F.arrays_zip(F.coalesce("z.y", F.array().cast("array<int>")).alias("y"), values.alias("v"))).alias("i", "p")).where("metric is not null and p.v is not null and p.y is not null")
-    return out.select(key, "row", "metric", F.col("p.y").alias("year"), (F.col("p.v") * F.col("scale")).alias("value"))
-
-
 def canonical_value(metric: Column, value: Column) -> Column:
     """Capital expenditure is told without its sign."""
     return F.when(metric == "capex", F.abs(value)).otherwise(value)
 
 
-def _excerpt(term: str):
-    return lambda e, i: F.struct(F.lit(term).alias("term"), i.alias("n"), e.alias("excerpt"))
-
-
-def excerpts(df: DataFrame, text: str, keys: Sequence[str], terms: Sequence[str], before: int = 180, after: int = 260, most: int = 8) -> DataFrame:
-    """keys, term, n, excerpt: windows around matches that do not overlap, the first `most` of a term."""
-    found = []
-    for t in terms:
-        span = rf"(?is)(.{{0,{before}}}{re.escape(t)}.{{0,{after}}})"
-        there = F.contains(F.lower(text), F.lit(t.lower()))
-        found.append(F.transform(F.slice(F.when(there, F.regexp_extract_all(text, F.lit(span), F.lit(1))).otherwise(F.array().cast("array<string>")), 1, most), _excerpt(t)))
-    return df.select(*keys, F.explode(F.flatten(F.array(*found))).alias("x")).select(*keys, "x.*")
-
-
 def difficulty(df: DataFrame, probes: dict[str, Column], least: int = 3) -> DataFrame:
     """flags (probes that hold) and difficult: at least `least` do."""
     flags = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in probes.items())))

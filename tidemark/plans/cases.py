@@ -8,6 +8,7 @@ from tidemark.functions import parse as pa
 from tidemark.functions import text as tx
 from tidemark.operators import evaluation as ev
 from tidemark.operators import extraction as ex
+from tidemark.operators import figures as fg
 from tidemark.operators import integrity as it
 from tidemark.operators import joins as jo
 from tidemark.operators import ladders as la
@@ -212,7 +213,7 @@ def polarity_and_zone(t):
 def primary_facts(t):
     start = F.to_date("l_shipdate")
     f = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("name"), start.cast("string").alias("start_on"), F.date_add(start, F.col("l_linenumber").cast("int")).cast("string").alias("end_on"), F.col("l_quantity").cast("double").alias("value"))
-    return ex.primary_facts(f, "k").select("k", "name", "start_on", "value")
+    return fg.primary_facts(f, "k", "name").select("k", "name", "start_on", "value")
 
 
 @query("""select o_orderkey, case when o_orderpriority = '1-URGENT' then abs(500 - o_orderkey % 1000) else 500 - o_orderkey % 1000 end::double as value, 'o-' || substr(sha256(o_orderpriority), 1, 12) as id, case when o_orderkey % 3 = 0 then -(o_orderkey % 1000) when o_orderkey % 3 = 1 then -(o_orderkey % 1000) else o_orderkey % 1000 end::double as tagged,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import parse as pa
 from tidemark.functions import text as tx
 from tidemark.operators import extraction as ex
+from tidemark.operators import figures as fg
 from tidemark.plans.registry import query
 from tidemark.streaming import lifecycle as lc
 
@@ -74,13 +75,20 @@ def near_dup_events(t):
     return ex.near_duplicate_events(e, ["doc_id", "event_type"], "position", "sentence")
 
 
-TERMS = ["license", "token", "@"]
-EACH_TERM = " union all ".join(f"select doc_id, '{x}' as term, list_slice(regexp_extract_all(text, '(?is).{{0,180}}{x}.{{0,260}}'), 1, 8) as found from documents" for x in TERMS)
+TERMS = ["license", "token", "@", "the", "de"]
+PLACES = " union all ".join(f"select doc_id, page, text, {k} as t, '{x}' as term, string_split_regex(text, '(?i){x}') as parts from p" for k, x in enumerate(TERMS))
 
 
-@query(f"with f as ({EACH_TERM}), g as (select doc_id, term, unnest(found) as excerpt, unnest(range(len(found)))::integer as n from f) select doc_id, term, n, excerpt from g")
+@query(f"""with recursive l as (select doc_id, string_split(text, chr(10)) as l from documents), q as (select doc_id, l, unnest(range(len(l))) as i from l),
+p as (select doc_id, i + 1 as page, trim(regexp_replace(l[i + 1], '[\\s\\x0b\\x{{85}}\\pZ]+', ' ', 'g'), ' ') as text from q), s as ({PLACES}),
+u as (select *, unnest(range(len(parts) - 1)) as j from s), a as (select doc_id, page, t, term, j, text, coalesce(list_sum(list_transform(parts[1:j + 1], lambda z: length(z))), 0)::bigint + j * length(term) as spot from u),
+c as (select doc_id, row_number() over (partition by doc_id order by page, t, j) as r, {{'page': page::integer, 'term': term, 'start': greatest(spot - 180, 0)::integer, 'stop': least(spot + length(term) + 260, length(text))::integer}} as w from a),
+f as (select doc_id, 0 as r, list_filter([w], lambda z: false) as taken from c where c.r = 1
+union all select f.doc_id, c.r, case when len(taken) >= 8 or len(list_filter(taken, lambda z: z.page = c.w.page and not (c.w.stop < z.start or c.w.start > z.stop))) > 0 then taken else list_append(taken, c.w) end from f join c on c.doc_id = f.doc_id and c.r = f.r + 1),
+g as (select doc_id, arg_max(taken, r) as taken from f group by 1), h as (select doc_id, unnest(range(len(taken)))::integer as n, unnest(taken) as w from g)
+select h.doc_id, n, w.page, w.term, w.start, w.stop, substr(p.text, w.start + 1, w.stop - w.start) as excerpt from h join p on p.doc_id = h.doc_id and p.page = w.page""")
 def excerpts(t):
-    return ex.excerpts(t.documents, "text", ["doc_id"], TERMS)
+    return fg.excerpts(t.documents, F.split("text", "\n"), ["doc_id"], TERMS)
 
 
 @query("""select doc_id, sha256(source || '|' || lang || '|' || (strftime(date '2024-01-01' + (doc_id % 400)::integer, '%G')::integer)::varchar || '-' || (strftime(date '2024-01-01' + (doc_id % 400)::integer, '%V')::integer)::varchar || '|' ||
