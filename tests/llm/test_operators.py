@@ -528,6 +528,32 @@ def test_html_keeps_all_articles_and_no_markup(spark):
     assert html.main_text(plain_page, weights) == want
 
 
+#: Pages by hand: what the article holds, and what stands around it.
+HAND = {
+    "ends in a list": ("<div><h1>Head of it</h1><p>{a}</p><ul><li>one</li><li>two</li><li>three</li></ul></div>", "Head of it {a} one two three"),
+    "ends in short blocks": ("<main><p>{a}</p><div>one</div><div><div>two</div></div><div>three four</div></main>", "{a} one two three four"),
+    "ends in a link": ("<div><p>{a}</p><p>See <a href=x>this</a></p></div>", "{a} See this"),
+    "begins with a list": ("<div><ol><li>first</li><li>second</li></ol><p>{a}</p></div>", "first second {a}"),
+    "links between paragraphs": ("<div><p>{a}</p><ul>" + "<li><a href=x>link</a></li>" * 20 + "</ul><p>{b}</p></div>", "{a} " + "link " * 20 + "{b}"),
+    "a menu between articles": ("<article><p>short first one</p></article><nav>" + "<a href=x>Go there</a>" * 50 + "</nav><article><p>{b}</p></article>", "short first one {b}"),
+    "a long aside": ("<div><p>few words</p><aside>" + "<p>aside words</p>" * 2000 + "</aside><p>{b}</p></div>", "few words {b}"),
+    "a table": ("<div><p>{a}</p><table><tr><th>Year</th><th>Sum</th></tr><tr><td>2024</td><td>5</td></tr></table></div>", "{a} Year Sum 2024 5"),
+    "classes never met": ("<div class='teaser'><p>Read more of it</p></div><div><p>{a}</p></div><div class='copyright'>All rights held</div>", "{a}"),
+    "a plain menu before": ("<ul>" + "<li><a href=x>Home</a></li>" * 6 + "</ul><div><p>{a}</p></div>", "{a}"),
+    "nested markup": ("<div><p>{a} <em>with <strong>strong</strong></em> <code>x</code></p><blockquote><p>quoted</p></blockquote></div>", "{a} with strong x quoted"),
+}
+
+
+@pytest.mark.parametrize("size", ["learned on a thousand", "learned on few", "priors"])
+def test_html_pages_by_hand(spark, size):
+    """Lists, links, short blocks and several articles stay whole; menus, asides and notices go."""
+    weights = {} if size == "priors" else html.learn(spark.read.parquet("/root/testdata/sf0.01/pages.parquet") if "thousand" in size else read(spark, "pages"))
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(12))
+    for name, (page, want) in HAND.items():
+        whole = f"<html><body><header>Site name</header><nav><ul><li><a>menu</a></li></ul></nav>{page.format(a=a, b=b)}<footer>foot words</footer></body></html>"
+        assert html.main_text(whole, weights) == want.format(a=a, b=b), name
+
+
 def test_html_region_against_brute_force():
     rng = random.Random(3)
     for _ in range(300):

@@ -19,7 +19,7 @@ APART = set("nav header footer aside form menu dialog button select label".split
 KNOWN = BLOCK | RAW | VOID | APART | set("a abbr b big cite code del em font i img input ins kbd mark q s small span strong sub sup time u var".split())
 # Words in the class, id or role of a container that, before any page is seen, mark what
 # stands beside an article; words beside which they do not; elements that hold running text.
-BESIDE = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer header menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+BESIDE = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs colophon comment comments cookie cookies consent copyright disclaimer footer header menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion recommended recommendations related replies reply respond share sharing sidebar social sponsor sponsored subscribe teaser teasers toolbar trending widget".split())
 MAIN = set("article body content entry main post story text".split())
 RUNNING = set("p h1 h2 h3 h4 h5 h6 blockquote pre td th dd dt article body html main".split())
 
@@ -30,8 +30,9 @@ _ROLE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 LABELLED = 2000
 #: A key met in fewer words or tags of the labelled pages keeps its prior weight.
 FEW = 20
-#: Bounds of the weights of words and tags, and the lowest for both beside an article, so that a long aside cannot split one.
-MOST_WORD, LEAST_TAG, LEAST_BESIDE = 4.0, -3.0, -0.1
+#: The highest weight of a word, and the lowest of tags as shares of it: a block of one word still scores above
+#: zero, as does a word in a link; an item of a list that is one word in a link scores below it.
+MOST_WORD, LEAST_TAG, LEAST_LINK = 4.0, -0.2, -0.5
 
 
 def words_of(attributes: str) -> list[str]:
@@ -131,9 +132,14 @@ def _tag(name: str) -> str:
 
 
 def counts(page: str) -> dict[str, list[int]]:
-    """Of a labelled page: how often each tag, and words under each kind of element, stand inside and outside its article."""
+    """Of a labelled page: how often each tag, and words under each kind of element, stand inside and outside its article.
+
+    Tags of elements whose name or class tells that they stand beside an article, and below them, are not
+    counted: a menu's items and links say nothing of those that an article has.
+    """
     out: dict[str, list[int]] = {}
     keys: list[str] = []
+    flow = [True]
     held: dict[str, int] = {}
 
     def add(key: str, n: int, inside: bool) -> None:
@@ -148,15 +154,20 @@ def counts(page: str) -> dict[str, list[int]]:
                 if key not in ("", "article"):
                     add(f"word {key}", n, inside)
         elif kind == "void":
-            add(_tag(value), 1, inside)
+            if flow[-1]:
+                add(_tag(value), 1, inside)
         elif kind == "open":
-            add(_tag(value), 1, inside and value != "article")
+            flow.append(flow[-1] and not _apart(value, more[0]))
+            if flow[-1]:
+                add(_tag(value), 1, inside and value != "article")
             key = "article" if value == "article" else _key(value, more[0]) if more[0] or value in APART else ""
             keys.append(key)
             held[key] = held.get(key, 0) + 1
         else:
-            add("/" + _tag(value), 1, inside and value != "article")
+            if flow[-1]:
+                add("/" + _tag(value), 1, inside and value != "article")
             if more[0] >= 0:
+                del flow[more[0] + 1 :]
                 for key in keys[more[0] :]:
                     held[key] -= 1
                     if not held[key]:
@@ -205,11 +216,14 @@ def _word_weight(weights: dict[str, float], name: str, words: list[str]) -> floa
     return (-1.0 if _apart(name, words) else 1.0) if known is None else known
 
 
-def _tag_weight(weights: dict[str, float], key: str) -> float:
+def _tag_weight(weights: dict[str, float], key: str, word: float) -> float:
+    """The weight of a tag in the flow: what the labelled pages tell within bounds; else links and lists, which menus are made of, weigh least."""
+    name = key.removeprefix("/")
+    least = (LEAST_LINK if name == "a" else LEAST_TAG) * word
     known = weights.get(key)
     if known is None:
-        known = -0.02 if key.startswith("/") or key not in BLOCK else -0.2
-    return min(-0.02, max(LEAST_TAG, known))
+        known = least if name in ("a", "ul", "ol", "li") or key in BLOCK else -0.02
+    return min(-0.02, max(least, known))
 
 
 def region(gains: list[float]) -> tuple[int, int]:
@@ -225,13 +239,16 @@ def region(gains: list[float]) -> tuple[int, int]:
 
 
 def scored(page: str, weights: dict[str, float]) -> tuple[list[tuple], list[float]]:
-    """The page's parts and the gain of each: (text or None, whether it stands in the article's flow, whether a block begins or ends)."""
+    """The page's parts and the gain of each: (text or None, whether it stands in the article's flow, whether a block begins or ends).
+
+    What stands beside an article neither adds nor takes, however long it is, so that it parts no article.
+    """
     parts, gains, flow = [], [], [True]
     word = min(MOST_WORD, max(0.2, weights.get("word", 1.0)))
     for kind, value, *more in events(page):
         if kind == "text":
             parts.append((value, flow[-1], False))
-            gains.append(len(value.split()) * (word if flow[-1] else LEAST_BESIDE))
+            gains.append(len(value.split()) * word if flow[-1] else 0.0)
             continue
         inside = flow[-1]
         if kind == "open":
@@ -240,8 +257,7 @@ def scored(page: str, weights: dict[str, float]) -> tuple[list[tuple], list[floa
         elif kind == "close" and more[0] >= 0:
             del flow[more[0] + 1 :]
         parts.append((None, True, value in BLOCK))
-        gain = _tag_weight(weights, ("/" if kind == "close" else "") + _tag(value))
-        gains.append(gain if inside else max(LEAST_BESIDE, gain))
+        gains.append(_tag_weight(weights, ("/" if kind == "close" else "") + _tag(value), word) if inside else 0.0)
     return parts, gains
 
 
