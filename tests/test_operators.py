@@ -252,3 +252,80 @@ def test_span_offsets_of_edge_cases(spark):
     df = spark.createDataFrame(rows, "text string, span string, want array<int>")
     for r in df.select("want", text.span_offsets(F.col("text"), F.col("span")).alias("got")).collect():
         assert r.got == r.want
+
+
+def mutated(rng, words, n):
+    """Texts of which many are copies with a few changes, some are short, some repeat one word."""
+    out = []
+    for _ in range(n):
+        if out and rng.random() < 0.6:
+            t = list(rng.choice(out))
+            for _ in range(rng.randint(0, max(1, len(t) // 12))):
+                at = rng.randrange(len(t) + 1)
+                t[at : at + rng.randint(0, 1)] = rng.choice("abcxyz ") * rng.randint(0, 2)
+            out.append("".join(t))
+        else:
+            out.append(" ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 12, 30]))))
+    return out
+
+
+@pytest.mark.parametrize("least", [0.86, 0.78, 0.6])
+def test_near_duplicate_events_are_greedy(spark, least):
+    import difflib
+    import random
+    import re
+
+    rng = random.Random(int(least * 100))
+    words = ["plant", "closure", "the", "a", "of", "capacity", "aaaa", "b", "Leeds", "2024", "growth", "é漢"]
+    data = [(k, f"g{k % 3}", "type", t) for k, t in enumerate(mutated(rng, words, 220))] + [(900, "g0", "type", None), (901, None, "type", "x"), (902, "g0", "type", ""), (903, "g0", "type", "!!"), (904, "g1", "type", "a" * 300), (905, "g1", "type", "a" * 290 + "b" * 9)]
+    want = []
+    for g in ("g0", "g1", "g2"):
+        kept = []
+        for at, _, _, t in (r for r in data if r[1] == g and r[3] is not None):
+            t = re.sub(r"\W+", " ", t.lower()).strip()
+            hit = next((k for k, s in kept if s == t or difflib.SequenceMatcher(None, s, t).ratio() >= least), None)
+            if hit is None:
+                kept.append((at, t))
+            else:
+                want.append((g, "type", at, hit))
+    df = spark.createDataFrame(data, "at int, doc string, kind string, span string")
+    got = extraction.near_duplicate_events(df, ["doc", "kind"], "at", "span", least)
+    assert sorted(rows(got)) == sorted(want) and len(want) > 40
+    assert extraction.near_duplicate_events(df.limit(0), ["doc", "kind"], "at", "span", least).count() == 0
+
+
+def test_first_come_rounds(spark):
+    import random
+
+    rng = random.Random(1)
+    edges = sorted({(k, a, b) for k in "xy" for a in range(60) for b in range(a + 1, 60) if b == a + 1 or rng.random() < 0.03})
+    want = {}
+    for k in "xy":
+        for i in range(60):
+            want[k, i] = not any(want[k, a] for g, a, b in edges if g == k and b == i)
+    df = spark.createDataFrame(edges, "k string, left_id int, right_id int")
+    assert {(r.k, r.id): r.kept for r in extraction.first_come(df, ["k"]).collect()} == want
+
+
+def test_same_events_scores_few_pairs(spark):
+    """The pairs are those of brute force; sizes and places of shared tokens keep most other pairs from being scored."""
+    import random
+
+    rng = random.Random(7)
+    words = [f"w{min(int(rng.paretovariate(0.6)), 400)}" for _ in range(4000)]
+    data = [(i, "b", f"2024-01-{i % 28 + 1:02d}", " ".join(rng.sample(words, rng.randint(1, 60)))) for i in range(150)]
+    data += [(200 + i, "b", "2024-01-03", data[i][3] + " more words") for i in range(30)]
+    df = spark.createDataFrame(data, "id int, block string, day string, text string").withColumn("day", F.to_date("day"))
+    bags = {i: (set(t.split()), int(d[-2:])) for i, _, d, t in data}
+    for least in (0.65, 0.3):
+        pairs = {(i, j): len(a & b) / len(a | b) for i, (a, x) in bags.items() for j, (b, y) in bags.items() if i < j and abs(x - y) <= 14 and a & b}
+        want = {p: s for p, s in pairs.items() if s >= least}
+        got = {(r.left_id, r.right_id): r.similarity for r in joins.same_events(df, ["block"], 14, least).collect()}
+        assert got == want
+        assert len(want) <= joins.event_candidates(df, ["block"], 14, least).count() <= max(3 * len(want), len(pairs) // 20)
+
+
+def test_meeting_at_common_tokens_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT", 3)
+    df = spark.createDataFrame([(i, "b", "2024-01-01", "same words here " + ("" if i % 2 else f"x{i}")) for i in range(40)], "id int, block string, day string, text string").withColumn("day", F.to_date("day"))
+    assert joins.same_events(df, ["block"], 14, 0.7).count() == 20 * 19 // 2 + 20 * 20

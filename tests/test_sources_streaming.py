@@ -6,10 +6,15 @@ import random
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import postings, tables
-from tidemark.streaming import lifecycle
+from tidemark.streaming import judged, lifecycle
+
+
+def plain(rows):
+    return sorted(tuple(r) for r in rows)
 
 
 def test_csv_and_jsonl_round_trip(spark, tmp_path):
@@ -151,6 +156,115 @@ def test_fold_and_replay_are_the_naive_fold(spark, tmp_path):
         assert {(r.source, r.identity): (r.status, r.misses, r.reopened) for r in store.collect()} == want
 
 
+def steep_history(seed):
+    """Snapshots of many identities with outages in a row, drops after drops and a slow decline."""
+    rng = random.Random(seed)
+    t, out, share = datetime(2024, 1, 1), [], 1.0
+    for k in range(rng.randint(1, 60)):
+        share = rng.choice([share, share, 1.0, 0.6, 0.15, 0.05, 0.0])
+        ids = [f"j{i}" for i in range(rng.choice([9, 12, 40])) if rng.random() < share]
+        out.append((f"s{seed}", t + timedelta(hours=k), rng.random() > 0.15, ids))
+    return out
+
+
+def test_fixpoint_is_the_fold(spark):
+    data = [history(s) for s in (1, 2, 3)] + [steep_history(s) for s in range(10, 40)]
+    extra = [("s1", datetime(2024, 1, 5), True, ["late", None, "late"]), ("s2", None, True, ["x"]), (None, datetime(2024, 1, 1), True, ["x"]), ("empty", datetime(2024, 1, 1), True, None), ("s10", datetime(2025, 1, 1), None, ["x"])]
+    df = spark.createDataFrame([r for d in data for r in d] + extra, SNAPSHOT)
+    merged = {}
+    for s, ts, ok, ids in [r for d in data for r in d] + extra:
+        if s is not None and ts is not None:
+            have = merged.setdefault(s, {}).setdefault(ts, [True, set()])
+            have[0], have[1] = have[0] and bool(ok), have[1] | {i for i in ids or [] if i is not None}
+    want, verdicts = {}, {}
+    for s, rows in merged.items():
+        state, _, results = {}, {}, []
+        source = {}
+        for ts, (ok, ids) in sorted(rows.items()):
+            verdicts[s, ts] = (lifecycle.fold(state, source, ids, ok)[0], len(ids))
+        want |= {(s, i): tuple(v) for i, v in state.items()}
+    assert {(r.source, r.identity): (r.status, r.misses, r.reopened) for r in judged.lifecycle_states(df, ["source"]).collect()} == want
+    assert {(r.source, r.ts): (r.health, r.seen) for r in judged.health(df, ["source"]).collect()} == verdicts
+    assert {"suspicious_drop", "fetch_failed", "healthy"} == {h for h, _ in verdicts.values()}
+    assert judged.lifecycle_states(df.limit(0), ["source"]).count() == 0
+
+
+def test_a_rebuild_that_fails_leaves_the_store(spark, tmp_path):
+    df = spark.createDataFrame(history(1), SNAPSHOT)
+    store = f"{tmp_path}/store"
+    with pytest.raises(FileNotFoundError):
+        tables.current(spark, store)
+    first = plain(tables.replay(df, ["source"], store).collect())
+    breaks = df.withColumn("identities", F.when(F.col("ts") > "2024-01-20", F.raise_error(F.lit("half way")).cast("array<string>")).otherwise(F.col("identities")))
+    with pytest.raises(Exception, match="half way"):
+        tables.replay(breaks, ["source"], store)
+    with pytest.raises(Exception, match="half way"):
+        tables.publish(breaks.select(F.explode("identities")), store)
+    assert plain(tables.current(spark, store).collect()) == first and len(os.listdir(f"{store}/states")) == 1
+    reader = tables.current(spark, store)
+    second = plain(tables.replay(df.where("ts < '2024-01-05'"), ["source"], store).collect())
+    assert second != first and plain(tables.current(spark, store).collect()) == second and plain(reader.collect()) == first
+
+
+def test_a_replayed_batch_adds_nothing_twice(spark, tmp_path):
+    schema = "key string, name string, hash string, at int"
+    batches = [[("a", "x", "h1", 1), ("a", "x", "h1", 2), ("b", None, "h1", 1)], [("a", "x", "h2", 3), ("c", "y", "h1", 1), ("a", "x", "h3", 4)], [("a", "x", "h3", 5), ("b", None, "h2", 2)]]
+    store = f"{tmp_path}/store"
+    frames = [spark.createDataFrame(b, schema) for b in batches]
+    sink = lifecycle.ingest_sink(store, ["key"], "hash", "at", F.col("name").isNotNull(), ["name"])
+    want = [[("a", "h1", 1), ("b", "h1", 1)], [("a", "h2", 2), ("a", "h3", 3), ("c", "h1", 1)], [("b", "h2", 2)]]
+    versions = lambda: sorted((r.key, r.hash, r.version) for r in lifecycle.stored_versions(spark, store).collect())
+    sink(frames[0], 0)
+    sink(frames[0], 0)
+    assert versions() == sorted(want[0])
+    sink(frames[1], 1)
+    os.remove(f"{store}/log/1")
+    assert versions() == sorted(want[0])
+    sink(frames[1], 1)
+    sink(frames[2], 2)
+    sink(frames[1], 1)
+    assert versions() == sorted(sum(want, []))
+    queue = lifecycle.review_queue(spark, store).collect()
+    assert sorted((r.key, r.name, r.status) for r in queue) == [("a", "x", "pending"), ("c", "y", "pending")] and len({r.queue_id for r in queue}) == 2
+
+
+def test_the_sink_in_a_stream_that_is_started_again(spark, tmp_path):
+    schema = "key string, hash string, at int"
+    store, begin = f"{tmp_path}/store", f"{tmp_path}/in"
+    for k in range(3):
+        spark.createDataFrame([("a", f"h{k}", k), ("b", "h", k)], schema).coalesce(1).write.json(f"{begin}/{k}")
+    sink = lifecycle.ingest_sink(store, ["key"], "hash", "at")
+
+    def broken(batch, number):
+        sink(batch, number)
+        if number == 1:
+            raise ValueError("lost after the batch was written")
+
+    def start(f):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{begin}/*")
+        return stream.writeStream.foreachBatch(f).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+
+    with pytest.raises(Exception, match="lost after"):
+        start(broken).awaitTermination(120)
+    start(sink).awaitTermination(120)
+    assert sorted((r.key, r.version) for r in lifecycle.stored_versions(spark, store).collect()) == [("a", 1), ("a", 2), ("a", 3), ("b", 1)]
+
+
+def test_a_source_without_a_row_is_told_as_due(spark, tmp_path):
+    """s1 is silent after its first snapshot; the others' rows move the watermark past its next time."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    t = datetime(2024, 1, 1)
+    parts = [[("s1", t, True, ["a"]), ("s2", t, False, ["a"])], [("s2", t + timedelta(hours=24), True, ["a"])], [("s2", t + timedelta(hours=60), True, ["a"])], [("s3", t + timedelta(hours=61), True, ["a"])]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, SNAPSHOT).coalesce(1).write.json(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(SNAPSHOT).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in/*")
+    q = lifecycle.lifecycle_stream(stream, due="1 hour").writeStream.format("memory").queryName("due").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = sorted((r.source, r.ts, r.health) for r in spark.table("due").collect())
+    assert ("s1", t + timedelta(hours=48), "due") in got and [g for g in got if g[2] == "due"] == [("s1", t + timedelta(hours=48), "due")]
+    assert len(got) == 6
+
+
 def test_stream_is_the_batch(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = history(5)

@@ -23,7 +23,22 @@ SENIORITY = {"vp_executive": ["chief", "vice president", "vp ", "vp,", "head of"
 # Countries by words in a location, in order of priority.
 COUNTRIES = {"united states": "United States", " usa": "United States", "united kingdom": "United Kingdom", " uk": "United Kingdom", "canada": "Canada", "germany": "Germany", "france": "France", "ireland": "Ireland", "india": "India", "australia": "Australia", "singapore": "Singapore", "japan": "Japan", "netherlands": "Netherlands", "spain": "Spain", "italy": "Italy"}
 # Technologies by words, and their families.
-TECHNOLOGIES = {"AI/ML": ["machine learning", "artificial intelligence", " ai ", " ml "], "AWS": ["aws", "amazon web services"], "Azure": ["azure"], "Databricks": ["databricks"], "GCP": ["gcp", "google cloud"], "Java": ["java"], "Kubernetes": ["kubernetes"], "Oracle": ["oracle"], "Python": ["python"], "SAP": [" sap", "sap "], "SQL": [" sql", "sql "], "Salesforce": ["salesforce"], "Snowflake": ["snowflake"], "Workday": ["workday"]}
+TECHNOLOGIES = {
+    "Python": ["python"],
+    "Java": ["java"],
+    "SQL": [" sql", "sql "],
+    "AWS": ["aws", "amazon web services"],
+    "Azure": ["azure"],
+    "GCP": ["gcp", "google cloud"],
+    "Kubernetes": ["kubernetes"],
+    "Snowflake": ["snowflake"],
+    "Databricks": ["databricks"],
+    "SAP": [" sap", "sap "],
+    "Oracle": ["oracle"],
+    "Salesforce": ["salesforce"],
+    "Workday": ["workday"],
+    "AI/ML": ["machine learning", "artificial intelligence", " ai ", " ml "],
+}
 TECHNOLOGY_FAMILIES = {"software_data_languages": ["Python", "Java", "SQL"], "cloud_platforms": ["AWS", "Azure", "GCP", "Kubernetes"], "data_ai": ["Snowflake", "Databricks", "AI/ML"], "enterprise_applications": ["SAP", "Oracle", "Salesforce", "Workday"]}
 SCALES = {"bn": 1000.0, "billion": 1000.0, "m": 1.0, "mn": 1.0, "million": 1.0, "k": 0.001, "thousand": 0.001}
 
@@ -134,9 +149,9 @@ def geography(location: Column) -> Column:
 
 
 def technologies(title: Column, department: Column) -> Column:
-    """names and families of technologies named in title and department."""
+    """names, sorted, and families of technologies named in title and department."""
     text = F.concat(F.lit(" "), F.lower(F.concat_ws(" ", title, department)), F.lit(" "))
-    names = F.array_compact(F.array(*(F.when(_any(text, words), F.lit(k)) for k, words in TECHNOLOGIES.items())))
+    names = F.array_sort(F.array_compact(F.array(*(F.when(_any(text, words), F.lit(k)) for k, words in TECHNOLOGIES.items()))))
     families = F.array_compact(F.array(*(F.when(F.arrays_overlap(names, F.array(*map(F.lit, members))), F.lit(k)) for k, members in TECHNOLOGY_FAMILIES.items())))
     return F.struct(names.alias("names"), families.alias("families"))
 

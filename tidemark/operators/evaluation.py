@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import saved
+
 #: Ranges that distinct scores are dealt into for running sums; their totals are broadcast, so many rows at most.
 RANGES = 64
 
@@ -39,8 +41,9 @@ def running(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     Distinct scores are dealt into at most RANGES ranges by quantiles; each range is summed by itself and
     moved by the totals of the ranges above, so that no task sorts all scores, nor all of a group. Groups
-    with a null in `by` are left out.
+    with a null in `by` are left out. The scores are read three times and saved before.
     """
+    scores = saved(scores)
     cuts = sorted(set(scores.approxQuantile("score", [i / RANGES for i in range(1, RANGES)], 0.01)))
     ranged = scores.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("score"))) if cuts else F.lit(0))
     totals = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("r_n"), F.sum("pos").alias("r_pos"))

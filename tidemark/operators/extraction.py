@@ -8,8 +8,12 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from tidemark.functions.text import collapse, unescape
+from tidemark.operators import joins as jo
+from tidemark.sources.scratch import saved
 
 # Event types of contextual extraction, their patterns and groups.
 EVENTS = {
@@ -135,37 +139,82 @@ def assess(df: DataFrame) -> DataFrame:
     return df.withColumn("entity", entity).withColumn("_p", pick).select(*df.columns, "entity", "_p.decision", "_p.status", "_p.reason")
 
 
+def _grams(texts: DataFrame, keys: Sequence[str], q: int) -> DataFrame:
+    """keys, id, size, n, token: each text's q-grams, the kth of equal ones as a token of its own."""
+    many = F.col("size") - q + 1
+    each = texts.where(many > 0).select(*keys, "id", "size", many.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), many), lambda i: F.substring("t", i, q))).alias("g"))
+    times = F.row_number().over(Window.partitionBy(*keys, "id", "g").orderBy("g"))
+    return each.select(*keys, "id", "size", "n", F.concat("g", F.lit("#"), times.cast("string")).alias("token"))
+
+
+def likely_pairs(texts: DataFrame, keys: Sequence[str], least: float) -> DataFrame:
+    """keys, left_id, right_id: the pairs of `texts` (keys, id, t, size) that can have a ratio of `least`, the smaller id first.
+
+    A ratio of matching blocks r over both texts' L characters has r L / 2 matched ones, in no more blocks than
+    unmatched ones and one; each block of m has m - q + 1 q-grams. So such a pair shares many q-grams, and meets by one
+    of the rarest of each text. Texts too short for that meet by single characters.
+    """
+    q = 3 if least >= 0.85 else 2 if least >= 0.75 else 1
+    slope = lambda q: least / 2 - (1 - least) * (q - 1)
+    need = lambda total, q: F.greatest(F.ceil(total * slope(q) - (q - 1) - 1e-9), F.lit(1))
+    shorter = least / (2 - least)
+    short = int((q - 1) / slope(q)) + 1
+    found = None
+    for size in {q, 1}:
+        some = texts if size == q else texts.where(F.col("size") <= short)
+        prefix = jo.rarest(_grams(some, keys, size), keys, need(F.col("size") + F.ceil(F.col("size") * shorter - 1e-9), size))
+        left, right = jo.sides(prefix, "true", "true", keys, ["size"])
+        fits = (F.col("left_id") < F.col("right_id")) & (F.least("left_size", "right_size") >= F.greatest("left_size", "right_size") * shorter - 1e-9)
+        met = jo.meet(left, right, [*keys, "token"], fits)
+        total = F.col("ln") + F.col("rn") + 2 * (size - 1)
+        pairs = jo.likely(met, keys, need(total, size)).select(*keys, "left_id", "right_id")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct()
+
+
+@pandas_udf(DoubleType())
+def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """The ratio of matching blocks (no native form)."""
+    return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+
+
+def first_come(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, id, kept: whether each id of `pairs` (left_id < right_id) is kept, if in order each is kept that meets no kept one before it.
+
+    Each round decides all whose earlier neighbours allow it: out by a kept one, kept if all are out. The
+    smallest open one is decided in every round, and most are in the first few.
+    """
+    parts = F.explode(F.sequence(F.lit(0), F.lit(jo.PARTS - 1)))
+    edges = saved(pairs.withColumn("_part", F.pmod(F.xxhash64("right_id"), F.lit(jo.PARTS)).cast("int")))
+    later = edges.select(*keys, F.col("right_id").alias("id")).distinct()
+    state = edges.select(*keys, F.col("left_id").alias("id")).distinct().join(later, [*keys, "id"], "left_anti").withColumn("kept", F.lit(True)).unionByName(later.withColumn("kept", F.lit(None).cast("boolean")))
+    while True:
+        state = saved(state)
+        if state.where("kept is null").isEmpty():
+            return state
+        known = state.select(*keys, F.col("id").alias("left_id"), "kept").withColumn("_part", parts)
+        told = edges.join(known, [*keys, "left_id", "_part"]).groupBy(*keys, F.col("right_id").alias("id")).agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("_out"), F.bool_or(F.col("kept").isNull()).alias("_open"))
+        state = state.join(told, [*keys, "id"], "left").select(*keys, "id", F.coalesce("kept", F.when(F.col("_out"), False).when(~F.col("_open"), True)).alias("kept"))
+
+
 def near_duplicate_events(df: DataFrame, keys: Sequence[str], order: str, text: str, least: float = 0.86) -> DataFrame:
     """keys, order, canonical: rows that repeat an earlier kept row of their group.
 
     Greedy in order: a row is kept unless its text has a ratio of `least` or more with a kept one, and
-    belongs to the first such. `keys` name one document and type. Equal texts are folded before. Texts of
-    a ratio r have lengths in proportion r / (2 - r) or more, so a group falls into chains of rows with
-    no wider step between neighbours' lengths; a chain is held by one task.
+    belongs to the first such. Equal texts are folded before; `order` is unique in a group. Pairs that
+    can have the ratio meet by their rarest q-grams, and the choice is made in rounds, so that no task
+    holds a group. Rows with a null key, order or text are left out.
     """
     plain = F.trim(F.regexp_replace(F.lower(text), r"(?U)\W+", " "))
-    rows = df.select(*keys, order, plain.alias("_t"))
-    first = rows.groupBy(*keys, "_t").agg(F.min(order).alias("_first"))
+    rows = df.select(*keys, order, plain.alias("_t")).dropna()
+    first = saved(rows.groupBy(*keys, "_t").agg(F.min(order).alias("_first")))
     same = rows.join(first, [*keys, "_t"]).where(F.col(order) != F.col("_first")).select(*keys, order, F.col("_first").alias("canonical"))
-    by_length = Window.partitionBy(*keys).orderBy("_n", "_first")
-    sized = first.withColumn("_n", F.length("_t"))
-    step = F.coalesce(2 * F.lag("_n").over(by_length) < least * (F.lag("_n").over(by_length) + F.col("_n")), F.lit(False))
-    chains = sized.withColumn("_chain", F.sum(step.cast("int")).over(by_length))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        out = []
-        for at, t in group.sort_values("_first")[["_first", "_t"]].itertuples(index=False):
-            m = difflib.SequenceMatcher(None, "", t)
-            hit = next((k for k, s in kept if 2 * min(len(s), len(t)) >= least * (len(s) + len(t)) and (m.set_seq1(s) or m.quick_ratio() >= least) and m.ratio() >= least), None)
-            if hit is None:
-                kept.append((at, t))
-            else:
-                out.append((*(group[k].iloc[0] for k in keys), at, hit))
-        return pd.DataFrame(out, columns=[*keys, order, "canonical"])
-
-    schema = df.select(*keys, order, F.col(order).alias("canonical")).schema
-    folded = chains.groupBy(*keys, "_chain").applyInPandas(fold, schema)
+    texts = first.select(*keys, F.col("_first").alias("id"), F.col("_t").alias("t"), F.length("_t").alias("size"))
+    side = lambda name: texts.select(*keys, F.col("id").alias(f"{name}_id"), F.col("t").alias(f"{name}_t"))
+    likely = likely_pairs(texts, keys, least).join(side("left"), [*keys, "left_id"]).join(side("right"), [*keys, "right_id"])
+    pairs = saved(likely.where(_ratio("left_t", "right_t") >= least).select(*keys, "left_id", "right_id"))
+    kept = first_come(pairs, keys).where("kept").select(*keys, F.col("id").alias("left_id"))
+    folded = pairs.join(kept, [*keys, "left_id"]).groupBy(*keys, F.col("right_id").alias(order)).agg(F.min("left_id").alias("canonical"))
     onward = folded.select(*keys, F.col(order).alias("_at"), F.col("canonical").alias("_onward"))
     joined = same.join(onward.withColumnRenamed("_at", "canonical"), [*keys, "canonical"], "left")
     return joined.select(*keys, order, F.coalesce("_onward", "canonical").alias("canonical")).unionByName(folded)

@@ -10,53 +10,108 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import jaccard, normalize_name, tokens
 
 
-def _prefix(rows: DataFrame, blocks: Sequence[str], least: float) -> DataFrame:
-    """blocks, id, others, token: of each row (id, t) its rarest tokens, so many that a pair of Jaccard `least` or more has one in common."""
-    named = rows.withColumn("n", F.size("t")).withColumn("token", F.explode("t")).drop("t")
-    freq = named.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+#: Token rows are dealt over PARTS parts where tokens meet their counts; a token of more than HOT rows over so many where rows meet.
+PARTS, HOT = 16, 1000
+
+
+def _prefix(rows: DataFrame, blocks: Sequence[str], need: Column) -> DataFrame:
+    """`rarest` of the tokens of rows (blocks, id, others, t), t being a set."""
+    return rarest(rows.withColumn("n", F.size("t")).withColumn("token", F.explode("t")).drop("t"), blocks, need)
+
+
+def rarest(named: DataFrame, blocks: Sequence[str], need: Column) -> DataFrame:
+    """blocks, id, others, n, token, f, place: the rarest of each row's n tokens (a row of `named` each), all but `need` - 1.
+
+    Two rows that have `need` tokens in common or more, by the need of each, have one of these in common.
+    place is the token's in the row's tokens from the rarest, f how many rows have it. A common token is
+    met by a row of every text, so rows are dealt over parts and the counts copied to each.
+    """
+    freq = named.groupBy("token").agg(F.count(F.lit(1)).alias("f")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = named.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
     place = F.row_number().over(Window.partitionBy(*blocks, "id").orderBy("f", "token"))
-    return named.join(freq, "token").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).drop("f", "place", "n")
+    return dealt.join(freq, ["token", "_part"]).drop("_part").withColumn("place", place).where(F.col("place") <= F.col("n") - need + 1)
+
+
+def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], fits: Column) -> DataFrame:
+    """Pairs of prefix rows (left_id, ln, lp, f / right_id, rn, rp) with equal keys, joined where `fits`; a token of many rows is dealt over parts."""
+    parts = F.least(F.ceil(F.col("f") / HOT), F.lit(64)).cast("int")
+    a = left.withColumn("_part", F.pmod(F.xxhash64("left_id"), parts.cast("long")).cast("int")).drop("f")
+    b = right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("f")
+    return a.join(b, [*keys, "_part"]).where(fits)
+
+
+def likely(met: DataFrame, blocks: Sequence[str], need: Column) -> DataFrame:
+    """blocks, left_id, right_id, ln, rn: pairs that can have `need` tokens in common, by the places of those they share.
+
+    Of the tokens after the last shared one of both prefixes, no more can be shared than the shorter rest has.
+    """
+    pair = met.groupBy(*blocks, "left_id", "right_id", "ln", "rn").agg(F.count(F.lit(1)).alias("c"), F.max("lp").alias("lp"), F.max("rp").alias("rp"))
+    return pair.where(F.col("c") + F.least(F.col("ln") - F.col("lp"), F.col("rn") - F.col("rp")) >= need).select(*blocks, "left_id", "right_id", "ln", "rn")
 
 
 def _scored(pairs: DataFrame, left: DataFrame, right: DataFrame, blocks: Sequence[str], least: float) -> DataFrame:
-    """The pairs (left_id, right_id) with the Jaccard similarity of their tokens, `least` or more."""
+    """The pairs (left_id, right_id, ln, rn) with the Jaccard similarity of their tokens, `least` or more.
+
+    Only the left row's tokens travel with a pair; the right row's are joined where the pair is scored.
+    """
     a = left.select(*blocks, F.col("id").alias("left_id"), F.col("t").alias("lt"))
     b = right.select(*blocks, F.col("id").alias("right_id"), F.col("t").alias("rt"))
-    scored = pairs.join(a, [*blocks, "left_id"]).join(b, [*blocks, "right_id"]).withColumn("similarity", F.size(F.array_intersect("lt", "rt")) / F.size(F.array_union("lt", "rt")))
-    return scored.where(F.col("similarity") >= least).drop("lt", "rt")
+    joined = pairs.join(a, [*blocks, "left_id"]).join(b, [*blocks, "right_id"]).withColumn("_c", F.size(F.array_intersect("lt", "rt"))).drop("lt", "rt")
+    scored = joined.withColumn("similarity", F.col("_c") / (F.col("ln") + F.col("rn") - F.col("_c")))
+    return scored.where(F.col("similarity") >= least).drop("_c", "ln", "rn")
+
+
+def sides(prefix: DataFrame, left_where, right_where, blocks: Sequence[str], more: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    one = lambda side, at: prefix.where(at).select(*blocks, "token", "f", F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side[0]}n"), F.col("place").alias(f"{side[0]}p"), *(F.col(c).alias(f"{side}_{c}") for c in more))
+    return one("left", left_where), one("right", right_where)
+
+
+def _jaccard_filters(least: float) -> tuple[Column, Column]:
+    """Whether two sizes can have the similarity, and how many tokens they must share for it; a little less, for rounding."""
+    small, large = F.least("ln", "rn"), F.greatest("ln", "rn")
+    return small >= F.ceil(least * large - 1e-9), F.ceil((F.col("ln") + F.col("rn")) * least / (1 + least) - 1e-9)
 
 
 def best_similarity(left: DataFrame, right: DataFrame, blocks: Sequence[str], least: float = 0.15) -> DataFrame:
     """Each left row (id, text) with its best right row of the same blocks by token Jaccard, `least` or more.
 
     Rows meet by one of the rarest tokens that such a pair must share, so the most common tokens of a
-    block pair nothing. Ties go to the larger right id. match: agreed or unmatched; right rows matched by
-    none stay as right_only.
+    block pair nothing; pairs whose sizes or places of shared tokens cannot reach `least` are not scored.
+    Ties go to the larger right id. match: agreed or unmatched; right rows matched by none stay as right_only.
     """
     a = left.select(*blocks, "id", F.array_distinct(tokens("text")).alias("t"))
     b = right.select(*blocks, "id", F.array_distinct(tokens("text")).alias("t"))
-    marked = _prefix(a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1))).where(F.size("t") > 0), [*blocks, "side"], least)
-    keys = [*blocks, "token"]
-    pairs = marked.where("side = 0").select(*keys, F.col("id").alias("left_id")).join(marked.where("side = 1").select(*keys, F.col("id").alias("right_id")), keys).select(*blocks, "left_id", "right_id").distinct()
-    best = _scored(pairs, a, b, blocks, least).groupBy(*blocks, "left_id").agg(F.max(F.struct("similarity", "right_id")).alias("m")).select(*blocks, "left_id", "m.right_id", "m.similarity")
+    both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1))).where(F.size("t") > 0)
+    prefix = _prefix(both, [*blocks, "side"], F.ceil(F.lit(least) * F.col("n")))
+    fits, need = _jaccard_filters(least)
+    met = meet(*sides(prefix, "side = 0", "side = 1", blocks), [*blocks, "token"], fits)
+    best = _scored(likely(met, blocks, need), a, b, blocks, least).groupBy(*blocks, "left_id").agg(F.max(F.struct("similarity", "right_id")).alias("m")).select(*blocks, "left_id", "m.right_id", "m.similarity")
     matched = a.select(*blocks, F.col("id").alias("left_id")).join(best, [*blocks, "left_id"], "left").withColumn("match", F.when(F.col("similarity").isNotNull(), "agreed").otherwise("unmatched"))
     alone = b.select(*blocks, F.col("id").alias("right_id")).join(best.select(*blocks, "right_id").distinct(), [*blocks, "right_id"], "left_anti").select(*blocks, F.lit(None).cast(left.schema["id"].dataType).alias("left_id"), "right_id", F.lit(None).cast("double").alias("similarity"), F.lit("right_only").alias("match"))
     return matched.unionByName(alone)
 
 
+def event_candidates(df: DataFrame, blocks: Sequence[str], days: int = 14, least: float = 0.65) -> DataFrame:
+    """blocks, left_id, right_id, ln, rn: the pairs that `same_events` scores."""
+    base = df.select(*blocks, "id", "day", F.array_distinct(tokens("text")).alias("t")).where(F.size("t") > 0)
+    prefix = _prefix(base, blocks, F.ceil(F.lit(least) * F.col("n")))
+    left, right = sides(prefix, "true", "true", blocks, ["day"])
+    bucket = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / days)
+    left = left.withColumn("bucket", F.explode(F.array(*(bucket("left_day") + k for k in (-1, 0, 1)))))
+    right = right.withColumn("bucket", bucket("right_day"))
+    fits, need = _jaccard_filters(least)
+    near = (F.col("left_id") < F.col("right_id")) & (F.abs(F.datediff("left_day", "right_day")) <= days)
+    return likely(meet(left, right, [*blocks, "token", "bucket"], near & fits), blocks, need)
+
+
 def same_events(df: DataFrame, blocks: Sequence[str], days: int = 14, least: float = 0.65) -> DataFrame:
     """left_id, right_id, similarity of pairs within `days` and of token Jaccard `least` or more.
 
     Pairs meet in date buckets (each row in its own and the next) and by one of the rarest tokens that such
-    a pair must share, so that only likely pairs are compared.
+    a pair must share; those whose sizes or places of shared tokens cannot reach `least` are not scored.
     """
-    base = df.select(*blocks, "id", "day", F.array_distinct(tokens("text")).alias("t")).where(F.size("t") > 0)
-    prefix = _prefix(base, blocks, least)
-    bucket = F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / days)
-    left = prefix.select(*blocks, "token", F.col("id").alias("left_id"), F.col("day").alias("left_day"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    right = prefix.select(*blocks, "token", F.col("id").alias("right_id"), F.col("day").alias("right_day"), bucket.alias("bucket"))
-    pairs = left.join(right, [*blocks, "token", "bucket"]).where((F.col("left_id") < F.col("right_id")) & (F.abs(F.datediff("left_day", "right_day")) <= days)).select(*blocks, "left_id", "right_id").distinct()
-    return _scored(pairs, base, base, blocks, least)
+    base = df.select(*blocks, "id", F.array_distinct(tokens("text")).alias("t"))
+    return _scored(event_candidates(df, blocks, days, least), base, base, blocks, least)
 
 
 def resolve_aliases(df: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:

@@ -289,15 +289,49 @@ def combine(first: Column, second: Column) -> Column:
     return F.when((first == "accept") & (second == "accept"), "accept").when((first == "reject") | (second == "reject"), "reject").otherwise("ambiguous")
 
 
-# The event types of each family.
+# The family of each event type.
 FAMILIES = {
-    "restructuring_cost_action": "restructuring cost_reduction efficiency_programme simplification",
-    "workforce": "redundancy workforce_reduction labour_constraint hiring skills_investment",
-    "delivery_capacity_sites": "site_closure footprint_reduction capacity_reduction capacity_mismatch capacity_expansion new_facility operational_disruption",
-    "demand_growth": "growth_language demand_growth demand_weakness customer_weakness order_book_strength recovery_language",
-    "supply_chain_resilience": "supply_chain_constraint inflation_pressure destocking supplier_diversification procurement_intervention inventory_buffer supplier_insolvency sourcing_concentration logistics_disruption",
-    "quality_regulatory": "quality_failure recall regulatory_intervention safety_issue compliance_breach warranty_issue remediation_programme regulatory_investigation",
-    "leadership_change_execution": "transformation leadership_change",
+    "restructuring": "restructuring_cost_action",
+    "cost_reduction": "restructuring_cost_action",
+    "efficiency_programme": "restructuring_cost_action",
+    "simplification": "restructuring_cost_action",
+    "redundancy": "workforce",
+    "workforce_reduction": "workforce",
+    "labour_constraint": "workforce",
+    "hiring": "workforce",
+    "skills_investment": "workforce",
+    "site_closure": "delivery_capacity_sites",
+    "footprint_reduction": "delivery_capacity_sites",
+    "capacity_reduction": "delivery_capacity_sites",
+    "capacity_mismatch": "delivery_capacity_sites",
+    "capacity_expansion": "delivery_capacity_sites",
+    "new_facility": "delivery_capacity_sites",
+    "operational_disruption": "delivery_capacity_sites",
+    "growth_language": "demand_growth",
+    "demand_growth": "demand_growth",
+    "demand_weakness": "demand_growth",
+    "customer_weakness": "demand_growth",
+    "order_book_strength": "demand_growth",
+    "recovery_language": "demand_growth",
+    "supply_chain_constraint": "supply_chain_resilience",
+    "inflation_pressure": "supply_chain_resilience",
+    "destocking": "supply_chain_resilience",
+    "supplier_diversification": "supply_chain_resilience",
+    "procurement_intervention": "supply_chain_resilience",
+    "inventory_buffer": "supply_chain_resilience",
+    "supplier_insolvency": "supply_chain_resilience",
+    "sourcing_concentration": "supply_chain_resilience",
+    "logistics_disruption": "supply_chain_resilience",
+    "quality_failure": "quality_regulatory",
+    "recall": "quality_regulatory",
+    "regulatory_intervention": "quality_regulatory",
+    "safety_issue": "quality_regulatory",
+    "compliance_breach": "quality_regulatory",
+    "warranty_issue": "quality_regulatory",
+    "remediation_programme": "quality_regulatory",
+    "regulatory_investigation": "quality_regulatory",
+    "transformation": "leadership_change_execution",
+    "leadership_change": "leadership_change_execution",
 }
 # Wording that no family accepts, and that lifts such a refusal.
 NEGATED = r"\b(?:no|not|without|did not|has not|have not|no plans? to)\b.{0,45}"
@@ -378,19 +412,19 @@ CONTINUING = r"\bthese included ongoing supply chain disruptions?\b|\b(?:ongoing
 
 def route(event_type: Column) -> Column:
     """The family of an event type, null for others."""
-    table = {t: family for family, types in FAMILIES.items() for t in types.split()}
-    return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), event_type)
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in FAMILIES.items() for x in kv)), event_type)
 
 
 def _supported(span: str, event: Column, family: Column) -> Column:
     """Whether the wording of the type, or of the family for types without their own, is there."""
     own = {**SUPPORT, **{t: SUPPORT[k] for t, k in SAME_SUPPORT.items()}}
     plain = F.lit(False)
-    for name in FAMILIES:
+    families = list(dict.fromkeys(FAMILIES.values()))
+    for name in families:
         if name in own:
             plain = F.when(family == name, has(span, own[name])).otherwise(plain)
     for name, pattern in own.items():
-        if name not in FAMILIES or name == "demand_growth":
+        if name not in families or name == "demand_growth":
             plain = F.when(event == name, has(span, pattern)).otherwise(plain)
     action = (has(span, IDENTITY) & has(span, ACTION)) | has(span, INDIRECT) | (has(span, ACCRUAL) & has(span, ACCRUAL_USE))
     return F.when(family == "restructuring_cost_action", action).when(family == "supply_chain_resilience", plain | has(span, CONTINUING)).otherwise(plain)

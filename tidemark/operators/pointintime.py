@@ -38,7 +38,8 @@ def active_as_of(df: DataFrame, day: str, first: str = "first_seen", closed: str
 def active_on_days(df: DataFrame, days: DataFrame, first: str = "first_seen", closed: str = "closed_at") -> DataFrame:
     """day, active: how many rows are open on each day of a spine.
 
-    Openings and closings are counted per day and summed along the spine, so rows are never paired with days.
+    Openings and closings are counted per day and summed along the spine, so rows are never paired with
+    days. The sum is over a row for each calendar day, however many rows there are.
     """
     moves = df.select(F.to_date(first).alias("day"), F.lit(1).alias("d")).unionByName(df.where(F.col(closed).isNotNull()).select(F.to_date(closed).alias("day"), F.lit(-1).alias("d")))
     per = moves.groupBy("day").agg(F.sum("d").alias("d")).unionByName(days.select("day", F.lit(0).cast("long").alias("d")))
@@ -164,8 +165,14 @@ def predictions_with_labels(predictions: DataFrame, labels: DataFrame, evidence:
     return joined.withColumn("lead_days", F.when(lead > 0, lead))
 
 
+#: Most days of a spine, which goes to all tasks.
+MOST_DAYS = 100_000
+
+
 def snapshots_as_of(rows: DataFrame, spine: DataFrame, keys: Sequence[str], value: str = "id") -> DataFrame:
-    """For each as-of day: what arrived exactly then, and how many rows were available by then."""
+    """For each as-of day: what arrived exactly then, and how many rows were available by then (E16). ValueError for a spine of more than MOST_DAYS days."""
+    if spine.limit(MOST_DAYS + 1).count() > MOST_DAYS:
+        raise ValueError(f"a spine has {MOST_DAYS} days at most")
     per = rows.groupBy(*keys, F.to_date("available_at").alias("as_of")).agg(F.array_sort(F.collect_list(value)).alias("arrived"), F.count(F.lit(1)).alias("n"))
     grid = rows.select(*keys).distinct().crossJoin(F.broadcast(spine.select("as_of")))
     dense = grid.join(per, [*keys, "as_of"], "full_outer")

@@ -75,6 +75,14 @@ def near_dup_events(t):
     return ex.near_duplicate_events(e, ["doc_id", "event_type"], "position", "sentence")
 
 
+@query()
+def near_dup_sources(t):
+    """Sentences that repeat an earlier one of the same source and type, over all documents."""
+    e = ex.contextual_events(t.documents.where("doc_id is not null"), "text", ["source", "doc_id"], EVENT_RULES)
+    e = e.withColumn("place", F.col("doc_id") * (1 << 20) + F.col("position"))
+    return ex.near_duplicate_events(e, ["source", "event_type"], "place", "sentence")
+
+
 TERMS = ["license", "token", "@", "the", "de"]
 PLACES = " union all ".join(f"select doc_id, page, text, {k} as t, '{x}' as term, string_split_regex(text, '(?i){x}') as parts from p" for k, x in enumerate(TERMS))
 

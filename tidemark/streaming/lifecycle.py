@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.sources.tables import _files, _put_text
+
 #: Healthy snapshots in a row without an identity that close it.
 MISSES = 2
 #: A snapshot is suspicious if it has at most this share of at least so many open identities.
@@ -91,9 +93,17 @@ def lifecycle_closed_form(seen: DataFrame, snapshots: DataFrame, keys: Sequence[
 
 
 class Lifecycle(StatefulProcessor):
-    """The stream form: keyed by source, one row of output for each snapshot."""
+    """The stream form: keyed by source, one row of output for each snapshot.
+
+    With `due` a source has one event-time timer, at its next time; if it passes without a snapshot, a
+    row with the health `due` tells so.
+    """
+
+    def __init__(self, due: bool = False):
+        self.due = due
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.jobs = handle.getMapState("jobs", "identity string", "status string, misses int, reopened int")
         self.source = handle.getValueState("source", "failures int, last_success timestamp, last_ts timestamp")
 
@@ -120,8 +130,17 @@ class Lifecycle(StatefulProcessor):
                 self.jobs.updateValue((i,), tuple(v))
         if seen_to is not None:
             self.source.update((source["failures"], None if success_at is None else pd.Timestamp(success_at).to_pydatetime(), pd.Timestamp(seen_to).to_pydatetime()))
+        if self.due and out and out[-1][-1] is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(out[-1][-1].timestamp() * 1000))
         yield pd.DataFrame(out, columns=COLUMNS)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        failures = self.source.get()[0] if self.source.exists() else 0
+        yield pd.DataFrame([(*key, at, "due", 0, 0, 0, 0, 0, 0, failures, backoff(failures), at)], columns=COLUMNS)
+
     def close(self) -> None:
         pass
 
@@ -130,13 +149,17 @@ COLUMNS = ["source", "ts", "health", "seen", "new", "persistent", "reopened", "c
 SCHEMA = "source string, ts timestamp, health string, seen int, new int, persistent int, reopened int, closed int, absent_once int, failures int, backoff_hours int, next_eligible_at timestamp"
 
 
-def lifecycle_stream(snapshots: DataFrame) -> DataFrame:
+def lifecycle_stream(snapshots: DataFrame, due: str | None = None) -> DataFrame:
     """A stream of (source, ts, success, identities) as a stream of snapshot results.
 
-    Snapshots at or before the last one of a source change nothing and are told as `late`. Needs the
-    RocksDB state store. Only identities that changed are written to the state.
+    Snapshots at or before the last one of a source change nothing and are told as `late`. With `due`, a
+    delay such as "1 hour", the watermark of `ts` runs so far behind the latest snapshot of all sources; when it passes a
+    source's next time, the source is told as `due` without a row of its own. Needs the RocksDB state
+    store. Only identities that changed are written to the state.
     """
-    return snapshots.groupBy("source").transformWithStateInPandas(Lifecycle(), SCHEMA, "append", "none")
+    if due is None:
+        return snapshots.groupBy("source").transformWithStateInPandas(Lifecycle(), SCHEMA, "append", "none")
+    return snapshots.withWatermark("ts", due).groupBy("source").transformWithStateInPandas(Lifecycle(True), SCHEMA, "append", "EventTime")
 
 
 def source_states(snapshots: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -202,6 +225,66 @@ def append_versions(store: DataFrame, new: DataFrame, keys: Sequence[str], diges
     return changed.withColumn("version", (F.coalesce("_v", F.lit(0)) + F.sum("_c").over(w)).cast("int")).where("_c = 1").drop("_v", "_h", "_c")
 
 
+def ingest_sink(path: str, keys: Sequence[str], digest: str, ts: str, review: Column | None = None, named: Sequence[str] = ()):
+    """A function for foreachBatch that adds the versions of a batch, and its review queue, to the store at `path`, once.
+
+    Each batch has folders of its own and is judged by the batches before it; a log has the batches that are
+    whole. A batch that is run again after it was logged does nothing; one that broke off writes the same
+    folders again. So no version is added twice, wherever a run stops. Rows where `review` holds go to the
+    queue by a hash of the keys and the columns `named`, as pending; those in it already are passed over.
+    Versions are read by the batch's keys, with no more columns than these, the hash and the number.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if number in _logged(spark, path):
+            return
+        batch = batch.persist()
+        try:
+            old = _batches(spark, path, "versions", number)
+            if old is None:
+                old = batch.limit(0).withColumn("version", F.lit(0))
+            known = old.select(*keys, digest, "version").join(batch.select(*keys).distinct(), list(keys), "left_semi")
+            append_versions(known, batch, keys, digest, ts).write.mode("overwrite").parquet(f"{path}/versions/batch={number}")
+            if review is not None:
+                queue_id = F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*keys, *named])), 256), 1, 24)
+                queued = batch.where(review).select(queue_id.alias("queue_id"), *keys, *named, F.lit("pending").alias("status")).dropDuplicates(["queue_id"])
+                before = _batches(spark, path, "queue", number)
+                if before is not None:
+                    queued = queued.join(before.select("queue_id"), "queue_id", "left_anti")
+                queued.write.mode("overwrite").parquet(f"{path}/queue/batch={number}")
+        finally:
+            batch.unpersist()
+        _put_text(spark, f"{path}/log/{number}", "")
+
+    return add
+
+
+def _logged(spark: SparkSession, path: str) -> set[int]:
+    """The numbers of the batches that are whole: one file name each."""
+    files, hadoop = _files(spark, path)
+    folder = hadoop.Path(f"{path}/log")
+    if not files.util().exists(folder):
+        return set()
+    return {int(f.getPath().getName()) for f in files.util().listStatus(folder) if f.getPath().getName().isdigit()}
+
+
+def _batches(spark: SparkSession, path: str, table: str, before: int | None = None) -> DataFrame | None:
+    """The rows of whole batches, or of those with a smaller number than `before`; None where there are none."""
+    numbers = sorted(n for n in _logged(spark, path) if before is None or n < before)
+    return spark.read.parquet(*(f"{path}/{table}/batch={n}" for n in numbers)) if numbers else None
+
+
+def stored_versions(spark: SparkSession, path: str) -> DataFrame | None:
+    """All versions that `ingest_sink` has added, of whole batches only."""
+    return _batches(spark, path, "versions")
+
+
+def review_queue(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows that wait for a review (J6); `current_decisions` joins what was decided."""
+    return _batches(spark, path, "queue")
+
+
 def current_decisions(items: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     """Items with their latest decision, pending without one; decisions are a log that is only added to."""
     last = decisions.groupBy(key).agg(F.max_by("decision", F.struct("decided_at", "decision")).alias("decision"), F.max("decided_at").alias("decided_at"))
