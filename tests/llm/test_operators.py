@@ -73,21 +73,28 @@ def license_words(text):
 
 
 def brute_labels(text):
-    """All labels and the best cover, by looking around every diagonal of every template."""
+    """All labels and the best cover, by looking around every diagonal of every template; of passages that share more than half their words the best label counts."""
     words = license_words(text)
     grams = defaultdict(list)
     for k in range(len(words) - 2):
         grams[tuple(words[k : k + 3])].append(k)
-    labels, best = set(), 0.0
+    labels, best, notices = set(), 0.0, []
     for label, base, t in licenses.templates():
         hits = [(k - p, p) for p in range(len(t) - 2) for k in grams.get(tuple(t[p : p + 3]), [])]
         reach = 0 if base else -(-len(t) // licenses.SPREAD)
         least = 1 if base or len(t) <= licenses.SHORT else licenses.LEAST_COVER
         for d in {d for d, _ in hits}:
-            cover = len({p for e, p in hits if abs(e - d) <= reach}) / (len(t) - 2)
-            if cover >= least:
+            near = [(e + p, p) for e, p in hits if abs(e - d) <= reach]
+            cover = len({p for _, p in near}) / (len(t) - 2)
+            if cover >= least and base:
                 labels.add(label)
                 best = max(best, cover)
+            elif cover >= least:
+                notices.append((label, min(k for k, _ in near), max(k for k, _ in near) + 3, cover, len(t)))
+    for label, start, stop, cover, n in notices:
+        if not any(o != label and 2 * (min(stop, b) - max(start, a)) > stop - start and (c, m) > (cover, n) for o, a, b, c, m in notices):
+            labels.add(label)
+            best = max(best, cover)
     return ",".join(sorted(labels)), best
 
 
@@ -100,6 +107,7 @@ def license_texts():
     for _ in range(30):
         t = rng.choice(licenses.NOTICES)[1].split()
         texts.append(" ".join(w for w in t for w in ([w] if rng.random() > 0.04 else [w, "odd"] if rng.random() > 0.5 else [])))
+    texts += ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "This work is licensed under a Creative Commons Attribution 3.0 International License", "// SPDX-License-Identifier: Apache-2.0", "under the terms of the GNU General Public License version 2", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.", "SPDX-License-Identifier: BSD-3-Clause"]
     return texts + [" ".join(rng.choice(texts[:10]) for _ in range(4)), None, ""]
 
 
@@ -110,6 +118,8 @@ def test_license_notices(spark, monkeypatch, tile):
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got[0] == ("mit", 1.0) and got[3][0] == "" and got[4][0] == "gpl-2" and got[5] == ("", 0.0)
     assert got[6][0] == "mit" and got[7][0] == "bsd" and got[8][0] == "mit"
+    last = texts.index("SPDX-License-Identifier: BSD-3-Clause")
+    assert [got[k][0] for k in range(last - 5, last + 1)] == ["cc-by-sa", "cc-by", "apache-2", "gpl-2", "gpl-3", "bsd"]
     for k, t in enumerate(texts):
         want = brute_labels(t)
         assert got[k][0] == want[0] and abs(got[k][1] - want[1]) < 1e-12, (k, got[k], want)

@@ -18,7 +18,7 @@ BASE = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# Notices and whole licenses, as words.
+# Notices, whole licenses, the titles of those too long to be whole here, and identifiers, as words.
 NOTICES = [
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
@@ -29,6 +29,27 @@ NOTICES = [
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("gpl-3", "gnu general public license version 3"),
+    ("gpl-2", "gnu general public license version 2"),
+    ("lgpl", "gnu lesser general public license version"),
+    ("apache-2", "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution"),
+    ("gpl-3", "gnu general public license version 3 29 june 2007 copyright c 2007 free software foundation inc"),
+    ("gpl-2", "gnu general public license version 2 june 1991 copyright c 1989 1991 free software foundation inc"),
+    ("mpl-2", "mozilla public license version 2 0 1 definitions"),
+    ("apache-2", "spdx license identifier apache 2 0"),
+    ("mit", "spdx license identifier mit"),
+    ("gpl-3", "spdx license identifier gpl 3 0"),
+    ("gpl-2", "spdx license identifier gpl 2 0"),
+    ("lgpl", "spdx license identifier lgpl"),
+    ("mpl-2", "spdx license identifier mpl 2 0"),
+    ("bsd", "spdx license identifier bsd 2 clause"),
+    ("bsd", "spdx license identifier bsd 3 clause"),
+    ("isc", "spdx license identifier isc"),
+    ("zlib", "spdx license identifier zlib"),
+    ("unlicense", "spdx license identifier unlicense"),
+    ("cc-by", "spdx license identifier cc by 4 0"),
+    ("cc-by-sa", "spdx license identifier cc by sa 4 0"),
+    ("cc0", "spdx license identifier cc0 1 0"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     (
         "mit",
@@ -81,8 +102,10 @@ LEAST_COVER, SPREAD = 0.6, 4
 SHORT = 12
 #: The gram that each text has besides its own, so that a text without any match keeps a row.
 NONE = 0
-#: Diagonals of a text and template are looked at in tiles of so many.
+#: Diagonals of a text and template are looked at in tiles of so many, as are words where passages overlap.
 TILE = 1 << 12
+#: Diagonals are scaled so that each template's reach is this one frame: with floor(FRAME / reach), no further neighbour falls into it.
+FRAME = 1 << 20
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
@@ -180,14 +203,26 @@ def passages(found: DataFrame) -> DataFrame:
     reach = F.ceil(F.col("t_words") / SPREAD)
     tiles = F.array_distinct(F.array(*(F.floor(d / TILE) for d in (F.col("diagonal"), F.col("diagonal") - reach, F.col("diagonal") + reach))))
     placed = found.where("not base").withColumn("tile", F.explode(tiles))
-    spreads = sorted({-(-len(w) // SPREAD) for _, b, w in templates() if not b})
-    merged = None
-    for spread in spreads:
-        near = Window.partitionBy("row_id", "template", "tile").orderBy("diagonal").rangeBetween(-spread, spread)
-        own = placed.where(reach == spread).select("*", *(F.bit_or(c).over(near).alias(f"m{c}") for c in longs), F.min("low").over(near).alias("start"), (F.max("high").over(near) + K).alias("stop"))
-        merged = own if merged is None else merged.unionByName(own)
+    scale = F.floor(F.lit(FRAME) / reach)
+    near = Window.partitionBy("row_id", "template", "tile").orderBy(F.col("diagonal") * scale).rangeBetween(-FRAME, FRAME)
+    merged = placed.select("*", *(F.bit_or(c).over(near).alias(f"m{c}") for c in longs), F.min("low").over(near).alias("start"), (F.max("high").over(near) + K).alias("stop"))
     notices = merged.where(F.floor(F.col("diagonal") / TILE) == F.col("tile")).withColumn("cover", _cover([F.col(f"m{c}") for c in longs]))
-    return base.unionByName(notices.where(F.col("cover") >= F.when(F.col("t_words") <= SHORT, 1.0).otherwise(LEAST_COVER)).select(*result))
+    verified = saved(notices.where(F.col("cover") >= F.when(F.col("t_words") <= SHORT, 1.0).otherwise(LEAST_COVER)).select("t_words", *result))
+    return base.unionByName(best(verified).select(*result))
+
+
+def best(notices: DataFrame) -> DataFrame:
+    """`notices` without those that another license explains better: a passage of another label that takes more than half of its words and has a higher cover, or the same of a longer template.
+
+    Such a passage has the middle word, so passages meet in the tiles of TILE words that they stand in.
+    """
+    middle = F.floor((F.col("start") + F.col("stop")) / 2)
+    others = notices.groupBy("row_id", "label", "start", "stop").agg(F.max(F.struct("cover", "t_words")).alias("m")).select("row_id", F.col("label").alias("o_label"), F.col("start").alias("o_start"), F.col("stop").alias("o_stop"), F.col("m.cover").alias("o_cover"), F.col("m.t_words").alias("o_words"))
+    placed = others.withColumn("_tile", F.explode(F.sequence(F.floor(F.col("o_start") / TILE), F.floor((F.col("o_stop") - 1) / TILE))))
+    shared = F.least("stop", "o_stop") - F.greatest("start", "o_start")
+    better = (F.col("o_label") != F.col("label")) & (2 * shared > F.col("stop") - F.col("start")) & ((F.col("o_cover") > F.col("cover")) | ((F.col("o_cover") == F.col("cover")) & (F.col("o_words") > F.col("t_words"))))
+    mine, theirs = notices.withColumn("_tile", F.floor(middle / TILE)), placed
+    return mine.join(theirs, (mine["row_id"] == theirs["row_id"]) & (mine["_tile"] == theirs["_tile"]) & better, "left_anti").drop("_tile")
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -191,8 +191,9 @@ w as (select row_number() over () as rid, doc_id, regexp_extract_all({LOWERED},
 g as (select rid, i as pos, words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3] as gram from (select rid, words, unnest(range(len(words) - 2)) as i from w)),
 h as materialized (select rid, t, label, base, grams, reach, least, pos - tpos as d, tpos, pos from g join tg using (gram)),
 c as (select distinct rid, t, d, reach from h),
-v as (select h.rid, h.t, label, base, c.d, min(pos) as start, count(distinct tpos) / any_value(grams)::double as cover, any_value(least) as least from c join h on h.rid = c.rid and h.t = c.t and abs(h.d - c.d) <= c.reach group by h.rid, h.t, label, base, c.d),
-p as (select * from v where cover >= least)
+v as (select h.rid, h.t, label, base, c.d, min(pos) as start, max(pos) + 3 as stop, any_value(grams) as grams, count(distinct tpos) / any_value(grams)::double as cover, any_value(least) as least from c join h on h.rid = c.rid and h.t = c.t and abs(h.d - c.d) <= c.reach group by h.rid, h.t, label, base, c.d),
+a as (select * from v where cover >= least),
+p as (select * from a where base or not exists (select 1 from a as o where o.rid = a.rid and not o.base and o.label <> a.label and 2 * (least(a.stop, o.stop) - greatest(a.start, o.start)) > a.stop - a.start and (o.cover > a.cover or o.cover = a.cover and o.grams > a.grams)))
 select any_value(w.doc_id) as doc_id, any_value(len(words))::bigint as n_words, count(*) filter (base) as n_base, min(start) filter (base) as first_word, max(start) filter (base) as last_word,
     coalesce(array_to_string(list_sort(list(distinct label) filter (base)), ','), '') as base_labels, coalesce(array_to_string(list_sort(list(distinct label) filter (label is not null)), ','), '') as labels, coalesce(max(cover), 0.0)::double as score
 from w left join p using (rid) group by rid
