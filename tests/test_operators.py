@@ -322,7 +322,7 @@ def test_same_events_scores_few_pairs(spark):
         want = {p: s for p, s in pairs.items() if s >= least}
         got = {(r.left_id, r.right_id): r.similarity for r in joins.same_events(df, ["block"], 14, least).collect()}
         assert got == want
-        assert len(want) <= joins.event_candidates(df, ["block"], 14, least).count() <= max(3 * len(want), len(pairs) // 20)
+        assert len(want) <= joins.event_candidates(joins.token_sets(df, ["block"]), ["block"], 14, least).count() <= max(3 * len(want), len(pairs) // 20)
 
 
 def test_meeting_at_common_tokens_in_parts(spark, monkeypatch):

@@ -165,9 +165,9 @@ def likely_pairs(texts: DataFrame, keys: Sequence[str], least: float) -> DataFra
         prefix = jo.rarest(_grams(some, keys, size), keys, need(F.col("size") + F.ceil(F.col("size") * shorter - 1e-9), size))
         left, right = jo.sides(prefix, "true", "true", keys, ["size"])
         fits = (F.col("left_id") < F.col("right_id")) & (F.least("left_size", "right_size") >= F.greatest("left_size", "right_size") * shorter - 1e-9)
-        met = jo.meet(left, right, [*keys, "token"], fits)
-        total = F.col("ln") + F.col("rn") + 2 * (size - 1)
-        pairs = jo.likely(met, keys, need(total, size)).select(*keys, "left_id", "right_id")
+        shared = need(F.col("ln") + F.col("rn") + 2 * (size - 1), size)
+        met = jo.meet(left, right, [*keys, "token"], fits, shared)
+        pairs = jo.likely(met, keys, shared).select(*keys, "left_id", "right_id")
         found = pairs if found is None else found.unionByName(pairs)
     return found.distinct()
 

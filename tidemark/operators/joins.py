@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import jaccard, normalize_name, tokens
+from tidemark.sources.scratch import saved
 
 
 #: Token rows are dealt over PARTS parts where tokens meet their counts; a token of more than HOT rows over so many where rows meet.
@@ -32,12 +33,17 @@ def rarest(named: DataFrame, blocks: Sequence[str], need: Column) -> DataFrame:
     return dealt.join(freq, ["token", "_part"]).drop("_part").withColumn("place", place).where(F.col("place") <= F.col("n") - need + 1)
 
 
-def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], fits: Column) -> DataFrame:
-    """Pairs of prefix rows (left_id, ln, lp, f / right_id, rn, rp) with equal keys, joined where `fits`; a token of many rows is dealt over parts."""
+def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], fits: Column, need: Column) -> DataFrame:
+    """Pairs of prefix rows (left_id, ln, lp, f / right_id, rn, rp) with equal keys, joined where `fits`; a token of many rows is dealt over parts.
+
+    Up to a shared token no more tokens are shared than the smaller place, after it no more than the shorter rest; pairs
+    that cannot have `need` in common by that are not joined.
+    """
     parts = F.least(F.ceil(F.col("f") / HOT), F.lit(64)).cast("int")
     a = left.withColumn("_part", F.pmod(F.xxhash64("left_id"), parts.cast("long")).cast("int")).drop("f")
     b = right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("f")
-    return a.join(b, [*keys, "_part"]).where(fits)
+    most = F.least("lp", "rp") + F.least(F.col("ln") - F.col("lp"), F.col("rn") - F.col("rp"))
+    return a.join(b, [*keys, "_part"]).where(fits & (most >= need))
 
 
 def likely(met: DataFrame, blocks: Sequence[str], need: Column) -> DataFrame:
@@ -79,12 +85,11 @@ def best_similarity(left: DataFrame, right: DataFrame, blocks: Sequence[str], le
     block pair nothing; pairs whose sizes or places of shared tokens cannot reach `least` are not scored.
     Ties go to the larger right id. match: agreed or unmatched; right rows matched by none stay as right_only.
     """
-    a = left.select(*blocks, "id", F.array_distinct(tokens("text")).alias("t"))
-    b = right.select(*blocks, "id", F.array_distinct(tokens("text")).alias("t"))
+    a, b = (saved(side.select(*blocks, "id", F.array_distinct(tokens("text")).alias("t"))) for side in (left, right))
     both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1))).where(F.size("t") > 0)
     prefix = _prefix(both, [*blocks, "side"], F.ceil(F.lit(least) * F.col("n")))
     fits, need = _jaccard_filters(least)
-    met = meet(*sides(prefix, "side = 0", "side = 1", blocks), [*blocks, "token"], fits)
+    met = meet(*sides(prefix, "side = 0", "side = 1", blocks), [*blocks, "token"], fits, need)
     best = _scored(likely(met, blocks, need), a, b, blocks, least).groupBy(*blocks, "left_id").agg(F.max(F.struct("similarity", "right_id")).alias("m")).select(*blocks, "left_id", "m.right_id", "m.similarity")
     matched = a.select(*blocks, F.col("id").alias("left_id")).join(best, [*blocks, "left_id"], "left").withColumn("match", F.when(F.col("similarity").isNotNull(), "agreed").otherwise("unmatched"))
     alone = b.select(*blocks, F.col("id").alias("right_id")).join(best.select(*blocks, "right_id").distinct(), [*blocks, "right_id"], "left_anti").select(*blocks, F.lit(None).cast(left.schema["id"].dataType).alias("left_id"), "right_id", F.lit(None).cast("double").alias("similarity"), F.lit("right_only").alias("match"))
@@ -92,16 +97,20 @@ def best_similarity(left: DataFrame, right: DataFrame, blocks: Sequence[str], le
 
 
 def event_candidates(df: DataFrame, blocks: Sequence[str], days: int = 14, least: float = 0.65) -> DataFrame:
-    """blocks, left_id, right_id, ln, rn: the pairs that `same_events` scores."""
-    base = df.select(*blocks, "id", "day", F.array_distinct(tokens("text")).alias("t")).where(F.size("t") > 0)
-    prefix = _prefix(base, blocks, F.ceil(F.lit(least) * F.col("n")))
+    """blocks, left_id, right_id, ln, rn: the pairs that `same_events` scores, of rows (id, day, t) with token sets."""
+    prefix = _prefix(df.where(F.size("t") > 0), blocks, F.ceil(F.lit(least) * F.col("n")))
     left, right = sides(prefix, "true", "true", blocks, ["day"])
     bucket = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / days)
     left = left.withColumn("bucket", F.explode(F.array(*(bucket("left_day") + k for k in (-1, 0, 1)))))
     right = right.withColumn("bucket", bucket("right_day"))
     fits, need = _jaccard_filters(least)
     near = (F.col("left_id") < F.col("right_id")) & (F.abs(F.datediff("left_day", "right_day")) <= days)
-    return likely(meet(left, right, [*blocks, "token", "bucket"], near & fits), blocks, need)
+    return likely(meet(left, right, [*blocks, "token", "bucket"], near & fits, need), blocks, need)
+
+
+def token_sets(df: DataFrame, blocks: Sequence[str]) -> DataFrame:
+    """blocks, id, day, t: the rows of `df` with the token set of their text, saved, as it is read several times."""
+    return saved(df.select(*blocks, "id", "day", F.array_distinct(tokens("text")).alias("t")))
 
 
 def same_events(df: DataFrame, blocks: Sequence[str], days: int = 14, least: float = 0.65) -> DataFrame:
@@ -110,8 +119,8 @@ def same_events(df: DataFrame, blocks: Sequence[str], days: int = 14, least: flo
     Pairs meet in date buckets (each row in its own and the next) and by one of the rarest tokens that such
     a pair must share; those whose sizes or places of shared tokens cannot reach `least` are not scored.
     """
-    base = df.select(*blocks, "id", F.array_distinct(tokens("text")).alias("t"))
-    return _scored(event_candidates(df, blocks, days, least), base, base, blocks, least)
+    sets = token_sets(df, blocks)
+    return _scored(event_candidates(sets, blocks, days, least), sets, sets, blocks, least)
 
 
 def resolve_aliases(df: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:

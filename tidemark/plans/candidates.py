@@ -111,6 +111,86 @@ def accounting_rows(t):
     return la.accounting_observations(rows, ["doc_id"])
 
 
+CONTEXTS = ["", "It was said by the company.", "A view of the market", "She served as an adviser."]
+EXTERNAL_CASES = [
+    ("customer_condition_with_explicit_company_impact", "cust and impact", "target_company", "direct", "group_or_unspecified"),
+    ("customer_is_grammatical_subject", "cust", "customer", "external", "external"),
+    ("supplier_cause_with_explicit_company_impact", f"{test(la.SUPPLIER)} and impact", "target_company", "direct", "group_or_unspecified"),
+    ("supplier_is_grammatical_subject", test(la.SUPPLIER), "supplier", "external", "external"),
+    ("competitor_is_grammatical_subject", test(la.COMPETITOR), "competitor", "external", "external"),
+    ("industry_level_statement", test(la.INDUSTRY), "industry", "external", "sector"),
+    ("named_third_party_is_subject", "third is not null", "third_party", "external", "external"),
+    ("joint_venture_subject", test(la.JOINT_VENTURE), "joint_venture", "external_or_shared", "joint_venture"),
+    ("acquisition_target_subject", test(la.ACQUISITION_TARGET), "acquisition_target", "external", "external"),
+    ("controlled_subsidiary_reference", test(la.SUBSIDIARY), "target_subsidiary", "direct", "subsidiary"),
+    ("named_target_segment", "segment is not null", "target_segment", "direct", "segment"),
+    ("issuer_reference", f"{test(la.ISSUER)} or {test(la.ISSUER, 'context')}", "target_company", "direct", "group_or_unspecified"),
+    ("factual_filing_clause_without_external_subject", test(la.ACTUAL), "target_company", "inferred", "group_or_unspecified"),
+]
+SUBJECT_CASES = [("biography_or_career_history", test(la.BIOGRAPHY, "both_"), "former_employer", "external", "external"), ("third_party_quote", test(la.QUOTE), "third_party", "external", "external"), *EXTERNAL_CASES]
+TOLD = "case reason " + "{}" + " end"
+BY_REASON = [" ".join(f"when '{c[0]}' then '{c[n]}'" for c in SUBJECT_CASES) for n in (2, 3, 4)]
+FACTS = f"""case when {test(la.PLAN)} then 'planned' when {test(la.BEFORE)} then 'actual_historical' when {test(la.GENERIC_RISK)} and not {test(la.IMPACT)} and not {test(la.EMBEDDED)} and not {test(la.AT_TIMES)} then 'generic_risk'
+ when {test(la.MODAL)} and not {test(la.ACTUAL)} then 'hypothetical_risk' when {test(la.ACTUAL)} and {test(la.MODAL)} then 'actual_current_with_forecast' when {test(la.ACTUAL)} then 'actual_current' else 'ambiguous' end"""
+
+
+@query(f"""with {SPANS}, v as (select *, {_list(CONTEXTS, 'k')} as context from z),
+w as (select *, context || ' ' || span as both_, {test(la.IMPACT)} as impact, {test(la.CUSTOMER_BENEFIT)} or {test(la.CUSTOMER)} as cust, nullif(trim(regexp_extract(span, '(?i){la.SEGMENT}', 1), ' '), '') as segment,
+ case when not regexp_matches(span, '^\\s*(?:we\\b|our\\b|the company\\b|the group\\b)') then nullif(regexp_extract(span, '^\\s*([A-Z][A-Za-z&.-]+) (?:plans?|announced|expects?) to\\b', 1), '') end as third from v),
+r as (select *, case {' '.join(f"when {c[1]} then '{c[0]}'" for c in SUBJECT_CASES)} else 'subject_not_resolved' end as reason from w)
+select doc_id, position, coalesce({TOLD.format(BY_REASON[0])}, 'unknown') as subject_type, coalesce({TOLD.format(BY_REASON[1])}, 'unclear') as relevance, coalesce({TOLD.format(BY_REASON[2])}, 'unknown') as scope, reason as subject_reason,
+ case reason when 'named_third_party_is_subject' then third when 'named_target_segment' then segment end as subject_entity, case reason when 'named_target_segment' then segment end as segment_name, {FACTS} as factual_status from r""")
+def attributed_subjects(t):
+    rows = spans(t).withColumn("context", _pick(CONTEXTS, F.col("k")))
+    return la.attribute_subject(rows).drop("k", "span", "context")
+
+
+SUBJECT_KINDS = ["target_company", "supplier", "unknown", "customer", "target_segment", "target_company", "joint_venture", "target_company", "target_subsidiary", "target_company", "target_company"]
+EVENT_KINDS = ["labour_constraint", "restructuring", "supply_chain_constraint"]
+FACT_KINDS = ["actual_current", "generic_risk", "planned", "hypothetical_risk", "actual_historical", "ambiguous", "actual_current"]
+
+
+@query(f"""with {SPANS}, v as (select *, {_list(SUBJECT_KINDS, 'k')} as s, {_list(EVENT_KINDS, 'k')} as e, {_list(FACT_KINDS, 'k')} as f from z),
+w as (select *, case when e in ('labour_constraint', 'supply_chain_constraint') and ({test(la.SUPPLIER)} or {test(la.SUPPLIER_LABOUR)}) then 'supplier' else s end as who from v),
+r as (select *, case when {test(la.TECHNICAL_REDUNDANCY)} then 'technical_redundancy_not_workforce_event' when {test(la.PAGE_JOIN)} and length(span) > 280 then 'joined_page_table_fragment' when {test(la.ACCOUNTING_CONTEXT)} then 'accounting_definition_or_cross_reference'
+ when {test(la.EQUITY_METHOD)} then 'external_equity_method_or_affiliate_context' when e = 'labour_constraint' and {test(la.SUPPLIER_LABOUR)} and not {test(la.IMPACT)} then 'supplier_labour_condition_without_target_labour_event'
+ when who in ('supplier', 'customer', 'joint_venture') then 'external_subject:' || who when who = 'unknown' then 'subject_unresolved' when f in ('generic_risk', 'hypothetical_risk') then f when f = 'actual_historical' then 'historical_condition' else 'acceptance_contract_satisfied' end as reason from w)
+select doc_id, position, who as subject_type, case reason when 'acceptance_contract_satisfied' then 'accepted' when 'subject_unresolved' then 'ambiguous' else 'rejected' end as decision, reason as decision_reason from r""")
+def accepted_candidates(t):
+    k = F.col("k")
+    rows = spans(t).withColumns({"subject_type": _pick(SUBJECT_KINDS, k), "event_type": _pick(EVENT_KINDS, k), "factual_status": _pick(FACT_KINDS, k)})
+    return la.acceptance(rows).select("doc_id", "position", "subject_type", "decision", "decision_reason")
+
+
+#: Ends that word an event of every family, so that all verifiers have something to accept.
+ENDS = ["", "our backlog grew by much this year", "we announced a headcount reduction for many roles", "the group closed two plants", "our deliveries were disrupted", "we recalled a product", "the chief executive resigned", "we implemented a cost reduction plan", "we are hiring engineers", "we might see demand grow", "the safety incident caused a stop", "capacity expansion announced for the new line", "no restructuring was announced", "in the past revenue grew", "expenses increased and growth slowed"]
+ROUTED = [*la.FAMILIES, "unknown"]
+FAMILY_SQL = "case event_type " + " ".join(f"when '{e}' then '{f}'" for e, f in la.FAMILIES.items()) + " end"
+OWN_SUPPORT = {**la.SUPPORT, **{t: la.SUPPORT[k] for t, k in la.SAME_SUPPORT.items()}}
+FAMILY_NAMES = list(dict.fromkeys(la.FAMILIES.values()))
+BY_TYPE = " ".join(f"when '{e}' then {test(p, 'body')}" for e, p in OWN_SUPPORT.items() if e not in FAMILY_NAMES or e == "demand_growth")
+BY_FAMILY = " ".join(f"when '{f}' then {test(OWN_SUPPORT[f], 'body')}" for f in FAMILY_NAMES if f in OWN_SUPPORT)
+REFUSED = " ".join(f"when family = '{f}' and {test(p, 'body')}{'' if unless is None else ' and not ' + test(unless, 'body')} then 'reject:{reason}'" for f, refusals in la.REFUSALS.items() for p, unless, reason in refusals)
+ACCRUED = f"({test(la.ACCRUAL, 'body')} and {test(la.ACCRUAL_USE, 'body')})"
+GOOD, LEFT_OPEN = (" ".join(f"when '{f}' then '{r[n]}'" for f, r in la.REASONS.items()) for n in (0, 1))
+
+
+@query(f"""with {SPANS}, v as (select *, {_list(ROUTED, 'k')} as event_type, {_list(['target_company', 'target_segment', 'supplier', 'target_company'], 'k')} as who, {_list(ENDS, 'doc_id + 11 * position')} as tail from z),
+w as (select *, case when k % 37 = 0 then ' ' when tail = '' then span else tail || ' ' || span end as body, {FAMILY_SQL} as family from v),
+p as materialized (select *, coalesce(case event_type {BY_TYPE} else case family {BY_FAMILY} end end, false) as plain from w),
+s as (select *, case family when 'restructuring_cost_action' then ({test(la.IDENTITY, 'body')} and {test(la.ACTION, 'body')}) or {test(la.INDIRECT, 'body')} or {ACCRUED} when 'supply_chain_resilience' then plain or {test(la.CONTINUING, 'body')} else plain end as supported from p),
+r as (select *, case when family is null then 'ambiguous:family_not_implemented' when trim(body, ' ') = '' then 'reject:missing_exact_provenance' when k % 31 = 0 then 'reject:heading_only' when who = 'supplier' then 'reject:wrong_entity' when {test(la.NEGATED, 'body')} then 'reject:negated_event'
+ when {test(la.HYPOTHETICAL, 'body')} and not {test(la.HAPPENED, 'body')} then 'reject:hypothetical_only' when {test(la.LONG_AGO, 'body')} and not {test(la.STILL, 'body')} then 'reject:historical_only' when {test(la.FORMER, 'body')} and {test(la.ENDED, 'body')} then 'reject:historical_only' {REFUSED}
+ when family = 'restructuring_cost_action' and {test(la.PROVISION, 'body')} and not {test(la.ACTION, 'body')} and not {ACCRUED} then 'ambiguous:accounting_reference_without_action' when supported then 'accept:' || case family {GOOD} end else 'ambiguous:' || case family {LEFT_OPEN} end end as told from s)
+select doc_id, position, coalesce(family, 'unrouted') as family, split_part(told, ':', 1) as disposition, split_part(told, ':', 2) as reason from r""")
+def family_verdicts(t):
+    k = F.col("k")
+    tail = _pick(ENDS, F.col("doc_id") + 11 * F.col("position"))
+    rows = spans(t).withColumns({"event_type": _pick(ROUTED, k), "subject_type": _pick(["target_company", "target_segment", "supplier", "target_company"], k), "heading_only": k % 31 == 0})
+    body = F.when(k % 37 == 0, " ").when(tail == "", F.col("span")).otherwise(F.concat(tail, F.lit(" "), F.col("span")))
+    return la.verify_family(rows.withColumn("span", body)).select("doc_id", "position", "family", "disposition", "reason")
+
+
 KINDS = ["DUPLICATE_EVENT", "AMBIGUOUS", "MISSED_EVENT", "FALSE_POSITIVE", "OTHER", "MISSED_EVENT", "FALSE_POSITIVE"]
 
 
