@@ -162,7 +162,7 @@ def likely_pairs(texts: DataFrame, keys: Sequence[str], least: float) -> DataFra
     found = None
     for size in {q, 1}:
         some = texts if size == q else texts.where(F.col("size") <= short)
-        prefix = jo.rarest(_grams(some, keys, size), keys, need(F.col("size") + F.ceil(F.col("size") * shorter - 1e-9), size))
+        prefix = jo.rarest(saved(_grams(some, keys, size)), keys, need(F.col("size") + F.ceil(F.col("size") * shorter - 1e-9), size))
         left, right = jo.sides(prefix, "true", "true", keys, ["size"])
         fits = (F.col("left_id") < F.col("right_id")) & (F.least("left_size", "right_size") >= F.greatest("left_size", "right_size") * shorter - 1e-9)
         shared = need(F.col("ln") + F.col("rn") + 2 * (size - 1), size)
@@ -178,14 +178,18 @@ def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
 
 
+#: Pairs are dealt over so many parts where they meet the states, as a text may have many pairs.
+PARTS = 16
+
+
 def first_come(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, id, kept: whether each id of `pairs` (left_id < right_id) is kept, if in order each is kept that meets no kept one before it.
 
     Each round decides all whose earlier neighbours allow it: out by a kept one, kept if all are out. The
     smallest open one is decided in every round, and most are in the first few.
     """
-    parts = F.explode(F.sequence(F.lit(0), F.lit(jo.PARTS - 1)))
-    edges = saved(pairs.withColumn("_part", F.pmod(F.xxhash64("right_id"), F.lit(jo.PARTS)).cast("int")))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    edges = saved(pairs.withColumn("_part", F.pmod(F.xxhash64("right_id"), F.lit(PARTS)).cast("int")))
     later = edges.select(*keys, F.col("right_id").alias("id")).distinct()
     state = edges.select(*keys, F.col("left_id").alias("id")).distinct().join(later, [*keys, "id"], "left_anti").withColumn("kept", F.lit(True)).unionByName(later.withColumn("kept", F.lit(None).cast("boolean")))
     while True:

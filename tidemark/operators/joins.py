@@ -11,8 +11,8 @@ from tidemark.functions.text import jaccard, normalize_name, tokens
 from tidemark.sources.scratch import saved
 
 
-#: Token rows are dealt over PARTS parts where tokens meet their counts; a token of more than HOT rows over so many where rows meet.
-PARTS, HOT = 16, 1000
+#: The MOST_COMMON most frequent tokens of more than HOT rows are broadcast with their counts; where rows meet, a token of more than HOT rows is dealt over parts.
+HOT, MOST_COMMON = 1000, 10_000
 
 
 def _prefix(rows: DataFrame, blocks: Sequence[str], need: Column) -> DataFrame:
@@ -24,13 +24,15 @@ def rarest(named: DataFrame, blocks: Sequence[str], need: Column) -> DataFrame:
     """blocks, id, others, n, token, f, place: the rarest of each row's n tokens (a row of `named` each), all but `need` - 1.
 
     Two rows that have `need` tokens in common or more, by the need of each, have one of these in common.
-    place is the token's in the row's tokens from the rarest, f how many rows have it. A common token is
-    met by a row of every text, so rows are dealt over parts and the counts copied to each.
+    place is the token's in the row's tokens from the rarest, f how many rows have it. The most common
+    tokens, which a row of every text has, get their counts from a broadcast of MOST_COMMON at most; any
+    other has HOT rows or less, or less than 1 / MOST_COMMON of all. `named` is read three times.
     """
-    freq = named.groupBy("token").agg(F.count(F.lit(1)).alias("f")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    dealt = named.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
+    freq = saved(named.groupBy("token").agg(F.count(F.lit(1)).alias("f")))
+    common = saved(freq.where(F.col("f") > HOT).orderBy(F.desc("f"), "token").limit(MOST_COMMON))
+    counted = named.join(F.broadcast(common), "token").unionByName(named.join(F.broadcast(common.select("token")), "token", "left_anti").join(freq, "token"))
     place = F.row_number().over(Window.partitionBy(*blocks, "id").orderBy("f", "token"))
-    return dealt.join(freq, ["token", "_part"]).drop("_part").withColumn("place", place).where(F.col("place") <= F.col("n") - need + 1)
+    return counted.withColumn("place", place).where(F.col("place") <= F.col("n") - need + 1)
 
 
 def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], fits: Column, need: Column) -> DataFrame:
