@@ -155,7 +155,8 @@ def _inner(tag: Column, name: str) -> Column:
 def _latest(entries: Column) -> Column:
     """A map of (k, v) entries; of equal keys the last counts."""
     ordered = F.sort_array(F.transform(entries, lambda e, i: F.struct(e["k"].alias("k"), i.alias("i"), e["v"].alias("v"))))
-    last = F.filter(ordered, lambda e, i: F.coalesce(F.get(ordered, i + 1)["k"] != e["k"], F.lit(True)))
+    # The sorted array is bound once, not sorted again for each entry.
+    last = F.get(F.transform(F.array(ordered), lambda o: F.filter(o, lambda e, i: F.coalesce(F.get(o, i + 1)["k"] != e["k"], F.lit(True)))), F.lit(0))
     return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
 
 
