@@ -43,6 +43,11 @@ TECHNOLOGY_FAMILIES = {"software_data_languages": ["Python", "Java", "SQL"], "cl
 SCALES = {"bn": 1000.0, "billion": 1000.0, "m": 1.0, "mn": 1.0, "million": 1.0, "k": 0.001, "thousand": 0.001}
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once for all the rules that read it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _any(text: Column, words: list[str]) -> Column:
     out = F.lit(False)
     for w in words:
@@ -94,18 +99,18 @@ def iso_timestamp(text: Column) -> Column:
 def job_function(title: Column, department: Column) -> Column:
     """The first function whose words occur."""
     text = F.concat(F.lit(" "), F.lower(F.concat_ws(" ", title, F.coalesce(department, F.lit("")))), F.lit(" "))
-    out = F.lit("other_unknown")
-    for k, words in reversed(FUNCTIONS.items()):
+    return _once(text, lambda x: _first_words(x, FUNCTIONS, F.lit("other_unknown")))
+
+
+def _first_words(text: Column, table: dict[str, list[str]], out: Column) -> Column:
+    for k, words in reversed(table.items()):
         out = F.when(_any(text, words), k).otherwise(out)
     return out
 
 
 def job_seniority(title: Column) -> Column:
     """vp_executive, director, manager, individual_contributor or unknown."""
-    out = F.when(F.trim(title) != "", "individual_contributor").otherwise("unknown")
-    for k, words in reversed(SENIORITY.items()):
-        out = F.when(_any(F.lower(title), words), k).otherwise(out)
-    return out
+    return _once(F.lower(title), lambda x: _first_words(x, SENIORITY, F.when(F.trim(x) != "", "individual_contributor").otherwise("unknown")))
 
 
 # Wording of functions and ranks of the shorter classification, in order.
@@ -151,9 +156,9 @@ def geography(location: Column) -> Column:
 def technologies(title: Column, department: Column) -> Column:
     """names, sorted, and families of technologies named in title and department."""
     text = F.concat(F.lit(" "), F.lower(F.concat_ws(" ", title, department)), F.lit(" "))
-    names = F.array_sort(F.array_compact(F.array(*(F.when(_any(text, words), F.lit(k)) for k, words in TECHNOLOGIES.items()))))
-    families = F.array_compact(F.array(*(F.when(F.arrays_overlap(names, F.array(*map(F.lit, members))), F.lit(k)) for k, members in TECHNOLOGY_FAMILIES.items())))
-    return F.struct(names.alias("names"), families.alias("families"))
+    names = _once(text, lambda x: F.array_sort(F.array_compact(F.array(*(F.when(_any(x, words), F.lit(k)) for k, words in TECHNOLOGIES.items())))))
+    families = lambda n: F.array_compact(F.array(*(F.when(F.arrays_overlap(n, F.array(*map(F.lit, members))), F.lit(k)) for k, members in TECHNOLOGY_FAMILIES.items())))
+    return _once(names, lambda n: F.struct(n.alias("names"), families(n).alias("families")))
 
 
 def normal_location(location: Column, aliases: dict[str, str]) -> Column:
