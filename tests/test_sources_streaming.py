@@ -27,6 +27,12 @@ def test_csv_and_jsonl_round_trip(spark, tmp_path):
     assert twice.count() == 0
 
 
+def test_csv_keeps_edges_and_reads_empty_as_null(spark, tmp_path):
+    df = spark.createDataFrame([(" a ", 1), ("b\n", 2), ("\tc", 3), ("", 4), (None, 5), ('"', 6), ("\\", 7), ("d\\\"e", 8), ("x" * 200_000, 9)], "k string, n int")
+    tables.write_csv(df, f"{tmp_path}/e", ["k", "n"])
+    assert sorted(tables.read_csv(spark, f"{tmp_path}/e", df.schema).collect(), key=lambda r: r.n) == [(r.k or None, r.n) for r in df.collect()]
+
+
 def test_file_hashes(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"abc")
     assert tables.file_hashes(spark, str(tmp_path)).first().sha256.startswith("ba7816bf")

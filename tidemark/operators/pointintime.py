@@ -38,12 +38,15 @@ def active_as_of(df: DataFrame, day: str, first: str = "first_seen", closed: str
 def active_on_days(df: DataFrame, days: DataFrame, first: str = "first_seen", closed: str = "closed_at") -> DataFrame:
     """day, active: how many rows are open on each day of a spine.
 
-    Openings and closings are counted per day and summed along the spine, so rows are never paired with
-    days. The sum is over a row for each calendar day, however many rows there are.
+    Openings and closings are counted per day, so rows are never paired with days. Each year's days are
+    summed by themselves and moved by the totals of the years before, which are a row a year.
     """
     moves = df.select(F.to_date(first).alias("day"), F.lit(1).alias("d")).unionByName(df.where(F.col(closed).isNotNull()).select(F.to_date(closed).alias("day"), F.lit(-1).alias("d")))
     per = moves.groupBy("day").agg(F.sum("d").alias("d")).unionByName(days.select("day", F.lit(0).cast("long").alias("d")))
-    sums = per.groupBy("day").agg(F.sum("d").alias("d")).withColumn("active", F.sum("d").over(Window.orderBy("day")))
+    by_day = per.groupBy("day").agg(F.sum("d").alias("d")).withColumn("_year", F.coalesce(F.year("day"), F.lit(-(10**9))))
+    before = Window.orderBy("_year").rowsBetween(Window.unboundedPreceding, -1)
+    years = by_day.groupBy("_year").agg(F.sum("d").alias("d")).select("_year", F.coalesce(F.sum("d").over(before), F.lit(0)).alias("_before"))
+    sums = by_day.join(F.broadcast(years), "_year").withColumn("active", F.sum("d").over(Window.partitionBy("_year").orderBy("day")) + F.col("_before"))
     return sums.join(days.select("day"), "day", "left_semi").select("day", "active")
 
 

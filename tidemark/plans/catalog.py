@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import candidates, cases, checks, conditions, documents, evaluation, filings, integrity, ledgers, longitudinal, pointintime, roles, sampling, scoring  # noqa: F401
+from tidemark.plans import candidates, cases, checks, conditions, documents, evaluation, feeds, filings, integrity, ledgers, longitudinal, pointintime, roles, sampling, scoring  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 #: The names that these queries had when the plain ones read a part of their tables.

@@ -11,13 +11,14 @@ from pyspark.sql.types import StructType
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Header CSV with quoted commas, quotes and line ends (A1); rows that do not fit fail."""
+    """Header CSV with quoted commas, quotes and line ends (A1); empty fields are null, rows that do not fit fail."""
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
 
 
 def write_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
-    """The fields in their order, with a header (A2)."""
-    df.select(*fields).write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+    """The fields in their order, with a header (A2); blanks and line ends at the edges of a field stay."""
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.select(*fields).write.mode("errorifexists").options(header=True, escape='"', **kept).csv(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
