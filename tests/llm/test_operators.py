@@ -201,6 +201,23 @@ def test_threshold_search_stops():
         assert least <= np.mean(share) <= most, np.mean(share)
 
 
+def test_threshold_searches_with_ties(monkeypatch):
+    """Queries searched together, with repeated ids, a third of the rows equal, and few rows at once."""
+    rng = np.random.default_rng(1)
+    for turn in range(200):
+        n, d, k = int(rng.integers(1, 300)), int(rng.integers(1, 6)), 5
+        matrix = rng.integers(-2, 3, (n, d)).astype(float)
+        matrix[: n // 3 if turn % 3 == 0 else 0] = matrix[0]
+        ids = rng.permutation(np.sort(rng.integers(0, n if turn % 2 else 10 * n, n)))
+        asked, own = matrix[rng.integers(0, n, 7)], ids[rng.integers(0, n, 7)]
+        orders = np.ascontiguousarray(np.argsort(matrix, axis=0, kind="stable").T)
+        monkeypatch.setattr(topk, "SLICE", int(rng.integers(6, 100)))
+        scores, rows, _ = topk.threshold_searches(asked, matrix, orders, ids, own, k, np.full(7, -np.inf))
+        for j in range(7):
+            want = sorted((-float(matrix[i] @ asked[j]), int(ids[i])) for i in range(n) if ids[i] != own[j])[:k]
+            assert [(-scores[j, c], int(ids[rows[j, c]])) for c in range(k) if rows[j, c] >= 0] == want
+
+
 def test_top_k_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "VECTORS", 60)
     monkeypatch.setattr(topk, "QUERIES", 3)
