@@ -329,3 +329,25 @@ def test_meeting_at_common_tokens_in_parts(spark, monkeypatch):
     monkeypatch.setattr(joins, "HOT", 3)
     df = spark.createDataFrame([(i, "b", "2024-01-01", "same words here " + ("" if i % 2 else f"x{i}")) for i in range(40)], "id int, block string, day string, text string").withColumn("day", F.to_date("day"))
     assert joins.same_events(df, ["block"], 14, 0.7).count() == 20 * 19 // 2 + 20 * 20
+
+
+def _tile_rows(seed, n):
+    rng = random.Random(seed)
+    texts = [" ".join(f"w{min(int(rng.paretovariate(0.7)), 60)}" for _ in range(rng.randint(0, 25))) for _ in range(n)]
+    return [(i, rng.choice(["a", "b", None]), f"2024-0{rng.randint(1, 3)}-{rng.randint(1, 28):02d}", t) for i, t in enumerate(texts)]
+
+
+def test_same_events_in_many_tiles(spark, monkeypatch):
+    """Each pair is found once, whatever the parts its rows are in; only pairs that have the similarity leave a tile."""
+    from datetime import date
+
+    from tidemark.operators import tiles
+
+    monkeypatch.setattr(tiles, "TILE", 60)
+    data = _tile_rows(3, 160)
+    df = spark.createDataFrame(data, "id int, block string, day string, text string").withColumn("day", F.to_date("day"))
+    bags = {i: (b, date.fromisoformat(d).toordinal(), set(t.split())) for i, b, d, t in data if b and t}
+    sim = {(i, j): len(x[2] & y[2]) / len(x[2] | y[2]) for i, x in bags.items() for j, y in bags.items() if i < j and x[0] == y[0] and abs(x[1] - y[1]) <= 14}
+    got = joins.same_events(df, ["block"], 14, 0.4)
+    assert sorted(tuple(r) for r in got.select("left_id", "right_id", "similarity").collect()) == sorted((*p, s) for p, s in sim.items() if s >= 0.4)
+    assert "explode(t" not in got._jdf.queryExecution().optimizedPlan().toString()

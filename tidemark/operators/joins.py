@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import jaccard, normalize_name, tokens
+from tidemark.operators import tiles
 from tidemark.sources.scratch import saved
 
 
@@ -57,18 +58,6 @@ def likely(met: DataFrame, blocks: Sequence[str], need: Column) -> DataFrame:
     return pair.where(F.col("c") + F.least(F.col("ln") - F.col("lp"), F.col("rn") - F.col("rp")) >= need).select(*blocks, "left_id", "right_id", "ln", "rn")
 
 
-def _scored(pairs: DataFrame, left: DataFrame, right: DataFrame, blocks: Sequence[str], least: float) -> DataFrame:
-    """The pairs (left_id, right_id, ln, rn) with the Jaccard similarity of their tokens, `least` or more.
-
-    Only the left row's tokens travel with a pair; the right row's are joined where the pair is scored.
-    """
-    a = left.select(*blocks, F.col("id").alias("left_id"), F.col("t").alias("lt"))
-    b = right.select(*blocks, F.col("id").alias("right_id"), F.col("t").alias("rt"))
-    joined = pairs.join(a, [*blocks, "left_id"]).join(b, [*blocks, "right_id"]).withColumn("_c", F.size(F.array_intersect("lt", "rt"))).drop("lt", "rt")
-    scored = joined.withColumn("similarity", F.col("_c") / (F.col("ln") + F.col("rn") - F.col("_c")))
-    return scored.where(F.col("similarity") >= least).drop("_c", "ln", "rn")
-
-
 def sides(prefix: DataFrame, left_where, right_where, blocks: Sequence[str], more: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     one = lambda side, at: prefix.where(at).select(*blocks, "token", "f", F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side[0]}n"), F.col("place").alias(f"{side[0]}p"), *(F.col(c).alias(f"{side}_{c}") for c in more))
     return one("left", left_where), one("right", right_where)
@@ -80,26 +69,33 @@ def _jaccard_filters(least: float) -> tuple[Column, Column]:
     return small >= F.ceil(least * large - 1e-9), F.ceil((F.col("ln") + F.col("rn")) * least / (1 + least) - 1e-9)
 
 
+def _hashes(text: str) -> Column:
+    """The token set of a text as 64-bit hashes."""
+    return F.transform(F.array_distinct(tokens(text)), lambda w: F.xxhash64(w))
+
+
+def _pair_schema(rows: DataFrame, blocks: Sequence[str]) -> str:
+    kind = dict(rows.dtypes)
+    return ", ".join([*(f"`{b}` {kind[b]}" for b in blocks), f"left_id {kind['id']}, right_id {kind['id']}, similarity double"])
+
+
 def best_similarity(left: DataFrame, right: DataFrame, blocks: Sequence[str], least: float = 0.15) -> DataFrame:
     """Each left row (id, text) with its best right row of the same blocks by token Jaccard, `least` or more.
 
-    Rows meet by one of the rarest tokens that such a pair must share, so the most common tokens of a
-    block pair nothing; pairs whose sizes or places of shared tokens cannot reach `least` are not scored.
+    Left and right rows of a block meet in tiles, which return the best of each left row; see `tiles`.
     Ties go to the larger right id. match: agreed or unmatched; right rows matched by none stay as right_only.
     """
-    a, b = (saved(side.select(*blocks, "id", F.array_distinct(tokens("text")).alias("t"))) for side in (left, right))
-    both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1))).where(F.size("t") > 0)
-    prefix = _prefix(both, [*blocks, "side"], F.ceil(F.lit(least) * F.col("n")))
-    fits, need = _jaccard_filters(least)
-    met = meet(*sides(prefix, "side = 0", "side = 1", blocks), [*blocks, "token"], fits, need)
-    best = _scored(likely(met, blocks, need), a, b, blocks, least).groupBy(*blocks, "left_id").agg(F.max(F.struct("similarity", "right_id")).alias("m")).select(*blocks, "left_id", "m.right_id", "m.similarity")
+    a, b = (saved(side.select(*blocks, "id", _hashes("text").alias("t"))) for side in (left, right))
+    both = a.withColumn("cell", F.lit(0)).unionByName(b.withColumn("cell", F.lit(1)))
+    found = saved(tiles.tiled(both, blocks, [1], lambda tile: tiles.best_of(tile, blocks, least), _pair_schema(both, blocks)))
+    best = found.groupBy(*blocks, "left_id").agg(F.max(F.struct("similarity", "right_id")).alias("m")).select(*blocks, "left_id", "m.right_id", "m.similarity")
     matched = a.select(*blocks, F.col("id").alias("left_id")).join(best, [*blocks, "left_id"], "left").withColumn("match", F.when(F.col("similarity").isNotNull(), "agreed").otherwise("unmatched"))
     alone = b.select(*blocks, F.col("id").alias("right_id")).join(best.select(*blocks, "right_id").distinct(), [*blocks, "right_id"], "left_anti").select(*blocks, F.lit(None).cast(left.schema["id"].dataType).alias("left_id"), "right_id", F.lit(None).cast("double").alias("similarity"), F.lit("right_only").alias("match"))
     return matched.unionByName(alone)
 
 
 def event_candidates(df: DataFrame, blocks: Sequence[str], days: int = 14, least: float = 0.65) -> DataFrame:
-    """blocks, left_id, right_id, ln, rn: the pairs that `same_events` scores, of rows (id, day, t) with token sets."""
+    """blocks, left_id, right_id, ln, rn: pairs that can be within `days` and have the similarity, of rows (id, day, t) with token sets."""
     prefix = _prefix(df.where(F.size("t") > 0), blocks, F.ceil(F.lit(least) * F.col("n")))
     left, right = sides(prefix, "true", "true", blocks, ["day"])
     bucket = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / days)
@@ -118,11 +114,12 @@ def token_sets(df: DataFrame, blocks: Sequence[str]) -> DataFrame:
 def same_events(df: DataFrame, blocks: Sequence[str], days: int = 14, least: float = 0.65) -> DataFrame:
     """left_id, right_id, similarity of pairs within `days` and of token Jaccard `least` or more.
 
-    Pairs meet in date buckets (each row in its own and the next) and by one of the rarest tokens that such
-    a pair must share; those whose sizes or places of shared tokens cannot reach `least` are not scored.
+    Rows of a block meet in tiles of the same or the next date bucket, where they meet by one of the rarest tokens that
+    such a pair must share; no pair leaves a task but those that have the similarity. See `tiles`.
     """
-    sets = token_sets(df, blocks)
-    return _scored(event_candidates(sets, blocks, days, least), sets, sets, blocks, least)
+    number = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    sets = saved(df.select(*blocks, "id", number.alias("number"), F.floor(number / days).cast("int").alias("cell"), _hashes("text").alias("t")))
+    return tiles.tiled(sets, blocks, [0, 1], lambda tile: tiles.pairs_of(tile, blocks, least, days), _pair_schema(sets, blocks))
 
 
 def resolve_aliases(df: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:
