@@ -351,3 +351,21 @@ def test_same_events_in_many_tiles(spark, monkeypatch):
     got = joins.same_events(df, ["block"], 14, 0.4)
     assert sorted(tuple(r) for r in got.select("left_id", "right_id", "similarity").collect()) == sorted((*p, s) for p, s in sim.items() if s >= 0.4)
     assert "explode(t" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_best_similarity_in_many_tiles(spark, monkeypatch):
+    """The best of all tiles counts, with ties to the larger id, also where only the lowest threshold is reached."""
+    from tidemark.operators import tiles
+
+    monkeypatch.setattr(tiles, "TILE", 60)
+    data = _tile_rows(4, 160)
+    df = spark.createDataFrame(data, "id int, block string, day string, text string").drop("day")
+    bags = {i: (b, set(t.split())) for i, b, _, t in data if b and t}
+    want = {}
+    for i, (b, x) in bags.items():
+        found = [(len(x & y) / len(x | y), j) for j, (k, y) in bags.items() if i % 2 == 0 and j % 2 and k == b]
+        if found and max(found)[0] >= 0.15:
+            want[i] = max(found)
+    got = joins.best_similarity(df.where("id % 2 = 0"), df.where("id % 2 = 1"), ["block"])
+    assert {r.left_id: (r.similarity, r.right_id) for r in got.where("match = 'agreed'").collect()} == want
+    assert got.where("match = 'unmatched'").count() == 80 - len(want)
