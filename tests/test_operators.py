@@ -369,3 +369,20 @@ def test_best_similarity_in_many_tiles(spark, monkeypatch):
     got = joins.best_similarity(df.where("id % 2 = 0"), df.where("id % 2 = 1"), ["block"])
     assert {r.left_id: (r.similarity, r.right_id) for r in got.where("match = 'agreed'").collect()} == want
     assert got.where("match = 'unmatched'").count() == 80 - len(want)
+
+
+def test_lexicon_events_word_bounds(spark, tmp_path):
+    """A negation is a word of its own in every script, in the query and in its SQL."""
+    import duckdb
+
+    heads = ["Some noñijaos and", "Some ñno and", "Some no² and", "Some no-one and", "Some no_ and", "Some nor", "Was completedé in", "Was completed in"]
+    data = [(i, h + " the licence of this text here.") for i, h in enumerate(heads)]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["doc_id", "event_type", "position", "sentence", "status", "quantified"]
+    theirs = con.sql(catalog.oracle_sql()["lexicon_events"]).select(*(duckdb.ColumnExpression(c) for c in columns)).fetchall()
+    mine = rows(catalog.queries()["lexicon_events"](spark, str(tmp_path)).select(*columns))
+    assert sorted(mine) == sorted(theirs)
+    now, then, no = "current_or_general", "historical_or_completed", "negated"
+    assert [r[4] for r in sorted(mine)] == [now, now, no, no, now, no, now, then]

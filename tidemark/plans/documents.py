@@ -40,12 +40,14 @@ def lexicon_scan(t):
 
 
 EVENT_RULES = {"licence": "licen[cs]ed?", "token": "token|secret", "contact": r"@\w+"}
+# The same bounds as the engine's, in which letters, decimal digits and marks of every script belong to a word.
+START, END = r"(?:^|[^\pL\p{Mn}\p{Nd}_])", r"(?:[^\pL\p{Mn}\p{Nd}_]|$)"
 EVENT_ROWS = ", ".join(f"('{k}', '(?i){p}')" for k, p in EVENT_RULES.items())
 
 
 @query(f"""with {SENTENCES}, e as (select doc_id, s, unnest(range(len(s))) as position from x), r(event_type, p) as (values {EVENT_ROWS}), y as (select doc_id, position::integer as position, s[position + 1] as sentence from e),
 h as (select *, regexp_extract(sentence, '(?s)^(.*?)(?:' || p || ')', 1) as head from y, r where regexp_matches(sentence, p)),
-c as (select *, case when regexp_matches(right(head, 100), '(?i)\\b(?:no|not|without|neither|nor)\\b') then 'c' when regexp_matches(sentence, '(?i)\\b(?:completed|previously announced|announced in 20\\d\\d|last year|prior year|following the)\\b') then 'b' else 'a' end as st from h),
+c as (select *, case when regexp_matches(right(head, 100), '(?i){START}(?:no|not|without|neither|nor){END}') then 'c' when regexp_matches(sentence, '(?i){START}(?:completed|previously announced|announced in 20\\d\\d|last year|prior year|following the){END}') then 'b' else 'a' end as st from h),
 g as (select doc_id, event_type, lower(trim(regexp_replace(sentence, '\\s+', ' ', 'g'))) as k, min(position) as position, arg_min(sentence, position) as sentence, min(st) as st, bool_or(regexp_matches(sentence, '\\d')) as quantified from c group by all)
 select doc_id, event_type, position, sentence, case st when 'a' then 'current_or_general' when 'b' then 'historical_or_completed' else 'negated' end as status, quantified from g""")
 def lexicon_events(t):
