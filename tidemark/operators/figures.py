@@ -144,7 +144,8 @@ def table_figures(df: DataFrame, html: str, key: str, metrics: dict[str, str] =
 def _attribute(tag: Column, name: str) -> Column:
     """An attribute of a tag's head; null where it has none."""
     found = F.regexp_extract_all(F.regexp_extract(tag, r"^<[^>]*>", 0), F.lit(rf"(?is)(?<![\w:-]){name}\s*=\s*(['\"])(.*?)\1"), F.lit(2))
-    return F.get(found, F.size(found) - 1)
+    # Reversed, the matches are looked for once, not once more for their number.
+    return F.get(F.reverse(found), F.lit(0))
 
 
 def _inner(tag: Column, name: str) -> Column:
@@ -181,12 +182,17 @@ def ixbrl_facts(df: DataFrame, html: str, key: str, report_end: str | None = Non
         kind = F.when(currency.isNotNull(), "currency").when(F.contains(F.lower(measures), F.lit("shares")), "shares").otherwise("pure")
         return F.struct(_attribute(t, "id").alias("k"), F.struct(currency.alias("currency"), kind.alias("unit")).alias("v"))
 
-    def fact(t: Column) -> Column:
-        name = F.coalesce(_attribute(t, "name"), F.lit(""))
-        tag = F.regexp_extract(name, "([^:]*)$", 1)
+    def named(t: Column) -> Column:
+        return F.struct(t.alias("t"), F.regexp_extract(t, r"^<[^>]*>", 0).alias("head"), F.coalesce(_attribute(t, "name"), F.lit("")).alias("name"))
+
+    def tagged(n: Column) -> Column:
+        return F.struct(n["t"].alias("t"), n["head"].alias("head"), n["name"].alias("name"), F.substring_index(n["name"], ":", -1).alias("tag"))
+
+    def fact(n: Column) -> Column:
+        t, head, name, tag = (n[c] for c in ("t", "head", "name", "tag"))
         attributes = {"context": "contextref", "unit_id": "unitref", "scale": "scale", "sign": "sign"}
         text = F.translate(F.regexp_replace(F.regexp_replace(t, r"^<[^>]*>|</[^>]*>$", ""), "<[^>]+>", ""), _ROW, " ")
-        return F.struct(name.alias("name"), tag.alias("tag"), F.try_element_at(known, tag).alias("metric"), *(_attribute(t, a).alias(n) for n, a in attributes.items()), text.alias("text"), t.alias("evidence"))
+        return F.struct(name.alias("name"), tag.alias("tag"), F.try_element_at(known, tag).alias("metric"), *(_attribute(head, a).alias(c) for c, a in attributes.items()), text.alias("text"), t.alias("evidence"))
 
     tags = df.select(key, *([F.col(report_end).alias("_end")] if report_end else []), F.regexp_extract_all(html, F.lit(pattern), F.lit(0)).alias("_tags"))
     entries = lambda made, end: F.filter(made, lambda e: e["k"].isNotNull() & (e["k"] != "") & (e["v"]["end_on"].isNotNull() if end else F.lit(True)))
@@ -194,7 +200,8 @@ def ixbrl_facts(df: DataFrame, html: str, key: str, report_end: str | None = Non
         *tags.columns[:-1],
         entries(F.transform(kind("xbrli:context"), context), True).alias("_contexts"),
         entries(F.transform(kind("xbrli:unit"), unit), False).alias("_units"),
-        F.filter(F.transform(kind("ix:nonfraction"), fact), lambda f: f["metric"].isNotNull()).alias("_facts"),
+        # Each step is bound by its transform, and facts of unknown tags leave before the others' attributes are read.
+        F.transform(F.filter(F.transform(F.transform(kind("ix:nonfraction"), named), tagged), lambda n: F.try_element_at(known, n["tag"]).isNotNull()), fact).alias("_facts"),
     )
     maps = read.select(*tags.columns[:-1], _latest(F.col("_contexts")).alias("_contexts"), _latest(F.col("_units")).alias("_units"), "_facts", F.split(unescape(F.array_join(F.transform("_facts", lambda f: f["text"]), _ROW)), _ROW).alias("_texts"))
     joined = F.transform("_facts", lambda f, i: F.struct(f.alias("f"), F.trim(F.get("_texts", i)).alias("raw_value"), F.try_element_at("_contexts", f["context"]).alias("c"), F.try_element_at("_units", f["unit_id"]).alias("u")))
