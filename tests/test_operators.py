@@ -4,6 +4,8 @@ import json
 import random
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -386,3 +388,22 @@ def test_lexicon_events_word_bounds(spark, tmp_path):
     assert sorted(mine) == sorted(theirs)
     now, then, no = "current_or_general", "historical_or_completed", "negated"
     assert [r[4] for r in sorted(mine)] == [now, now, no, no, now, no, now, then]
+
+
+def test_best_of_counts_rows_together(monkeypatch):
+    """Counts by product and by lists, some rows at a time, are those of each pair; equal bests go to the larger id."""
+    from tidemark.operators import tiles
+
+    for name, value in {"DENSE": 3, "MOST_ROWS": 7, "MOST_HITS": 20}.items():
+        monkeypatch.setattr(tiles, name, value)
+    rng = np.random.default_rng(5)
+    bags = [rng.choice(40, rng.integers(1, 9), replace=False) for _ in range(120)]
+    tile = pd.DataFrame({"block": "a", "id": np.arange(120), "t": bags, "_role": np.arange(120) % 2})
+    want = {}
+    for i in range(0, 120, 2):
+        best = max((len(set(bags[i]) & set(bags[j])) / len(set(bags[i]) | set(bags[j])), j) for j in range(1, 120, 2))
+        if best[0] >= 0.15:
+            want[i] = best
+    got = tiles.best_of(tile, ["block"], 0.15)
+    assert {r.left_id: (r.similarity, r.right_id) for r in got.itertuples()} == want
+    assert len(tiles.best_of(tile[tile["_role"] == 0], ["block"], 0.15)) == 0

@@ -13,6 +13,8 @@ from tidemark.sources.scratch import saved
 
 #: A part has about TILE tokens at most, which bounds a task's memory; smaller cells have up to SPLIT parts of LEAST_TILE tokens or more.
 TILE, SPLIT, LEAST_TILE = 8_000_000, 8, 200_000
+#: Sets are counted against DENSE tokens by a product, MOST_ROWS at a time at most, and by MOST_HITS lists' rows or those of one set.
+DENSE, MOST_ROWS, MOST_HITS = 512, 64, 2_000_000
 
 
 def tiled(rows: DataFrame, blocks: Sequence[str], apart: Sequence[int], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -105,20 +107,65 @@ def _read(tile: pd.DataFrame, least: float) -> tuple[pd.DataFrame, int, Sets]:
     return rows, split, Sets(rows["t"].to_list(), split % len(rows), least)
 
 
-def best_of(tile: pd.DataFrame, blocks: Sequence[str], least: float, steps: Sequence[float] = (0.6, 0.4, 0.25)) -> pd.DataFrame:
+class Counts:
+    """Token sets that others are counted against: the DENSE most frequent tokens as columns of a matrix, the rest as lists of rows."""
+
+    def __init__(self, sets: Sequence[np.ndarray]):
+        self.n = np.array([len(s) for s in sets], dtype=np.int64)
+        self.known, ids = np.unique(np.concatenate(list(sets)), return_inverse=True)
+        ids = ids.astype(np.int32)
+        times = np.bincount(ids, minlength=len(self.known))
+        often = np.argsort(-times, kind="stable")[:DENSE]
+        self.column = np.full(len(times), -1, dtype=np.int32)
+        self.column[often] = np.arange(len(often))
+        rows = np.repeat(np.arange(len(sets), dtype=np.int32), self.n)
+        held = self.column[ids] >= 0
+        self.matrix = np.zeros((len(often), len(sets)), dtype=np.float32)
+        self.matrix[self.column[ids[held]], rows[held]] = 1
+        rows, ids = rows[~held], ids[~held]
+        self.rows = rows[np.argsort(ids, kind="stable")]
+        times[often] = 0
+        self.at = np.concatenate([[0], np.cumsum(times)])
+
+    def shared(self, sets: Sequence[np.ndarray]):
+        """The first of some of `sets` and how many tokens each of these has in common with each set here, until all are told."""
+        first = 0
+        while first < len(sets):
+            some = sets[first : first + MOST_ROWS]
+            sizes = np.array([len(s) for s in some])
+            token = np.concatenate(list(some))
+            at = np.minimum(np.searchsorted(self.known, token), len(self.known) - 1)
+            met = self.known[at] == token
+            row, at = np.repeat(np.arange(len(some)), sizes)[met], at[met]
+            hits = self.at[at + 1] - self.at[at]
+            take = max(1, int(np.searchsorted(np.cumsum(np.bincount(row, hits, len(some))), MOST_HITS, side="right")))
+            row, at, hits = row[row < take], at[row < take], hits[row < take]
+            take = min(take, len(some))
+            held = self.column[at] >= 0
+            mine = np.zeros((take, len(self.matrix)), dtype=np.float32)
+            mine[row[held], self.column[at[held]]] = 1
+            both = mine @ self.matrix
+            cells = np.repeat(row * len(self.n), hits) + self.rows[_spread(self.at[at], hits)]
+            yield first, both + np.bincount(cells, minlength=both.size).reshape(both.shape)
+            first += take
+
+
+def best_of(tile: pd.DataFrame, blocks: Sequence[str], least: float) -> pd.DataFrame:
     """blocks, left_id, right_id, similarity: the best of the second role for each row of the first, of equal ones the largest id.
 
-    Thresholds fall until one has been reached: all pairs above it are then known.
+    At a low threshold nearly all rows of a block share a token, so all are counted, many rows together.
     """
-    rows, split, sets = _read(tile, least)
+    rows = tile.sort_values(["_role", "id"], ascending=[True, False], ignore_index=True)
+    split = int((rows["_role"] == 0).sum())
     out = []
-    for i in range(split if split < len(rows) else 0):
-        for t in [*(s for s in steps if s > least), least]:
-            js, ratio = sets.near(i, t)
-            if len(js):
-                best = ratio.max()
-                out.append((i, js[ratio == best].max(), best))
-                break
+    if 0 < split < len(rows):
+        lefts, rights = rows["t"].to_list()[:split], Counts(rows["t"].to_list()[split:])
+        for first, both in rights.shared(lefts):
+            n = np.array([len(s) for s in lefts[first : first + len(both)]])
+            ratio = both / (n[:, None] + rights.n - both)
+            j = ratio.argmax(axis=1)
+            best = ratio[np.arange(len(j)), j]
+            out += [(first + i, split + j[i], best[i]) for i in np.flatnonzero(best >= least)]
     return _named(rows, blocks, out)
 
 
