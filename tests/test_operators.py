@@ -407,3 +407,22 @@ def test_best_of_counts_rows_together(monkeypatch):
     got = tiles.best_of(tile, ["block"], 0.15)
     assert {r.left_id: (r.similarity, r.right_id) for r in got.itertuples()} == want
     assert len(tiles.best_of(tile[tile["_role"] == 0], ["block"], 0.15)) == 0
+
+
+def test_alike_matches_few_pairs(monkeypatch):
+    """The pairs with the ratio are those of the plain matcher, which is asked where common characters allow it, and reads a text once."""
+    import difflib
+
+    rng = random.Random(9)
+    base = ["".join(rng.choice(w) for _ in range(rng.choice([0, 5, 40, 260]))) for w in ["abc ", "defgh", "a b1", "xyz"] * 8]
+    texts = base + [t[:-2] + "q" + t[3:] for t in base]
+    pairs = [(a, b) for a in texts for b in texts]
+    for least in (0.6, 0.86, 1.0):
+        want = [difflib.SequenceMatcher(None, a, b).ratio() >= least for a, b in pairs]
+        asked, read = [], []
+        with monkeypatch.context() as m:
+            plain, seq2 = difflib.SequenceMatcher.ratio, difflib.SequenceMatcher.set_seq2
+            m.setattr(difflib.SequenceMatcher, "ratio", lambda self: asked.append(1) or plain(self))
+            m.setattr(difflib.SequenceMatcher, "set_seq2", lambda self, b: read.append(b) or seq2(self, b))
+            assert extraction.alike([a for a, _ in pairs], [b for _, b in pairs], least) == want
+        assert len(asked) < len(pairs) / 2 and len(read) <= len(set(texts)) + 1

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType
 
 from tidemark.functions.text import collapse, unescape
 from tidemark.operators import joins as jo
@@ -172,10 +173,31 @@ def likely_pairs(texts: DataFrame, keys: Sequence[str], least: float) -> DataFra
     return found.distinct()
 
 
-@pandas_udf(DoubleType())
-def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """The ratio of matching blocks (no native form)."""
-    return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+def alike(left: Sequence[str], right: Sequence[str], least: float) -> list[bool]:
+    """Whether the ratio of matching blocks of each pair is `least` or more.
+
+    Characters that two texts have in common bound their matching blocks, so most pairs are told by these. The
+    matcher keeps what it knows of its second text, so pairs are told by their right text.
+    """
+    out, bags = [False] * len(left), {}
+    matcher, known = difflib.SequenceMatcher(None), None
+    for k in sorted(range(len(left)), key=right.__getitem__):
+        a, b = left[k], right[k]
+        x, y = (bags[t] if t in bags else bags.setdefault(t, Counter(t)) for t in (a, b))
+        total = len(a) + len(b)
+        common = sum(min(n, y[c]) for c, n in x.items() if c in y)
+        if total and 2.0 * common / total < least:
+            continue
+        if b != known:
+            matcher.set_seq2(b)
+            known = b
+        matcher.set_seq1(a)
+        out[k] = matcher.ratio() >= least
+    return out
+
+
+def _alike(least: float):
+    return pandas_udf(lambda left, right: pd.Series(alike(left.to_list(), right.to_list(), least), dtype=bool), BooleanType())
 
 
 #: Pairs are dealt over so many parts where they meet the states, as a text may have many pairs.
@@ -206,17 +228,18 @@ def near_duplicate_events(df: DataFrame, keys: Sequence[str], order: str, text:
 
     Greedy in order: a row is kept unless its text has a ratio of `least` or more with a kept one, and
     belongs to the first such. Equal texts are folded before; `order` is unique in a group. Pairs that
-    can have the ratio meet by their rarest q-grams, and the choice is made in rounds, so that no task
-    holds a group. Rows with a null key, order or text are left out.
+    can have the ratio meet by their rarest q-grams and are dealt over all partitions, as each takes time, and
+    the choice is made in rounds, so that no task holds a group. Rows with a null key, order or text are left out.
     """
     plain = F.trim(F.regexp_replace(F.lower(text), r"(?U)\W+", " "))
-    rows = df.select(*keys, order, plain.alias("_t")).dropna()
+    rows = saved(df.select(*keys, order, plain.alias("_t")).dropna())
     first = saved(rows.groupBy(*keys, "_t").agg(F.min(order).alias("_first")))
     same = rows.join(first, [*keys, "_t"]).where(F.col(order) != F.col("_first")).select(*keys, order, F.col("_first").alias("canonical"))
     texts = first.select(*keys, F.col("_first").alias("id"), F.col("_t").alias("t"), F.length("_t").alias("size"))
     side = lambda name: texts.select(*keys, F.col("id").alias(f"{name}_id"), F.col("t").alias(f"{name}_t"))
     likely = likely_pairs(texts, keys, least).join(side("left"), [*keys, "left_id"]).join(side("right"), [*keys, "right_id"])
-    pairs = saved(likely.where(_ratio("left_t", "right_t") >= least).select(*keys, "left_id", "right_id"))
+    dealt = likely.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "right_id", F.pmod(F.xxhash64("left_id"), F.lit(PARTS)))
+    pairs = saved(dealt.where(_alike(least)("left_t", "right_t")).select(*keys, "left_id", "right_id"))
     kept = first_come(pairs, keys).where("kept").select(*keys, F.col("id").alias("left_id"))
     folded = pairs.join(kept, [*keys, "left_id"]).groupBy(*keys, F.col("right_id").alias(order)).agg(F.min("left_id").alias("canonical"))
     onward = folded.select(*keys, F.col(order).alias("_at"), F.col("canonical").alias("_onward"))
