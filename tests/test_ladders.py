@@ -227,3 +227,18 @@ def test_sequence_ratio_and_source_text(spark):
     assert got[:3] == [difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs[:3]]
     raw = "\uff21\u201cq\u201d\u0007  x"
     assert spark.createDataFrame([(raw,)], "t string").select(tx.visible_source_text(F.col("t"))).first()[0] == unicodedata.normalize("NFKC", 'A"q" x')
+
+
+def test_visible_source_of_every_sign_by_small_batches(spark):
+    """Each sign is kept or left out by its category; whole texts do not come by Arrow's batches, which hold 10,000 of them."""
+    import unicodedata
+
+    from pyspark.util import PythonEvalType
+
+    assert tx.visible_source_text.evalType == PythonEvalType.SQL_BATCHED_UDF
+    quotes = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"'})
+    plain = lambda s: " ".join("".join(c for c in unicodedata.normalize("NFKC", s).translate(quotes) if c.isspace() or unicodedata.category(c)[0] != "C").split())
+    raw = ["x" + "".join(map(chr, range(a, a + 256))) + "y" for a in range(0, 0x20000, 256) if not 0xD800 <= a < 0xE000] + ["", "‘’ “”", None]
+    df = spark.createDataFrame(list(enumerate(raw)), "id int, t string")
+    got = dict(df.select("id", tx.visible_source_text("t")).collect())
+    assert got == {i: None if s is None else plain(s) for i, s in enumerate(raw)}

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import pandas_udf, udf
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
 
 # Words that carry no identity in names.
@@ -66,12 +66,25 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, plain(a), plain(b)).ratio() for a, b in zip(left, right)], dtype="float64")
 
 
-@pandas_udf(StringType())
-def visible_source_text(text: pd.Series) -> pd.Series:
-    """NFKC, straight quotes, no control characters, white space collapsed (H23; NFKC has no native form)."""
-    quotes = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"'})
-    clean = lambda s: " ".join("".join(c for c in unicodedata.normalize("NFKC", s).translate(quotes) if c.isspace() or unicodedata.category(c)[0] != "C").split())
-    return text.map(lambda s: None if s is None else clean(s))
+class _Signs(dict):
+    """What str.translate puts for a sign: straight quotes, nothing for control characters but white space, else the sign."""
+
+    def __missing__(self, code: int) -> int | None:
+        c = chr(code)
+        self[code] = code if c.isspace() or unicodedata.category(c)[0] != "C" else None
+        return self[code]
+
+
+SIGNS = _Signs(str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"'}))
+
+
+@udf(StringType(), useArrow=False)
+def visible_source_text(text: str | None) -> str | None:
+    """NFKC, straight quotes, no control characters, white space collapsed (H23; NFKC has no native form).
+
+    Texts come by hundreds, not by Arrow's batches of 10,000 whole texts, so few of them are in memory.
+    """
+    return None if text is None else " ".join(unicodedata.normalize("NFKC", text).translate(SIGNS).split())
 
 
 @pandas_udf(StringType())
