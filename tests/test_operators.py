@@ -426,3 +426,26 @@ def test_alike_matches_few_pairs(monkeypatch):
             m.setattr(difflib.SequenceMatcher, "set_seq2", lambda self, b: read.append(b) or seq2(self, b))
             assert extraction.alike([a for a, _ in pairs], [b for _, b in pairs], least) == want
         assert len(asked) < len(pairs) / 2 and len(read) <= len(set(texts)) + 1
+
+
+def test_outcome_window_join_in_parts_of_lines(spark, tmp_path, monkeypatch):
+    """Orders with a key that is there twice have windows of their own, and parts are as many as the lines need."""
+    from datetime import timedelta
+
+    import duckdb
+
+    from tidemark.plans import pointintime as plans
+
+    rng, day = random.Random(4), datetime(2024, 1, 1)
+    orders = [(k, None if k == 7 else day + timedelta(rng.randrange(90))) for k in [*range(60), *range(0, 60, 3), 5, 5, None]]
+    lines = [(rng.choice([k, None] if k == 9 else [k]), day + timedelta(rng.randrange(150)), n, rng.choice("ANR") if rng.random() < 0.9 else None, rng.choice(["F", "O", None])) for k in range(70) for n in range(k % 6)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_shipdate timestamp_ntz, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    theirs = con.sql(catalog.oracle_sql()["outcome_window_join"]).select(*map(duckdb.ColumnExpression, ["o_orderkey", "outcome", "shipped"])).fetchall()
+    monkeypatch.setattr(plans, "PART_LINES", 10, raising=False)
+    mine = catalog.queries()["outcome_window_join"](spark, str(tmp_path))
+    assert sorted(rows(mine), key=repr) == sorted(theirs, key=repr)
+    assert mine.rdd.getNumPartitions() == -(-len(lines) // 10)

@@ -51,14 +51,22 @@ def source_availability(t):
     return pt.source_availability(manifest(t).withColumn("part", F.col("event_id") % 40), ["user_id", "part"])
 
 
+#: Lines of a part of `outcome_window_join`.
+PART_LINES = 1_250_000
+
+
 @query("""with o as (select l_orderkey, max_by(l_returnflag, (l_shipdate, l_linenumber, l_returnflag)) as outcome from lineitem where l_linestatus = 'F' group by 1)
 select o_orderkey, outcome, shipped from (select o_orderkey, o_orderdate, outcome, (select count(*) from lineitem l where l.l_orderkey = o_orderkey and l_shipdate > o_orderdate and l_shipdate <= o_orderdate + interval 60 day) as shipped from orders join o on o_orderkey = l_orderkey)""")
 def outcome_window_join(t):
-    o = t.lineitem.where("l_linestatus = 'F'").groupBy("l_orderkey").agg(F.max_by("l_returnflag", F.struct("l_shipdate", "l_linenumber", "l_returnflag")).alias("outcome"))
+    """Lines meet their orders once, in parts of PART_LINES lines, so that a task's memory does not follow the size of the tables."""
+    parts = max(t.spark.sparkContext.defaultParallelism, -(-t.lineitem.count() // PART_LINES))
+    orders = t.orders.select("o_orderkey", "o_orderdate", F.monotonically_increasing_id().alias("row")).repartition(parts, "o_orderkey")
+    last = ["l_shipdate", "l_linenumber", "l_returnflag"]
+    lines = t.lineitem.select("l_orderkey", *last, (F.col("l_linestatus") == "F").alias("final")).repartition(parts, "l_orderkey")
     inside = pt.in_outcome_window(F.col("o_orderdate"), F.col("o_orderdate") + F.expr("interval 60 days"), F.col("l_shipdate"))
-    n = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).where(inside).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("shipped"))
-    j = t.orders.join(o, F.col("o_orderkey") == F.col("l_orderkey")).join(n, "o_orderkey", "left")
-    return j.select("o_orderkey", "outcome", F.coalesce("shipped", F.lit(0)).alias("shipped"))
+    met = lines.join(orders.hint("shuffle_hash"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "row", *last, "final", inside.alias("inside")).where("final or inside")
+    found = met.groupBy("o_orderkey", "row").agg(F.max_by("l_returnflag", F.when(F.col("final") & F.col("l_returnflag").isNotNull(), F.struct(*last))).alias("outcome"), F.count_if("inside").alias("shipped"), F.bool_or("final").alias("final"))
+    return found.where("final").select("o_orderkey", "outcome", "shipped")
 
 
 @query("""with r as (select l_orderkey as o_orderkey, count(*) as lines, round(sum(l_quantity), 2) as quantity from lineitem where l_returnflag = 'R' group by 1)
