@@ -242,3 +242,53 @@ def test_visible_source_of_every_sign_by_small_batches(spark):
     df = spark.createDataFrame(list(enumerate(raw)), "id int, t string")
     got = dict(df.select("id", tx.visible_source_text("t")).collect())
     assert got == {i: None if s is None else plain(s) for i, s in enumerate(raw)}
+
+
+def made(rng, parsed):
+    """A string that a parsed pattern matches, by chance."""
+    out = ""
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "ANY":
+                out += rng.choice("ax ")
+            case "IN":
+                lows = [chr(rng.randint(*a)) if str(o) == "RANGE" else chr(a) for o, a in arg if str(o) in ("RANGE", "LITERAL")]
+                out += rng.choice(lows) if lows else {"CATEGORY_DIGIT": "7", "CATEGORY_SPACE": " "}[str(arg[0][1])]
+            case "MAX_REPEAT":
+                out += "".join(made(rng, arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+            case "SUBPATTERN":
+                out += made(rng, arg[3])
+            case "BRANCH":
+                out += made(rng, rng.choice(arg[1]))
+            case "AT":
+                pass
+            case other:
+                raise ValueError(other)
+    return out
+
+
+def test_every_match_has_what_its_pattern_needs(spark):
+    """Texts that each pattern matches, in any case, have its wording; no label changes by it, and a text is lowered once."""
+    import random
+    import re
+
+    rng, texts = random.Random(3), []
+    for pattern in [*ladders.NEEDS, *ladders.STARTS]:
+        hits = [made(rng, re._parser.parse(pattern)) for _ in range(150)]
+        hits = [h for h in hits if re.search("(?i)" + pattern, h)]
+        needs, starts = ladders.NEEDS.get(pattern, [""]), ladders.STARTS.get(pattern)
+        assert len(hits) > 20 and all(any(w in h.lower() for w in needs) for h in hits), pattern
+        assert all(any(w in h.lower() for h in hits) for w in needs), pattern
+        assert starts is None or {h[0].lower() for h in hits} == set(starts), pattern
+        texts += [t for h in hits[:20] for t in (f"And {h} now", f"{h}.".upper(), h[:-3], f"The Kelvin {h}")]
+    df = spark.createDataFrame([(i, t, texts[-i % len(texts)] if i % 3 else None) for i, t in enumerate([*texts, None, ""])], "id int, span string, context string")
+    guarded = df.withColumn("low", F.lower("span"))
+    wrong = [F.coalesce(F.col("span").rlike("(?i)" + p), F.lit(False)) != ladders.has("span", p, low="low") for p in [*ladders.NEEDS, *ladders.STARTS]]
+    assert guarded.select(*(F.count_if(w).alias(f"w{k}") for k, w in enumerate(wrong))).first() == (0,) * len(wrong)
+    out = ladders.attribute_subject(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 2
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ladders, "may_have", lambda low, pattern: F.lit(True))
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, ladders.attribute_subject(df).collect()))

@@ -80,14 +80,52 @@ EVENT_TERMS = r"\b(?:restructur|clos|open|expand|reduc|increase|declin|deteriora
 TIMING = r"\b(?:during|in|since|currently|ongoing|this year|the year|quarter|month|planned|announced|completed|previously)\b"
 
 
-def has(text: Column | str, pattern: str, over_lines: bool = False) -> Column:
-    """Whether the text has the pattern, whatever the case; false for null. A dot meets line ends only if `over_lines`."""
-    return F.coalesce((F.col(text) if isinstance(text, str) else text).rlike(("(?is)" if over_lines else "(?i)") + pattern), F.lit(False))
+#: Wording in lower case of which every match of a pattern has some; a text without it is not searched for the pattern.
+NEEDS = {
+    BIOGRAPHY: ["biograph", "served as", "previously ", "career", "former employer", "appointed to the board"],
+    QUOTE: ["according to", "analyst", " said"],
+    CUSTOMER: ["customer"],
+    CUSTOMER_BENEFIT: ["cost reduction"],
+    SUPPLIER: ["supplier", "vendor"],
+    COMPETITOR: ["competitor"],
+    INDUSTRY: ["industry", " sector", " market", "many other employers"],
+    JOINT_VENTURE: ["joint venture", "associate company"],
+    ACQUISITION_TARGET: ["acquisition target"],
+    SUBSIDIARY: [" subsidiary"],
+    SEGMENT: [" segment", " division", " business unit"],
+    IMPACT: [" our ", " the company's ", " the group"],
+    PLAN: ["plan", "expect to", "announced"],
+    BEFORE: ["prior year", "previously"],
+    EMBEDDED: ["after "],
+    AT_TIMES: ["are at times subject to"],
+}
+
+#: The letters that a match of a pattern begins with; elsewhere it is not tried.
+STARTS = {ISSUER: "woutcg", MODAL: "mcwspri", ACTUAL: "cdehrpia", GENERIC_RISK: "ocmstiaef"}
+
+
+def may_have(low: str, pattern: str) -> Column:
+    """Whether a text, given in lower case, has what the pattern needs."""
+    return reduce(lambda a, b: a | b, (F.contains(F.col(low), F.lit(w)) for w in NEEDS[pattern]))
+
+
+def has(text: Column | str, pattern: str, over_lines: bool = False, low: str | None = None) -> Column:
+    """Whether the text has the pattern, whatever the case; false for null. A dot meets line ends only if `over_lines`.
+
+    `low` names a column with the text in lower case, in which what the pattern needs is looked for first.
+    """
+    ahead = f"(?=[{STARTS[pattern]}{STARTS[pattern].upper()}])" if pattern in STARTS else ""
+    found = F.coalesce((F.col(text) if isinstance(text, str) else text).rlike(ahead + ("(?is)" if over_lines else "(?i)") + pattern), F.lit(False))
+    return may_have(low, pattern) & found if low and pattern in NEEDS else found
+
+
+def row(values: Sequence, names: Sequence[str]) -> Column:
+    return F.struct(*((v if isinstance(v, Column) else F.lit(v).cast("string")).alias(n) for n, v in zip(names, values)))
 
 
-def first_of(rules: Sequence[tuple[Column, Sequence]], default: Sequence, names: Sequence[str]) -> Column:
-    """The struct of the first rule whose test holds."""
-    as_row = lambda values: F.struct(*((v if isinstance(v, Column) else F.lit(v).cast("string")).alias(n) for n, v in zip(names, values)))
+def first_of(rules: Sequence[tuple[Column, Sequence | Column]], default: Sequence, names: Sequence[str]) -> Column:
+    """The struct of the first rule whose test holds; a rule has its values, or a struct of them."""
+    as_row = lambda values: values if isinstance(values, Column) else row(values, names)
     return reduce(lambda rest, rule: F.when(F.coalesce(rule[0], F.lit(False)), as_row(rule[1])).otherwise(rest), reversed(rules), as_row(default))
 
 
@@ -166,15 +204,15 @@ def accounting_observations(df: DataFrame, keys: Sequence[str], span: str = "spa
     return rows.groupBy(*keys, span).agg(F.min("cell_value").alias("figure")).withColumn("operational_event_promoted", F.lit(False))
 
 
-def factual_status(span: str = "span") -> Column:
-    """Whether a sentence tells a plan, the past, a risk or a fact."""
-    actual, modal = has(span, ACTUAL), has(span, MODAL)
+def factual_status(span: str = "span", low: str | None = None) -> Column:
+    """Whether a sentence tells a plan, the past, a risk or a fact (G12); `low` as in `has`."""
+    it = lambda pattern: has(span, pattern, low=low)
+    actual = it(ACTUAL)
     rules = [
-        (has(span, PLAN), ("planned",)),
-        (has(span, BEFORE), ("actual_historical",)),
-        (has(span, GENERIC_RISK) & ~has(span, IMPACT) & ~has(span, EMBEDDED) & ~has(span, AT_TIMES), ("generic_risk",)),
-        (modal & ~actual, ("hypothetical_risk",)),
-        (actual & modal, ("actual_current_with_forecast",)),
+        (it(PLAN), ("planned",)),
+        (it(BEFORE), ("actual_historical",)),
+        (it(GENERIC_RISK) & ~it(IMPACT) & ~it(EMBEDDED) & ~it(AT_TIMES), ("generic_risk",)),
+        (it(MODAL), (F.when(actual, "actual_current_with_forecast").otherwise("hypothetical_risk"),)),
         (actual, ("actual_current",)),
     ]
     return first_of(rules, ("ambiguous",), ("s",))["s"]
@@ -183,33 +221,36 @@ def factual_status(span: str = "span") -> Column:
 def attribute_subject(df: DataFrame, span: str = "span", context: str = "context") -> DataFrame:
     """`df` with subject_type, relevance, scope, subject_reason, subject_entity, segment_name, factual_status."""
     both = F.concat_ws(" ", F.coalesce(F.col(context), F.lit("")), F.col(span))
-    impact = has(span, IMPACT)
+    low, both_low = "_low", "_both_low"
+    it = lambda pattern: has(span, pattern, low=low)
+    impact = it(IMPACT)
     third = F.nullif(F.regexp_extract(span, THIRD_PARTY_PLAN, 1), F.lit(""))
-    segment = F.nullif(F.trim(F.regexp_extract(span, "(?i)" + SEGMENT, 1)), F.lit(""))
-    customer = has(span, CUSTOMER_BENEFIT) | has(span, CUSTOMER)
+    segment = F.when(may_have(low, SEGMENT), F.nullif(F.trim(F.regexp_extract(span, "(?i)" + SEGMENT, 1)), F.lit("")))
+    customer = it(CUSTOMER_BENEFIT) | it(CUSTOMER)
+    names = ("subject_type", "relevance", "scope", "subject_reason")
     own = ("target_company", "direct", "group_or_unspecified")
+    ours = lambda ifso, ifnot: F.when(impact, row((*own, ifso), names)).otherwise(row(ifnot, names))
     rules = [
-        (has(both, BIOGRAPHY), ("former_employer", "external", "external", "biography_or_career_history")),
-        (has(span, QUOTE), ("third_party", "external", "external", "third_party_quote")),
-        (customer & impact, (*own, "customer_condition_with_explicit_company_impact")),
-        (customer, ("customer", "external", "external", "customer_is_grammatical_subject")),
-        (has(span, SUPPLIER) & impact, (*own, "supplier_cause_with_explicit_company_impact")),
-        (has(span, SUPPLIER), ("supplier", "external", "external", "supplier_is_grammatical_subject")),
-        (has(span, COMPETITOR), ("competitor", "external", "external", "competitor_is_grammatical_subject")),
-        (has(span, INDUSTRY), ("industry", "external", "sector", "industry_level_statement")),
+        (has(both, BIOGRAPHY, low=both_low), ("former_employer", "external", "external", "biography_or_career_history")),
+        (it(QUOTE), ("third_party", "external", "external", "third_party_quote")),
+        (customer, ours("customer_condition_with_explicit_company_impact", ("customer", "external", "external", "customer_is_grammatical_subject"))),
+        (it(SUPPLIER), ours("supplier_cause_with_explicit_company_impact", ("supplier", "external", "external", "supplier_is_grammatical_subject"))),
+        (it(COMPETITOR), ("competitor", "external", "external", "competitor_is_grammatical_subject")),
+        (it(INDUSTRY), ("industry", "external", "sector", "industry_level_statement")),
         (third.isNotNull(), ("third_party", "external", "external", "named_third_party_is_subject")),
-        (has(span, JOINT_VENTURE), ("joint_venture", "external_or_shared", "joint_venture", "joint_venture_subject")),
-        (has(span, ACQUISITION_TARGET), ("acquisition_target", "external", "external", "acquisition_target_subject")),
-        (has(span, SUBSIDIARY), ("target_subsidiary", "direct", "subsidiary", "controlled_subsidiary_reference")),
+        (it(JOINT_VENTURE), ("joint_venture", "external_or_shared", "joint_venture", "joint_venture_subject")),
+        (it(ACQUISITION_TARGET), ("acquisition_target", "external", "external", "acquisition_target_subject")),
+        (it(SUBSIDIARY), ("target_subsidiary", "direct", "subsidiary", "controlled_subsidiary_reference")),
         (segment.isNotNull(), ("target_segment", "direct", "segment", "named_target_segment")),
         (has(span, ISSUER) | has(context, ISSUER), (*own, "issuer_reference")),
-        (has(span, ACTUAL), ("target_company", "inferred", "group_or_unspecified", "factual_filing_clause_without_external_subject")),
+        (it(ACTUAL), ("target_company", "inferred", "group_or_unspecified", "factual_filing_clause_without_external_subject")),
     ]
-    pick = first_of(rules, ("unknown", "unclear", "unknown", "subject_not_resolved"), ("subject_type", "relevance", "scope", "subject_reason"))
+    pick = first_of(rules, ("unknown", "unclear", "unknown", "subject_not_resolved"), names)
     of = lambda reason, value: F.when(F.col("subject_reason") == reason, value)
-    out = df.withColumn("_s", pick).select(*df.columns, "_s.*")
+    lowered = df.withColumns({low: F.lower(span), both_low: F.lower(both)})
+    out = lowered.withColumn("_s", pick).select(*df.columns, low, "_s.*")
     named = F.coalesce(of("named_third_party_is_subject", third), of("named_target_segment", segment))
-    return out.withColumns({"subject_entity": named, "segment_name": of("named_target_segment", segment), "factual_status": factual_status(span)})
+    return out.withColumns({"subject_entity": named, "segment_name": of("named_target_segment", segment), "factual_status": factual_status(span, low)}).drop(low)
 
 
 def acceptance(df: DataFrame, span: str = "span") -> DataFrame:
