@@ -355,6 +355,49 @@ def test_same_events_in_many_tiles(spark, monkeypatch):
     assert "explode(t" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_same_events_shuffle_less_than_their_tokens(spark):
+    """Rows of a block that fits a task are copied once, with the frequent tokens in two bytes each."""
+    import time
+
+    def written():
+        time.sleep(1)
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    rng = random.Random(5)
+    data = [(i, "b", f"2024-01-{i % 28 + 1:02d}", " ".join(f"w{rng.randint(0, 3000)}" for _ in range(300))) for i in range(1500)]
+    data += [(2000 + i, "b", "2024-01-15", data[i][3]) for i in range(0, 1500, 100)]
+    df = spark.createDataFrame(data, "id int, block string, day string, text string").withColumn("day", F.to_date("day"))
+    before = written()
+    assert joins.same_events(df, ["block"], 14, 0.4).count() == 15
+    assert written() - before < 8 * sum(len(set(t.split())) for *_, t in data)
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_pairs_of_a_tile(monkeypatch, own):
+    """Coded sets counted in small steps give the pairs of brute force, also those of frequent tokens only."""
+    import pyarrow as pa
+
+    from tidemark.operators import tiles
+
+    for name, value in (("HELD", 64), ("WIDTH", 37), ("PAIRS", 256), ("MOST_HITS", 50)):
+        monkeypatch.setattr(tiles, name, value)
+    rng = random.Random(own)
+    data = []
+    for i in range(300):
+        c = {min(int(rng.paretovariate(0.5)), 6000) - 1 for _ in range(rng.randint(1, 60))}
+        r = {rng.randint(0, 300) for _ in range(rng.randint(0, 8))}
+        if i % 5 == 4:
+            c, r = set(data[-1][3]), set(data[-1][4]) ^ {rng.randint(0, 300)}
+        data.append((f"k{i}", 2 if own else rng.randint(0, 1), rng.randint(0, 27), sorted(c), sorted(r)))
+    names, roles, days, cs, rs = zip(*data)
+    tile = pa.table({"_role": pa.array(roles, pa.int32()), "block": ["b"] * len(data), "id": names, "number": pa.array(days, pa.int32()), "n": pa.array([len(c) + len(r) for c, r in zip(cs, rs)], pa.int32()), "c": pa.array([[x - 32768 for x in c] for c in cs], pa.list_(pa.int16())), "r": pa.array(rs, pa.list_(pa.int64()))})
+    got = [tuple(x.values()) for batch in tiles.pairs_of(tile, ["block"], 0.4, 14) for x in batch.to_pylist()]
+    bags = [set(c) | {x + 10**6 for x in r} for c, r in zip(cs, rs)]
+    sim = {(i, j): len(bags[i] & bags[j]) / len(bags[i] | bags[j]) for j in range(len(data)) for i in range(j) if (own or roles[i] != roles[j]) and abs(days[i] - days[j]) <= 14}
+    want = [("b", *sorted((names[i], names[j])), s) for (i, j), s in sim.items() if s >= 0.4]
+    assert sorted(got) == sorted(want) and len(want) > 20
+
+
 def test_best_similarity_in_many_tiles(spark, monkeypatch):
     """The best of all tiles counts, with ties to the larger id, also where only the lowest threshold is reached."""
     from tidemark.operators import tiles

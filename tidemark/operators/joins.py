@@ -114,12 +114,13 @@ def token_sets(df: DataFrame, blocks: Sequence[str]) -> DataFrame:
 def same_events(df: DataFrame, blocks: Sequence[str], days: int = 14, least: float = 0.65) -> DataFrame:
     """left_id, right_id, similarity of pairs within `days` and of token Jaccard `least` or more.
 
-    Rows of a block meet in tiles of the same or the next date bucket, where they meet by one of the rarest tokens that
-    such a pair must share; no pair leaves a task but those that have the similarity. See `tiles`.
+    Rows of a block meet in tiles of the same or the next date buckets and of sizes that can have the similarity; no pair leaves a
+    task but those that have it. `df` is read twice: the most frequent tokens are coded, so that the copies of a row are small. See `tiles`.
     """
     number = F.datediff("day", F.lit("1970-01-01").cast("date"))
-    sets = saved(df.select(*blocks, "id", number.alias("number"), F.floor(number / days).cast("int").alias("cell"), _hashes("text").alias("t")))
-    return tiles.tiled(sets, blocks, [0, 1], lambda tile: tiles.pairs_of(tile, blocks, least, days), _pair_schema(sets, blocks))
+    sets = df.select(*blocks, "id", number.alias("number"), F.floor(number / days).cast("int").alias("cell"), _hashes("text").alias("t")).dropna(subset=[*blocks, "id", "cell"])
+    rows = saved(tiles.coded(sets, [*blocks, "id", "number", "cell"]))
+    return tiles.same_sets(rows, blocks, least, days, _pair_schema(sets, blocks))
 
 
 def resolve_aliases(df: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:
