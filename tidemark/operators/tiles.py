@@ -157,23 +157,19 @@ def by_size(rows: DataFrame, blocks: Sequence[str], least: float) -> tuple[DataF
     `_g` is a run of a block's cells, `_p` a part of its rows by their size n, both with CODED * TILE tokens or about; rows of one size
     are dealt by their id. Parts make a tile where sizes of theirs can have the similarity `least` and cells are the same or next.
     """
-    most = CODED * TILE
-    sizes = saved(rows.groupBy(*blocks, "cell", "n").agg((F.count(F.lit(1)) * (F.col("n") + ROW)).alias("w")))
-    upto = lambda by, order: F.coalesce(F.sum("w").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = sizes.groupBy(*blocks, "cell").agg(F.sum("w").alias("w")).withColumn("_g", F.floor(upto(blocks, "cell") / most)).drop("w")
-    spans = sizes.join(runs, [*blocks, "cell"])
-    held = [*blocks, "_g"]
-    total = F.sum("w").over(Window.partitionBy(*held))
-    by_n = spans.groupBy(*held, "n").agg(F.sum("w").alias("w")).withColumn("_first", upto(held, "n")).withColumn("_all", total)
-    places = saved(spans.drop("w").join(by_n, [*held, "n"]))
+    most, held = CODED * TILE, [*blocks, "_g"]
+    sizes = rows.groupBy(*blocks, "cell", "n").agg((F.count(F.lit(1)) * (F.col("n") + ROW)).alias("w"))
+    ordered = lambda by, order, *ends: F.coalesce(F.sum("w").over(Window.partitionBy(*by).orderBy(order).rangeBetween(*ends)), F.lit(0))
+    whole = Window.partitionBy(*held)
+    places = sizes.withColumn("_g", F.floor(ordered(blocks, "cell", Window.unboundedPreceding, -1) / most))
+    places = places.withColumns({"_first": ordered(held, "n", Window.unboundedPreceding, -1), "_same": ordered(held, "n", 0, 0), "_all": F.sum("w").over(whole), "first_cell": F.min("cell").over(whole), "last_cell": F.max("cell").over(whole)})
+    places = saved(places.drop("w"))
     parts = F.greatest(F.ceil(F.col("_all") / most), F.least(F.ceil(F.col("_all") / TILE), F.lit(CODED)))
-    part = lambda share: F.least(parts - 1, F.floor((F.col("_first") + share * F.col("w")) * parts / F.col("_all"))).cast("int")
+    part = lambda share: F.least(parts - 1, F.floor((F.col("_first") + share * F.col("_same")) * parts / F.col("_all"))).cast("int")
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20)
-    placed = rows.join(places, [*blocks, "cell", "n"]).withColumn("_p", part(share)).drop("w", "_first", "_all")
+    placed = rows.join(places.drop("first_cell", "last_cell"), [*blocks, "cell", "n"]).withColumn("_p", part(share)).drop("_first", "_same", "_all")
     there = places.withColumn("_p", F.explode(F.sequence(part(F.lit(0)), part(F.lit(1)))))
-    there = there.groupBy(*held, "_p").agg(*(f("n").alias(f"{k}_n") for k, f in (("least", F.min), ("most", F.max))), F.min("cell").alias("first_cell"))
-    ends = runs.groupBy(*held).agg(F.min("cell").alias("first_cell"), F.max("cell").alias("last_cell"))
-    there = saved(there.drop("first_cell").join(ends, held))
+    there = there.groupBy(*held, "first_cell", "last_cell", "_p").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
     names = {"_g": "_h", "_p": "_q", **{c: f"_{c}" for c in ("least_n", "most_n", "first_cell", "last_cell")}}
     other = there.select(*blocks, *(F.col(c).alias(d) for c, d in names.items()))
     after = (F.col("_g") == F.col("_h")) & (F.col("_p") <= F.col("_q")) | (F.col("_g") < F.col("_h")) & (F.col("_first_cell") <= F.col("last_cell") + 1)
