@@ -17,8 +17,8 @@ from tidemark.sources.scratch import saved
 TILE, SPLIT, LEAST_TILE = 8_000_000, 8, 200_000
 #: Sets are counted against DENSE tokens by a product, MOST_ROWS at a time at most, and by MOST_HITS lists' rows or those of one set.
 DENSE, MOST_ROWS, MOST_HITS = 512, 64, 2_000_000
-#: The COMMON most frequent tokens of a table are coded by two bytes each. Parts of coded rows have CODED times TILE tokens at most, or
-#: TILE as long as these are no more than CODED parts; a row counts as ROW tokens more.
+#: The COMMON most frequent tokens of a table are coded by two bytes each. Parts of coded rows have
+#: about CODED times TILE tokens at most; a row counts as ROW tokens more.
 COMMON, CODED, ROW = 65_536, 4, 200
 #: Coded rows have the tile's HELD most frequent tokens as bits; they are counted against WIDTH rows at a time, PAIRS pairs together, and leave by batches of PAIRS.
 HELD, WIDTH, PAIRS = 2048, 2048, 1 << 18
@@ -154,7 +154,7 @@ def coded(sets: DataFrame, kept: Sequence[str]) -> DataFrame:
 def by_size(rows: DataFrame, blocks: Sequence[str], least: float) -> tuple[DataFrame, DataFrame]:
     """`rows` (blocks, id, cell, n and others) with `_g`, `_p`, and the tiles: blocks, _tile, _g, _p, _h, _q.
 
-    `_g` is a run of a block's cells, `_p` a part of its rows by their size n, both with CODED * TILE tokens or about; rows of one size
+    `_g` is a run of a block's cells, `_p` a part of its rows by their size n, both with about CODED * TILE tokens at most; rows of one size
     are dealt by their id. Parts make a tile where sizes of theirs can have the similarity `least` and cells are the same or next.
     """
     most, held = CODED * TILE, [*blocks, "_g"]
@@ -164,7 +164,7 @@ def by_size(rows: DataFrame, blocks: Sequence[str], least: float) -> tuple[DataF
     places = sizes.withColumn("_g", F.floor(ordered(blocks, "cell", Window.unboundedPreceding, -1) / most))
     places = places.withColumns({"_first": ordered(held, "n", Window.unboundedPreceding, -1), "_same": ordered(held, "n", 0, 0), "_all": F.sum("w").over(whole), "first_cell": F.min("cell").over(whole), "last_cell": F.max("cell").over(whole)})
     places = saved(places.drop("w"))
-    parts = F.greatest(F.ceil(F.col("_all") / most), F.least(F.ceil(F.col("_all") / TILE), F.lit(CODED)))
+    parts = F.ceil(F.col("_all") / most)
     part = lambda share: F.least(parts - 1, F.floor((F.col("_first") + share * F.col("_same")) * parts / F.col("_all"))).cast("int")
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20)
     placed = rows.join(places.drop("first_cell", "last_cell"), [*blocks, "cell", "n"]).withColumn("_p", part(share)).drop("_first", "_same", "_all")
